@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontam, media, sharding, urlfilter, warc
+from . import decontam, media, mixing, sharding, urlfilter, warc
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1,
     "op2_decontamination": decontam.op2,
     "op5_url_filter": urlfilter.op5,
+    "op6_mixing": mixing.op6,
     "op7_warc": warc.op7,
     "op9_media_sequences": media.op9,
 }
 SQL = {
     "op2_decontamination": decontam.OP2_SQL,
     "op5_url_filter": urlfilter.OP5_SQL,
+    "op6_mixing": mixing.op6_sql(),
     "op7_warc": warc.OP7_SQL,
 }
