@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, sharding, urlfilter, warc
+from . import decontam, lmscore, media, mixing, sharding, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1,
     "op2_decontamination": decontam.op2,
+    "op3_lm_scoring": lmscore.op3,
+    "op4_toxicity_chain": toxicity.op4,
     "op5_url_filter": urlfilter.op5,
     "op6_mixing": mixing.op6,
     "op7_warc": warc.op7,
