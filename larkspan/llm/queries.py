@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lmscore, media, mixing, sharding, toxicity, urlfilter, warc
+from . import decontam, lmscore, media, mixing, sharding, substr, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filter": urlfilter.op5,
     "op6_mixing": mixing.op6,
     "op7_warc": warc.op7,
+    "op8_substring_dedup": substr.op8,
     "op9_media_sequences": media.op9,
 }
 SQL = {
@@ -19,4 +20,5 @@ SQL = {
     "op5_url_filter": urlfilter.OP5_SQL,
     "op6_mixing": mixing.op6_sql(),
     "op7_warc": warc.OP7_SQL,
+    "op8_substring_dedup": substr.OP8_SQL,
 }
