@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lmscore, media, mixing, sharding, substr, toxicity, urlfilter, warc
+from . import decontam, lmscore, media, mixing, neardup, sharding, substr, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_kd_sharding": sharding.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_warc": warc.op7,
     "op8_substring_dedup": substr.op8,
     "op9_media_sequences": media.op9,
+    "op10_minhash_neardup": neardup.op10,
 }
 SQL = {
     "op2_decontamination": decontam.OP2_SQL,
@@ -21,4 +22,5 @@ SQL = {
     "op6_mixing": mixing.op6_sql(),
     "op7_warc": warc.OP7_SQL,
     "op8_substring_dedup": substr.OP8_SQL,
+    "op10_minhash_neardup": neardup.OP10_SQL,
 }
