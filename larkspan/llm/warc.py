@@ -132,16 +132,16 @@ def page_of(urn: str) -> int | None:
 def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
     """Pages with payloads of `smallest` bytes or more are deduplicated; smaller ones are all responses."""
     html = F.coalesce(pages["html"], F.lit("")).cast("binary")
-    keys = [pages["page_id"], pages["url"], F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("n")]
-    order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("url").isNull().alias("no_url"), F.col("url"))
-    narrow = pages.select(*keys).filter(F.col("n") >= smallest).groupBy("sha", "page_id", "url", "n").agg(F.count("*").alias("copies"))
-    firsts = narrow.groupBy("sha").agg(F.min(order).alias("first")).select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-    is_first = F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    row = F.xxhash64(pages["page_id"], pages["url"])
+    keys = [pages["page_id"], pages["url"], row.alias("row"), F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("n")]
+    order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("url").isNull().alias("no_url"), F.col("url"), F.col("row"))
+    narrow = pages.select(*keys).filter(F.col("n") >= smallest).groupBy("sha", "row", "page_id", "url", "n").agg(F.count("*").alias("copies"))
+    firsts = narrow.groupBy("sha").agg(F.min(order).alias("first")).select("sha", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
     full = pages.select(*keys, html.alias("html"))
-    at = [full["sha"] == firsts["sha"], full["page_id"].eqNullSafe(firsts["first_id"]), full["url"].eqNullSafe(firsts["first_url"])]
-    responses = full.join(firsts, at[0] & at[1] & at[2], "left_semi").groupBy("sha", "page_id", "url", "n").agg(F.first("html").alias("html"))
+    chosen = full.join(firsts.select("sha", F.col("first_row").alias("row")), ["sha", "row"], "left_semi")
+    responses = chosen.groupBy("sha", "row").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "n", "html")]).drop("row")
     small = full.filter(F.col("n") < smallest).select("sha", "page_id", "url", "n", "html")
-    left = F.col("copies") - is_first.cast("long")
+    left = F.col("copies") - (F.col("row") == F.col("first_row")).cast("long")
     revisits = narrow.join(firsts, "sha").filter(left > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
     rows = responses.unionByName(small).withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits.select("sha", "page_id", "url", "n", F.lit(None).cast("binary").alias("html"), F.col("first_id").alias("refers_to")))
 
