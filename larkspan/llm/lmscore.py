@@ -28,7 +28,7 @@ from .mixing import tokens_of
 
 PRIOR_WORD = 1000.0
 PRIOR_PAIR = 10.0
-START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+END = np.uint64(0xC2B2AE3D27D4EB4F)
 A, B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 MOST_BROADCAST = 2_000_000
 ASK, ANSWER = "bucket int, chunk int, keys binary, background binary, target binary", "chunk int, bucket int, background binary, target binary"
@@ -43,26 +43,32 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(u * B + A) + w * A)
 
 
-def keys_of(text: bytes, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the predicted words, of the words before them and of the pairs."""
-    h = known.of(text.lower().split())
-    w, u = np.append(h, END), np.insert(h, 0, START)
-    words, before = word_key(w), word_key(u)
-    before[0] = words[-1]  # a document has one start and one end: their counts agree
-    return words, before, pair_key(u, w)
+def tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all documents' words, END after each document that has words; and how many of them are each document's."""
+    known, parts, sizes = WordHashes(), [], []
+    for text in rows.column("text"):
+        words = (text.as_py() or b"").lower().split()
+        if words:
+            words.append(b"")  # no word is empty: the end's place
+        parts.append(known.of(words))
+        sizes.append(len(words))
+    h = np.concatenate(parts or [np.empty(0, np.uint64)])
+    sizes = np.array(sizes, np.int64)
+    h[np.cumsum(sizes)[sizes > 0] - 1] = END
+    return h, sizes
+
+
+def pairs_of(h: np.ndarray) -> np.ndarray:
+    """Keys of each token with the one before it; before a document's first is an end, its own or the last one's."""
+    return pair_key(np.concatenate([np.full(min(1, len(h)), END), h[:-1]]), h)
 
 
 def count(rows: pa.Table, buckets: int, chunk: int) -> pa.Table:
-    known, every, target = WordHashes(), [], []
-    for text, is_target in zip(rows.column("text"), rows.column("target"), strict=True):
-        raw = text.as_py()
-        if raw and raw.strip(b" \t\n\x0b\x0c\r"):
-            words, _, pairs = keys_of(raw, known)
-            every += [words, pairs]
-            if is_target.as_py():
-                target += [words, pairs]
-    keys, n = np.unique(np.concatenate(every or [np.empty(0, np.uint64)]), return_counts=True)
-    t_keys, t_n = np.unique(np.concatenate(target or [np.empty(0, np.uint64)]), return_counts=True)
+    h, sizes = tokens(rows)
+    marked = np.repeat(np.array(rows.column("target").to_pylist(), bool), sizes)
+    words, pairs = word_key(h), pairs_of(h)
+    keys, n = np.unique(np.concatenate([words, pairs]), return_counts=True)
+    t_keys, t_n = np.unique(np.concatenate([words[marked], pairs[marked]]), return_counts=True)
     t = np.zeros(len(keys), np.uint64)
     t[np.searchsorted(keys, t_keys)] = t_n
     at = bounds(keys, buckets)
@@ -82,31 +88,30 @@ def add_up(asked: pa.Table) -> pa.Table:
 
 
 def losses(rows: pa.Table, answers: pa.Table, n_all: int, n_target: int) -> pa.Table:
-    known, docs, every = WordHashes(), [], []
-    for text in rows.column("text"):
-        raw = text.as_py()
-        one = keys_of(raw, known) if raw and raw.strip(b" \t\n\x0b\x0c\r") else None
-        docs.append(one)
-        if one:
-            every += [one[0], one[2]]
-    keys = np.unique(np.concatenate(every or [np.empty(0, np.uint64)]))
+    h, sizes = tokens(rows)
+    words, w = np.unique(word_key(h), return_inverse=True)
+    pairs, uw = np.unique(pairs_of(h), return_inverse=True)
+    keys = np.union1d(words, pairs)
+    at_words, at_pairs = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
     by_bucket = answers.sort_by("bucket")
-    all_n, t_n = (np.concatenate([unpack_ints(x.as_py()) for x in by_bucket.column(c)] or [np.empty(0)]).astype(float) for c in ("background", "target"))
-    out = []
-    for doc_id, one in zip(rows.column("doc_id"), docs, strict=True):
-        if one is None:
-            out.append((doc_id.as_py(), 0, None, None, None))
-            continue
-        w, u, uw = (np.searchsorted(keys, k) for k in one)
-        base = all_n[w] / n_all
-        loss = []
-        for c, n in ((t_n, n_target), (all_n, n_all)):
-            word = (c[w] + PRIOR_WORD * base) / (n + PRIOR_WORD)
-            loss.append(float(-np.log((c[uw] + PRIOR_PAIR * word) / (c[u] + PRIOR_PAIR)).mean()))
-        out.append((doc_id.as_py(), len(w) - 1, loss[0], loss[1], loss[0] - loss[1]))
-    names = ("doc_id", "n_tokens", "target_loss", "background_loss", "score")
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-    return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate(zip(names, kinds, strict=True))})
+    sums = {c: np.concatenate([unpack_ints(x.as_py()) for x in by_bucket.column(c)] or [np.empty(0)]) for c in ("target", "background")}
+    del keys
+    end = np.searchsorted(words, word_key(np.array([END])))
+    before = np.concatenate([end[: min(1, len(w))], w[:-1]])
+    base = sums["background"][at_words] / max(n_all, 1)
+    full = sizes > 0
+    starts = (np.cumsum(sizes) - sizes)[full]
+    out = {}
+    for name, n in (("target", n_target), ("background", n_all)):
+        of_word = sums[name][at_words].astype(float)
+        prior = PRIOR_PAIR * (of_word + PRIOR_WORD * base) / (n + PRIOR_WORD)
+        odds = (sums[name][at_pairs].astype(float)[uw] + prior[w]) / (of_word + PRIOR_PAIR)[before]
+        loss = np.full(len(sizes), np.nan)
+        if full.any():
+            loss[full] = np.add.reduceat(-np.log(odds), starts) / sizes[full]
+        out[name] = loss
+    as_column = lambda x: pa.array(x, pa.float64(), mask=~full)
+    return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(np.maximum(sizes - 1, 0)), "target_loss": as_column(out["target"]), "background_loss": as_column(out["background"]), "score": as_column(out["target"] - out["background"])})
 
 
 def cross_entropy_difference(docs: DataFrame, target: Column) -> DataFrame:
