@@ -1,0 +1,80 @@
+"""Queries over users and orders, with results worked out by hand."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import pytest
+
+from larkspan.engine import Engine
+from larkspan.schema import ColumnType as C
+from larkspan.sources import write_rows
+
+from .conftest import assert_rows
+
+NAMES = "Alice Smith 25 USA,Bob Johnson 30 Canada,Charlie Brown 22 USA,David Wilson 35 UK,Eva Davis 28 Canada,Frank Miller 40 USA,Grace Taylor 27 UK,Hank Anderson 32 USA,Ivy Thomas 26 Canada,Jack Jackson 24 USA,Kate White 29 UK,Leo Harris 33 USA,Mia Martin 31 Canada,Nick Thompson 23 UK,Olivia Garcia 36 USA"
+USERS = [(i, f, last, int(age), c) for i, (f, last, age, c) in enumerate((x.split() for x in NAMES.split(",")), 1)]
+BOUGHT = "1 Laptop 1 1200 01-01,2 Mouse 2 25 01-05,3 Keyboard 1 45 02-10,1 Monitor 2 300 03-15,4 Laptop 1 1100 03-20,5 Mouse 1 30 04-01,6 Keyboard 2 50 04-10,7 Monitor 1 280 05-05,8 Laptop 1 1300 05-10,9 Mouse 3 27 06-01,10 Keyboard 1 40 06-15,11 Monitor 2 290 07-01,12 Laptop 1 1250 07-10,13 Mouse 2 26 07-15,14 Keyboard 1 42 08-01"
+ORDERS = [(i, int(u), p, int(q), float(x), f"2025-{d}") for i, (u, p, q, x, d) in enumerate((x.split() for x in BOUGHT.split(",")), 1)]
+USER_NAMES, ORDER_NAMES = ("user_id", "first_name", "last_name", "age", "country"), ("order_id", "user_id", "product", "quantity", "price", "order_date")
+FIRST = {u[0]: u[1] for u in USERS}
+COUNTRY = {u[0]: u[4] for u in USERS}
+
+
+def rows(names, values):
+    return [dict(zip(names, v, strict=True)) for v in values]
+
+
+def dated(o):
+    return (*o[:5], datetime.fromisoformat(o[5]))
+
+
+def totals(key, value, agg=sum):
+    out = {}
+    for o in ORDERS:
+        out.setdefault(key(o), []).append(value(o))
+    return {k: agg(v) for k, v in out.items()}
+
+
+def mean(v):
+    return sum(v) / len(v)
+
+
+CASES = {
+    "SELECT * FROM '{users}';": rows(USER_NAMES, USERS),
+    "SELECT first_name, last_name FROM '{users}' WHERE country='USA';": rows(("first_name", "last_name"), [u[1:3] for u in USERS if u[4] == "USA"]),
+    "SELECT first_name + ' ' + last_name AS full_name FROM '{users}';": rows(("full_name",), [(f"{u[1]} {u[2]}",) for u in USERS]),
+    "SELECT user_id, age, age+5 AS later FROM '{users}';": rows(("user_id", "age", "later"), [(u[0], u[3], u[3] + 5) for u in USERS]),
+    "SELECT * FROM '{orders}' WHERE price > 100;": rows(ORDER_NAMES, [dated(o) for o in ORDERS if o[4] > 100]),
+    "SELECT product, quantity*price AS value FROM '{orders}';": rows(("product", "value"), [(o[2], o[3] * o[4]) for o in ORDERS]),
+    "SELECT * FROM '{orders}' WHERE order_date BETWEEN '2025-03-01' AND '2025-06-01';": rows(ORDER_NAMES, [dated(o) for o in ORDERS if "2025-03-01" <= o[5] <= "2025-06-01"]),
+    "SELECT * FROM '{orders}' WHERE product LIKE '%top%';": rows(ORDER_NAMES, [dated(o) for o in ORDERS if "top" in o[2]]),
+    "SELECT country, COUNT() AS n FROM '{users}' GROUP BY country;": rows(("country", "n"), [("USA", 7), ("Canada", 4), ("UK", 4)]),
+    "SELECT user_id, SUM(quantity*price) AS spent FROM '{orders}' GROUP BY user_id;": rows(("user_id", "spent"), totals(lambda o: o[1], lambda o: o[3] * o[4]).items()),
+    "SELECT product, AVG(price) AS mean FROM '{orders}' GROUP BY product;": rows(("product", "mean"), totals(lambda o: o[2], lambda o: o[4], mean).items()),
+    "SELECT country, AVG(age) AS mean FROM '{users}' GROUP BY country;": rows(("country", "mean"), [(c, mean([u[3] for u in USERS if u[4] == c])) for c in ("USA", "Canada", "UK")]),
+    "SELECT user_id, COUNT() AS n FROM '{orders}' GROUP BY user_id HAVING COUNT() > 1;": rows(("user_id", "n"), [(1, 2)]),
+    "SELECT u.first_name, o.product FROM '{users}' AS u JOIN '{orders}' AS o ON u.user_id=o.user_id;": rows(("first_name", "product"), [(FIRST[o[1]], o[2]) for o in ORDERS]),
+    "SELECT u.country, COUNT() AS n FROM '{users}' AS u JOIN '{orders}' AS o ON u.user_id=o.user_id GROUP BY u.country;": rows(("country", "n"), totals(lambda o: COUNTRY[o[1]], lambda o: 1).items()),
+    "SELECT u.first_name, SUM(o.quantity*o.price) AS spent FROM '{users}' AS u JOIN '{orders}' AS o ON u.user_id=o.user_id GROUP BY u.first_name;": rows(("first_name", "spent"), totals(lambda o: FIRST[o[1]], lambda o: o[3] * o[4]).items()),
+    "SELECT u.first_name, o.product, o.price FROM '{users}' AS u LEFT JOIN '{orders}' AS o ON u.user_id=o.user_id WHERE o.price > 100;": rows(("first_name", "product", "price"), [(FIRST[o[1]], o[2], o[4]) for o in ORDERS if o[4] > 100]),
+    "SELECT u.first_name, o.product, o.order_date FROM '{orders}' AS o LEFT JOIN '{users}' AS u ON u.user_id=o.user_id WHERE o.order_date > '2025-05-01';": rows(("first_name", "product", "order_date"), [(FIRST[o[1]], o[2], dated(o)[5]) for o in ORDERS if o[5] > "2025-05-01"]),
+    "SELECT product, SUM(quantity) AS q, MAX(price) AS top FROM '{orders}' GROUP BY product;": rows(("product", "q", "top"), [("Laptop", 4, 1300.0), ("Mouse", 8, 30.0), ("Keyboard", 5, 50.0), ("Monitor", 5, 300.0)]),
+    "SELECT u.country, COUNT() AS n, SUM(o.quantity*o.price) AS sales FROM '{users}' AS u JOIN '{orders}' AS o ON u.user_id=o.user_id GROUP BY u.country HAVING SUM(o.quantity*o.price) > 500;": rows(("country", "n", "sales"), [("USA", 7, 4535.0), ("UK", 4, 2002.0)]),
+    # beyond the goldens: outer joins that differ from inner ones
+    "SELECT u.user_id AS a, o.user_id AS b FROM '{users}' AS u LEFT JOIN '{orders}' AS o ON u.user_id=o.user_id WHERE u.user_id > 13;": rows(("a", "b"), [(14, 14), (15, None)]),
+    "SELECT COUNT() AS n FROM '{orders}' AS o FULL JOIN '{users}' AS u ON u.user_id=o.user_id AND u.age > 30;": rows(("n",), [(24,)]),
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("golden")
+    write_rows(spark, f"{at}/users", USERS, [("user_id", C.INTEGER), ("first_name", C.STRING), ("last_name", C.STRING), ("age", C.INTEGER), ("country", C.STRING)])
+    write_rows(spark, f"{at}/orders", ORDERS, [("order_id", C.INTEGER), ("user_id", C.INTEGER), ("product", C.STRING), ("quantity", C.INTEGER), ("price", C.FLOAT), ("order_date", C.TIMESTAMP)])
+    return {"users": f"{at}/users", "orders": f"{at}/orders"}
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_query(spark, tables, text):
+    assert_rows(Engine(spark).sql(text.format(**tables)).collect(), CASES[text])
