@@ -69,9 +69,20 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def found_in(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which `keys` occur in `among`, which is sorted."""
-    if not len(among):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
-    return among[at] == keys
+class Among:
+    """Membership in a set of keys: a table of the keys' leading bits rules most others out before the exact look-up."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(keys)
+        self.shift = np.uint64(64 - min(25, max(10, (16 * len(keys)).bit_length())))
+        self.leads = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.leads[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = self.leads[(keys >> self.shift).astype(np.int64)]
+        maybe = np.nonzero(out)[0]
+        if len(maybe):
+            wanted = keys[maybe]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            out[maybe] = self.keys[at] == wanted
+        return out

@@ -18,14 +18,13 @@ are joined by one space; empty tables give empty results. Other columns are neve
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import bounds, buckets_for, chunk_of, chunks_for, found_in, pack_ints, pack_keys, unpack_ints, unpack_keys
+from .blocks import Among, bounds, buckets_for, chunk_of, chunks_for, pack_ints, pack_keys, unpack_ints, unpack_keys
 from .common import WordHashes, mix, table
 
 WINDOW = 50
@@ -39,25 +38,19 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 class Rolling:
     """Hashes of all windows of a length, from prefix sums of powers modulo 2**64."""
 
-    def __init__(self) -> None:
-        self.powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, h: np.ndarray, base: int) -> None:
+        up, self.down = (np.full(len(h), b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        for powers in (up, self.down):
+            powers[:1] = 1
+            np.cumprod(powers, dtype=np.uint64, out=powers)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
 
-    def table(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if base not in self.powers or len(self.powers[base][0]) < n:
-            size = max(1 << 12, 1 << n.bit_length())
-            inverse = pow(base, -1, 1 << 64)
-            steps = [np.full(size, b, np.uint64) for b in (base, inverse)]
-            for s in steps:
-                s[0] = 1
-            self.powers[base] = tuple(np.cumprod(s, dtype=np.uint64) for s in steps)
-        return self.powers[base]
+    def every(self, width: int) -> np.ndarray:
+        n = max(0, len(self.down) - width + 1)
+        return mix((self.sums[width : width + n] - self.sums[:n]) * self.down[:n])
 
-    def hashes(self, h: np.ndarray, width: int, base: int) -> np.ndarray:
-        if len(h) < width:
-            return np.empty(0, np.uint64)
-        up, down = self.table(base, len(h) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
-        return mix((sums[width:] - sums[:-width]) * down[: len(h) - width + 1])
+    def at(self, starts: np.ndarray, width: int) -> np.ndarray:
+        return mix((self.sums[starts + width] - self.sums[starts]) * self.down[starts])
 
 
 def messages(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -69,48 +62,55 @@ ANSWERED = [("chunk", pa.int32()), ("copy", pa.int64()), ("keys", pa.binary()),
 
 
 class Chunk:
-    """The documents of a chunk that are long enough and no copies, hashed; and what has been answered to it."""
+    """The words of a chunk's documents that are long enough and no copies, hashed, one document after the other."""
 
     def __init__(self, docs: pa.Table, copies: pa.Table, window: int) -> None:
         self.window, self.block = window, window // 2
-        self.known, self.rolling = WordHashes(), Rolling()
         self.copies = set(copies.column("copy").drop_null().to_pylist())
-        self.docs = docs
-
-    def hashed(self) -> Iterator[tuple[int, np.ndarray]]:
-        for row, doc_id, text in zip(self.docs.column("row"), self.docs.column("doc_id"), self.docs.column("text"), strict=True):
+        known, parts = WordHashes(), []
+        self.first_word: dict[int, int] = {}  # row of `docs` -> place of its first word
+        sizes, ids, n = [], [], 0
+        for i, (row, doc_id, text) in enumerate(zip(docs.column("row"), docs.column("doc_id"), docs.column("text"), strict=True)):
             if row.as_py() in self.copies or (raw := text.as_py()) is None:
                 continue
             words = raw.split()
-            if len(words) >= self.window:
-                yield doc_id.as_py(), self.known.of(words)
-
-    def anchors(self, h: np.ndarray) -> np.ndarray:
-        return self.rolling.hashes(h, self.block, BASE_A)
-
-    def candidates(self, hits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(id, words, positions of windows with a hit inside, their two hashes) of each document with hits."""
-        for doc_id, h in self.hashed():
-            at = np.concatenate([[0], np.cumsum(found_in(self.anchors(h), hits))])
-            n = len(h) - self.window + 1
-            reach = self.window - self.block + 1
-            start = np.nonzero(at[reach : reach + n] > at[:n])[0]
-            if len(start):
-                yield doc_id, len(h), start, self.rolling.hashes(h, self.window, BASE_A)[start], self.rolling.hashes(h, self.window, BASE_B)[start]
+            if len(words) >= window:
+                parts.append(known.of(words))
+                self.first_word[i] = n
+                sizes.append(len(words))
+                ids.append(NO_ID if (one := doc_id.as_py()) is None else one)
+                n += len(words)
+        self.h = np.concatenate(parts or [np.empty(0, np.uint64)])
+        sizes = np.array(sizes, np.int64)
+        self.place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.left = np.repeat(sizes, sizes) - self.place
+        self.ids = np.repeat(np.array(ids, np.int64), sizes)
+        self.rolling = Rolling(self.h, BASE_A)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows of block length, and which of them lie in one document."""
+        r = self.rolling.every(self.block)
+        return r, self.left[: len(r)] >= self.block
+
+    def candidates(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the windows start that have a hit inside, and their two hashes."""
+        n = max(0, len(self.h) - self.window + 1)
+        if not n or not len(hits):
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        r, inside = self.anchors()
+        so_far = np.concatenate([[0], np.cumsum(Among(hits).has(r) & inside, dtype=np.int64)])
+        reach = self.window - self.block + 1
+        starts = np.nonzero((so_far[reach : reach + n] > so_far[:n]) & (self.left[:n] >= self.window))[0]
+        return starts, self.rolling.at(starts, self.window), Rolling(self.h, BASE_B).at(starts, self.window)
 
 
 def send_anchors(docs: pa.Table, copies: pa.Table, chunk: int, window: int, buckets: int) -> pa.Table:
     """keys: blocks' hashes, `more` saying whether the chunk has one twice; first: the other rolling windows' hashes."""
     c = Chunk(docs, copies, window)
-    blocks, probes = [], []
-    for _, h in c.hashed():
-        r = c.anchors(h)
-        own = np.arange(len(r)) % c.block == 0
-        blocks.append(r[own])
-        probes.append(r[~own])
-    none = [np.empty(0, np.uint64)]
-    keys, n = np.unique(np.concatenate(blocks or none), return_counts=True)
-    probe = np.unique(np.concatenate(probes or none))
+    r, inside = c.anchors()
+    own = c.place[: len(r)] % c.block == 0
+    keys, n = np.unique(r[inside & own], return_counts=True)
+    probe = np.unique(r[inside & ~own])
     at, to = bounds(keys, buckets), bounds(probe, buckets)
     return messages([(b, chunk, pack_keys(keys[at[b] : at[b + 1]]), pack_ints(np.minimum(n[at[b] : at[b + 1]], 2)), pack_keys(probe[to[b] : to[b + 1]])) for b in range(buckets)], SENT)
 
@@ -121,11 +121,11 @@ def answer_anchors(sent: pa.Table) -> pa.Table:
     own = [unpack_keys(r["keys"]) for r in rows]
     every, at = np.unique(np.concatenate(own), return_inverse=True)
     n = np.bincount(at, np.concatenate([unpack_ints(r["more"])[: len(o)] for r, o in zip(rows, own, strict=True)]), len(every))
-    twice = every[n >= 2]
+    once, twice = Among(every), Among(every[n >= 2])
     out = []
     for r, o in zip(rows, own, strict=True):
         probe = unpack_keys(r["first"])
-        hits = np.union1d(o[found_in(o, twice)], probe[found_in(probe, every)])
+        hits = np.union1d(o[twice.has(o)], probe[once.has(probe)])
         if len(hits):
             out.append((r["chunk"], None, pack_keys(hits), None, None))
     return messages(out, ANSWERED)
@@ -135,24 +135,21 @@ def answered_keys(answers: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *[unpack_keys(k) for k in answers.column("keys").drop_null().to_pylist()]]))
 
 
-def own_windows(c: Chunk, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct candidate windows of the chunk, sorted by both hashes, with the smallest id that each starts in."""
-    a, b, ids = [], [], []
-    for doc_id, _, _, h1, h2 in c.candidates(hits):
-        a.append(h1)
-        b.append(h2)
-        ids.append(np.full(len(h1), NO_ID if doc_id is None else doc_id, np.int64))
-    if not a:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    a, b, ids = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
+def distinct_windows(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows, sorted by both hashes, the smallest id of each, and which of them each given window is."""
     order = np.lexsort((ids, b, a))
-    a, b, ids = a[order], b[order], ids[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return a[new], b[new], ids[new]
+    sa, sb = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])
+    which = np.empty(len(a), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return sa[new], sb[new], ids[order][new], which
 
 
 def send_windows(docs: pa.Table, answers: pa.Table, chunk: int, window: int, buckets: int) -> pa.Table:
-    a, b, ids = own_windows(Chunk(docs, answers, window), answered_keys(answers))
+    c = Chunk(docs, answers, window)
+    starts, h1, h2 = c.candidates(answered_keys(answers))
+    a, b, ids, _ = distinct_windows(h1, h2, c.ids[starts])
     at = bounds(a, buckets)
     flipped = ids.astype(np.uint64) ^ np.uint64(1 << 63)  # ids may be negative
     small = pack_ints if len(ids) and ids.min() < 0 else lambda x: pack_ints(x ^ np.uint64(1 << 63))
@@ -169,15 +166,10 @@ def answer_windows(sent: pa.Table) -> pa.Table:
     """To each chunk its windows that start in another chunk's document with a smaller id, and that id."""
     rows = sent.to_pylist()
     parts = [(unpack_keys(r["keys"]), unpack_ints(r["more"]), unpack_ids(r["first"])) for r in rows]
-    a, b, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((ids, b, a))
-    sa, sb = a[order], b[order]
-    new = np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])])
-    least = np.empty(len(ids), np.int64)
-    least[order] = ids[order][np.nonzero(new)[0]][np.cumsum(new) - 1]
+    _, _, least, which = distinct_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
     out, end = [], 0
     for r, (ka, kb, ki) in zip(rows, parts, strict=True):
-        best = least[end : end + len(ka)]
+        best = least[which[end : end + len(ka)]]
         end += len(ka)
         lost = best < ki
         if lost.any():
@@ -185,52 +177,43 @@ def answer_windows(sent: pa.Table) -> pa.Table:
     return messages(out, ANSWERED)
 
 
-def settled(c: Chunk, hits: np.ndarray, replies: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The chunk's candidate windows with the smallest id of all chunks."""
-    a, b, ids = own_windows(c, hits)
-    for r in replies:  # each names windows of `a`, in the same order
-        ra, rb = unpack_keys(r["keys"]), unpack_ints(r["more"])
-        at = np.searchsorted(a, ra)
-        while (off := (a[at] == ra) & (b[at] != rb)).any():
-            at[off] += 1
-        ids[at] = (unpack_ints(r["first"]) ^ np.uint64(1 << 63)).astype(np.int64)
-    return a, b, ids
-
-
-def removed_of(c: Chunk, doc_id: int | None, words: int, start: np.ndarray, h1: np.ndarray, h2: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(a, h1)
-    while (off := b[at] != h2).any():
-        at[off] += 1
-    lost = start[ids[at] < (NO_ID if doc_id is None else doc_id)]
-    change = np.zeros(words + 1, np.int64)
-    np.add.at(change, lost, 1)
-    np.add.at(change, np.minimum(lost + c.window, words), -1)
-    return np.cumsum(change[:-1]) > 0
+def gone_words(c: Chunk, answers: pa.Table) -> np.ndarray:
+    """Which words of the chunk go."""
+    listed = answers.to_pylist()
+    first_round = [unpack_keys(r["keys"]) for r in listed if r["keys"] is not None and r["first"] is None]
+    starts, h1, h2 = c.candidates(np.unique(np.concatenate([np.empty(0, np.uint64), *first_round])))
+    a, b, least, which = distinct_windows(h1, h2, c.ids[starts])
+    for r in listed:
+        if r["first"] is not None:  # names windows of `a`, in the same order
+            ra, rb = unpack_keys(r["keys"]), unpack_ints(r["more"])
+            at = np.searchsorted(a, ra)
+            while (off := (a[at] == ra) & (b[at] != rb)).any():
+                at[off] += 1
+            least[at] = (unpack_ints(r["first"]) ^ np.uint64(1 << 63)).astype(np.int64)
+    lost = starts[least[which] < c.ids[starts]]
+    change = np.zeros(len(c.h) + 1, np.int32)
+    change[lost] = 1
+    change[: len(c.h)] = np.cumsum(change[: len(c.h)])  # windows begun so far
+    done = np.zeros(len(c.h), np.int32)
+    done[c.window :] = change[: max(0, len(c.h) - c.window)]
+    return change[: len(c.h)] > done
 
 
 def judge(docs: pa.Table, answers: pa.Table, window: int, texts: bool) -> pa.Table:
     c = Chunk(docs, answers, window)
-    replies = [r for r in answers.to_pylist() if r["first"] is not None]
-    hits = np.unique(np.concatenate([np.empty(0, np.uint64), *[unpack_keys(r["keys"]) for r in answers.to_pylist() if r["keys"] is not None and r["first"] is None]]))
-    a, b, ids = settled(c, hits, replies)
+    gone = gone_words(c, answers)
     out = []
-    for row, doc_id, text in zip(c.docs.column("row"), c.docs.column("doc_id"), c.docs.column("text"), strict=True):
-        raw, i = text.as_py(), doc_id.as_py()
-        words = raw.split() if raw is not None else []
-        gone = np.zeros(len(words), bool)
-        if len(words) >= window:
-            if row.as_py() in c.copies:
-                gone[:] = True
-            else:
-                h = c.known.of(words)
-                found = np.concatenate([[0], np.cumsum(found_in(c.anchors(h), hits))])
-                n, reach = len(h) - window + 1, window - c.block + 1
-                start = np.nonzero(found[reach : reach + n] > found[:n])[0]
-                if len(start):
-                    h1, h2 = (c.rolling.hashes(h, window, base)[start] for base in (BASE_A, BASE_B))
-                    gone = removed_of(c, i, len(h), start, h1, h2, a, b, ids)
-        kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
-        out.append((i, len(words), int(gone.sum()), kept if texts else hashlib.sha256(kept).hexdigest()))
+    for i, (row, doc_id, text) in enumerate(zip(docs.column("row"), docs.column("doc_id"), docs.column("text"), strict=True)):
+        words = (text.as_py() or b"").split()
+        n, removed, kept = len(words), 0, words
+        if i in c.first_word:
+            own = gone[c.first_word[i] : c.first_word[i] + n]
+            if removed := int(own.sum()):
+                kept = [w for w, g in zip(words, own.tolist(), strict=True) if not g]
+        elif n >= window and row.as_py() in c.copies:
+            removed, kept = n, []
+        kept = b" ".join(kept)
+        out.append((doc_id.as_py(), n, removed, kept if texts else hashlib.sha256(kept).hexdigest()))
     kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()) if texts else ("kept_sha256", pa.string())]
     return messages(out, kinds)
 
