@@ -31,11 +31,11 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def windows(words: Column, width: int, value) -> Column:
-    """value(window) of each `width` consecutive words, in order."""
+def windows(words: Column, width: int, value, none: Column) -> Column:
+    """value(window) of each `width` consecutive words, in order; `none` for fewer words."""
     starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
     found = F.transform(starts, lambda i: value(F.slice(words, i, F.lit(width))))
-    return F.when(F.size(words) >= width, found).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(words) >= width, found).otherwise(none)
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
@@ -64,16 +64,16 @@ def spans_of(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFram
     pos, last = F.col("at") - start, before
 
     def hashes(value, mark) -> Column:
-        return F.concat(*[windows(F.col("words"), length, value) for length in lens], F.array(F.lit(mark).cast("long")))
+        none = F.array().cast("array<long>")
+        return F.concat(*[windows(F.col("words"), length, value, none) for length in lens], F.array(F.lit(mark).cast("long")))
 
     if sum(sizes.values()) <= MOST_BROADCAST:
         rows = texts.select("doc_id", "text_key", "words", F.posexplode(hashes(F.xxhash64, MARK)).alias("at", "h"))
         same = F.when(F.col("len") == 0, F.col("at") == last).otherwise(F.slice("words", pos + 1, F.greatest("len", F.lit(1))) == F.col("gram"))
         hits = rows.join(F.broadcast(index.drop("h2").withColumnRenamed("h", "gh")), (F.col("h") == F.col("gh")) & same)
     else:
-        both = lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit(SECOND), g).alias("h2"))
         empty = F.array().cast("array<struct<h:bigint,h2:bigint>>")
-        parts = [F.when(n >= length, F.transform(F.sequence(F.lit(1), n - (length - 1)), lambda i, length=length: both(F.slice("words", i, F.lit(length))))).otherwise(empty) for length in lens]
+        parts = [windows(F.col("words"), length, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit(SECOND), g).alias("h2")), empty) for length in lens]
         end = F.array(F.struct(F.lit(MARK).cast("long").alias("h"), F.lit(MARK).cast("long").alias("h2")))
         rows = texts.select("doc_id", "text_key", n.alias("n"), F.posexplode(F.concat(*parts, end)).alias("at", "g"))
         found = rows.filter(F.col("g.h") != MARK).select("*", F.col("g.h").alias("h"), F.col("g.h2").alias("h2")).join(grams.drop("gram"), ["h", "h2"])
@@ -109,14 +109,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, spans:
     found = cut(judged(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("spans").alias("_hit_spans")).dropDuplicates(["_hit_id", "_hit_key"]), "hits")
     if found.count() <= MOST_BROADCAST:
         found = F.broadcast(found)
-    on = docs["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"]) == F.col("_hit_key"))
+    on = docs["doc_id"].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs["text"]) == found["_hit_key"])
     if not spans:
         return docs.join(found, on, "left_anti")
     out = docs.join(found, on, "left")
     text = docs["text"]
     pieces = F.regexp_extract_all(text, F.lit(f"{ANY_CASE}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"), F.lit(0))
-    kept = F.filter(pieces, lambda p, i: ~F.exists(F.col("_hit_spans"), lambda s: (s["s"] <= i) & (i < s["e"])))
-    cleaned = F.when(F.col("_hit_id").isNull() & F.col("_hit_spans").isNull(), text).otherwise(F.array_join(kept, ""))
+    kept = F.filter(pieces, lambda p, i: ~F.exists(found["_hit_spans"], lambda s: (s["s"] <= i) & (i < s["e"])))
+    cleaned = F.when(found["_hit_spans"].isNull(), text).otherwise(F.array_join(kept, ""))
     return out.select(*[cleaned.alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 

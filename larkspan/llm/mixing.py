@@ -94,20 +94,21 @@ def cell_probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = N
     return F.broadcast(out) if rows <= MOST_BROADCAST else out
 
 
-def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:
-    """The columns of `docs` and _source, _lang, _topic and _p."""
+def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> tuple[DataFrame, DataFrame]:
+    """The documents joined with their cells, and the cells: columns are told apart by frame, whatever their names."""
     p = cell_probabilities(docs, targets, temper)
-    return docs.join(p, docs["source"].eqNullSafe(p["_source"]) & docs["lang"].eqNullSafe(p["_lang"]) & (topic_of(docs["text"]) == p["_topic"]))
+    return docs.join(p, docs["source"].eqNullSafe(p["_source"]) & docs["lang"].eqNullSafe(p["_lang"]) & (topic_of(docs["text"]) == p["_topic"])), p
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = 1) -> DataFrame:
     """The documents that are drawn, with the columns of `docs`."""
-    return with_probability(docs, targets, temper).filter(draw_of(docs["doc_id"], seed) < F.col("_p")).select(*[docs[c] for c in docs.columns])
+    rows, p = with_probability(docs, targets, temper)
+    return rows.filter(draw_of(docs["doc_id"], seed) < p["_p"]).select(*[docs[c] for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, seed: int = 1) -> DataFrame:
-    rows = with_probability(docs, targets, temper)
-    return rows.select(docs["doc_id"], F.col("_topic").alias("topic"), tokens_of(docs["text"]).alias("tokens"), F.round("_p", 6).alias("probability"), (draw_of(docs["doc_id"], seed) < F.col("_p")).alias("kept"))
+    rows, p = with_probability(docs, targets, temper)
+    return rows.select(docs["doc_id"], p["_topic"].alias("topic"), tokens_of(docs["text"]).alias("tokens"), F.round(p["_p"], 6).alias("probability"), (draw_of(docs["doc_id"], seed) < p["_p"]).alias("kept"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

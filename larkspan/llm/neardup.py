@@ -257,7 +257,7 @@ def one_of_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width:
     gone = cut(near_duplicates(docs, threshold, width).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
