@@ -9,8 +9,8 @@ No bucket is expanded into its pairs up front:
 1. each member is compared with its bucket's smallest id; every document keeps its best such partner, those pairs are
    confirmed exactly, and confirmed links are joined to components;
 2. only in buckets that then still hold several components are the remaining pairs compared, across components: strays
-   against all members, in blocks of BLOCK, whatever the bucket's size; survivors are confirmed exactly, and the
-   components joined again.
+   against all members, in blocks of BLOCK, whatever the bucket's size; survivors are confirmed exactly where they are
+   compared, so no pairs are listed, and the components joined again.
 A pair that is skipped has both ends in one component already, so components are those of all links among candidates.
 Components come from rounds of contraction to the smallest neighbour, each written to the shared folder.
 
@@ -18,8 +18,7 @@ A pair at the threshold is in no common bucket with probability (1 - 0.85**6)**2
 
 Words are runs of other than ASCII white space, A-Z lower-cased. Defined results: null texts and texts without words
 have no shingles and are alone; a text with fewer words than `width` has its whole sequence as one; null ids are alone
-and keep a null component; rows that agree in id are one document (the first of their sets by hash, others alone
-with the same id); empty tables give empty results. Other columns are never read by the query.
+and keep a null component; rows that agree in id share a component, and one of their sets is compared for all; empty tables give empty results. Other columns are never read by the query.
 """
 
 from __future__ import annotations
@@ -143,13 +142,22 @@ def compared(pairs: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, matches long")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the ids; other texts aren't moved."""
+    ids = cut(ids.distinct(), "ids")
+    named = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return docs.select(docs["doc_id"].alias("id"), docs["text"].cast("binary").alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
+
+
+def reaches(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and threshold[1] * common >= threshold[0] * (len(x) + len(y) - common)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], width: int) -> DataFrame:
-    """pairs (a, b) whose full sets reach the threshold; only texts that a pair names are moved."""
-    part, whole = threshold
+    """pairs (a, b) whose full sets reach the threshold."""
     pairs = cut(pairs.select("a", "b"), "pairs")
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    named = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    texts = docs.select(docs["doc_id"].alias("id"), docs["text"].cast("binary").alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +168,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], wid
             for a, x, y in zip(t.column("a").to_pylist(), t.column("x"), t.column("y"), strict=True):
                 if a != last:
                     last, last_set = a, shingles(x.as_py(), known, width)
-                other = shingles(y.as_py(), known, width)
-                common = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(common > 0 and whole * common >= part * (len(last_set) + len(other) - common))
+                keep.append(reaches(last_set, shingles(y.as_py(), known, width), threshold))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
 
@@ -186,39 +192,87 @@ def components(links: DataFrame) -> DataFrame:
     return names
 
 
-def unresolved(members: DataFrame, names: DataFrame, signatures: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
-    """Surviving pairs across components within a bucket.
+def of_similar_size(x, y, threshold: tuple[int, int]):
+    """Whether sets of these sizes can reach the threshold; for columns and for arrays."""
+    return (threshold[1] * x >= threshold[0] * y) & (threshold[1] * y >= threshold[0] * x)
+
+
+def block_pairs(t: pa.Table, least: list[tuple[int, int]], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of surviving pairs of a block, and their matches; a pair counts in the first band that it shares."""
+    x, (side, rep, name, n) = as_rows(t.column("bytes")), (t.column(c).to_numpy() for c in ("side", "rep", "component", "n"))
+    stray = np.array(t.column("stray").to_pylist(), bool)
+    bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    key, right = t.column("key")[0].as_py(), np.nonzero(side == 1)[0]
+    first, other, matches = [], [], []
+    for k in np.nonzero(side == 0)[0]:
+        at = right[(name[right] != name[k]) & (~stray[right] | (rep[right] > rep[k])) & of_similar_size(n[right], n[k], threshold)]
+        if len(at):
+            shared = bands[at] == bands[k]
+            at = at[bands[k][shared.argmax(axis=1)] == key]
+            ok, m = survives(np.broadcast_to(x[k], (len(at), x.shape[1])), x[at], least)
+            first.append(np.full(int(ok.sum()), k))
+            other.append(at[ok])
+            matches.append(m[ok])
+    none = [np.empty(0, np.int64)]
+    return tuple(np.concatenate(p or none) for p in (first, other, matches))
+
+
+PLACED = ["key", "i", "j", "side", "rep", "component", "stray"]
+
+
+def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame, docs: DataFrame, least: list[tuple[int, int]], threshold: tuple[int, int], width: int) -> DataFrame:
+    """Confirmed links across components within a bucket.
 
     Strays (members outside the component of the bucket's smallest id) meet all members, both dealt into blocks: what
     is moved grows with members plus strays times blocks, and members of the main component never meet each other.
+    A first pass over signatures finds the members with surviving pairs; only their texts are dealt to the second, which
+    confirms pairs on full sets, most alike first, and leaves out those whose ends its own links join already.
     """
     own = names.select(F.col("id").alias("rep"), "component")
     main = names.select(F.col("id").alias("hub"), F.col("component").alias("main"))
     named = members.join(own, "rep", "left").join(main, "hub", "left")
     named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("component", "rep") != F.coalesce("main", "hub")).alias("stray"))
-    blocks = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s")).filter("n > 2 AND s > 0").select("key", F.ceil(F.col("s") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
-    rows = cut(named.join(blocks, "key").join(signatures.select(F.col("doc_id").alias("rep"), "bytes"), "rep"), "open")
+    blocks = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s")).filter("s > 0").select("key", F.ceil(F.col("s") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
+    facts = signatures.select(F.col("doc_id").alias("rep"), "bytes", "bands", F.col("n_shingles").alias("n"))
+    rows = cut(named.join(blocks, "key"), "open").join(facts, "rep")
     at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.filter("stray").withColumn("i", at("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
     right = rows.withColumn("j", at("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1))
-    wanted = ["key", "i", "j", "side", "rep", "component", "stray", "bytes"]
-
-    def run(t: pa.Table) -> pa.Table:
-        x, (side, rep, name) = as_rows(t.column("bytes")), (t.column(c).to_numpy() for c in ("side", "rep", "component"))
-        stray = np.array(t.column("stray").to_pylist(), bool)
-        right = np.nonzero(side == 1)[0]
-        a, b = [], []
-        for k in np.nonzero(side == 0)[0]:
-            others = right[(name[right] != name[k]) & (~stray[right] | (rep[right] > rep[k]))]
-            if len(others):
-                ok, _ = survives(np.broadcast_to(x[k], (len(others), x.shape[1])), x[others], least)
-                a += [rep[k]] * int(ok.sum())
-                b += rep[others[ok]].tolist()
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return left.select(*wanted).union(right.select(*wanted)).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    wanted = [*PLACED, "bytes", "bands", "n"]
+
+    def with_survivors(t: pa.Table) -> pa.Table:
+        first, other, _ = block_pairs(t, least, threshold)
+        return t.select(PLACED).take(pa.array(np.unique(np.concatenate([first, other]))))
+
+    def link(t: pa.Table) -> pa.Table:
+        rep, name, text = t.column("rep").to_pylist(), t.column("component").to_pylist(), t.column("text")
+        first, other, matches = block_pairs(t, least, threshold)
+        known, sets, joined, out = WordHashes(), {}, {}, []
+
+        def top(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(text[k].as_py(), known, width)
+            return sets[k]
+
+        for k in np.argsort(-matches, kind="stable"):
+            x, y = int(first[k]), int(other[k])
+            a, b = top(name[x]), top(name[y])
+            if a != b and reaches(set_of(x), set_of(y), threshold):
+                joined[max(a, b)] = min(a, b)
+                out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    placed = "key long, i int, j int, side int, rep long, component long, stray boolean"
+    alive = cut(left.select(*wanted).union(right.select(*wanted)).groupBy("key", "i", "j").applyInArrow(with_survivors, placed), "alive")
+    texts = texts_of(alive.select(F.col("rep").alias("id")), docs).withColumnRenamed("id", "rep")
+    full = alive.join(facts, "rep").join(texts, "rep").select(*wanted, "text")
+    return cut(full.groupBy("key", "i", "j").applyInArrow(link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, miss: float = MISS) -> DataFrame:
@@ -227,22 +281,19 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, wid
     signatures = cut(signed(docs, width), "signatures")
     sets = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b", "n_shingles")
     classes = cut(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    one = signatures.filter("n_shingles > 0").select("doc_id", "set_a", "set_b", "bytes", "bands")
+    one = signatures.filter("n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles", "bytes", "bands")
     reps = one.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
-    bytes_of = reps.select("doc_id", "bytes")
+    reps = cut(reps, "reps")
     banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     members = cut(banded.join(shared, "key"), "members")
     stars = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    with_bytes = stars.join(bytes_of.select(F.col("doc_id").alias("a"), F.col("bytes").alias("x")), "a").join(bytes_of.select(F.col("doc_id").alias("b"), F.col("bytes").alias("y")), "b")
-    alive = cut(compared(with_bytes, least), "alive")
-    best = alive.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
+    end = lambda i, x, n: reps.select(F.col("doc_id").alias(i), F.col("bytes").alias(x), F.col("n_shingles").alias(n))
+    with_bytes = stars.join(end("a", "x", "na"), "a").join(end("b", "y", "nb"), "b").filter(of_similar_size(F.col("na"), F.col("nb"), threshold))
+    best = compared(with_bytes, least).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     links = confirmed(best, docs, threshold, width)
     names = components(links)
-    one_name = lambda n, c: n.select(F.col("id").alias(c), F.col("component").alias(f"{c}_name"))
-    across = unresolved(members, names, bytes_of, least).union(alive.select("a", "b")).distinct().join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti")
-    rest = across.join(one_name(names, "a"), "a", "left").join(one_name(names, "b"), "b", "left").filter(F.coalesce("a_name", "a") != F.coalesce("b_name", "b"))
-    more = confirmed(rest, docs, threshold, width)
+    more = remaining_links(members, names, reps, docs, least, threshold, width)
     if not more.isEmpty():
         names = components(links.union(more))
     joined = classes.join(names.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
