@@ -225,11 +225,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     buckets = buckets_for(chunks)
     key = F.xxhash64(docs["doc_id"], docs["text"])
     rows = docs.select(docs["doc_id"], docs["text"].cast("binary").alias("text"), key.alias("row"), chunk_of(docs, chunks).alias("chunk"))
-    names = docs.select(docs["doc_id"], key.alias("row"), chunk_of(docs, chunks).alias("chunk"), F.sha2(docs["text"], 256).alias("sha")).filter("sha IS NOT NULL")
+    names = docs.select(docs["doc_id"], key.alias("row"), chunk_of(docs, chunks).alias("chunk"), F.sha2(docs["text"], 256).alias("sha"), F.octet_length(docs["text"]).alias("n_bytes")).filter("sha IS NOT NULL")
     own = F.coalesce("doc_id", F.lit(NO_ID))
-    firsts = names.groupBy("sha").agg(F.min(own).alias("least"), F.count("*").alias("n")).filter("n > 1").select("sha", "least")
+    # The join has a key more than the grouping: so both of its sides are dealt anew, and Spark can split a large group.
+    firsts = names.groupBy("sha").agg(F.max("n_bytes").alias("n_bytes"), F.min(own).alias("least"), F.count("*").alias("n")).filter("n > 1").select("sha", "n_bytes", "least")
     none = F.lit(None).cast("binary")
-    copies = names.join(firsts, "sha").filter(own > F.col("least")).select("chunk", F.col("row").alias("copy"), none.alias("keys"), none.alias("more"), none.alias("first"))
+    copies = names.join(firsts, ["sha", "n_bytes"]).filter(own > F.col("least")).select("chunk", F.col("row").alias("copy"), none.alias("keys"), none.alias("more"), none.alias("first"))
     sent = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(lambda k, t, c: send_anchors(t, c, key_of(k), window, buckets), MESSAGE)
     hits = sent.groupBy("bucket").applyInArrow(lambda t: answer_anchors(t), HITS).unionByName(copies)
     again = rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda k, t, h: send_windows(t, h, key_of(k), window, buckets), MESSAGE)
