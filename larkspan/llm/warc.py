@@ -3,7 +3,8 @@
 The writer makes one gzip member a record. Of pages with equal payloads the one with the smallest page_id becomes a
 response, the others revisits that refer to it; which is which is settled on digests alone, so a payload moves through
 one shuffle at most and payloads of revisits through none. Spark's text sink writes the members, with an empty gzip
-member as line separator: files are valid .warc.gz on any file system, committed task by task.
+member as line separator: files are valid .warc.gz on any file system, committed task by task. A file holds about
+FILE_BYTES before compression, as it is read back whole.
 
 The salvage reader takes a file's bytes apart record by record. A record that fails a check (gzip CRC, version line,
 length, block digest) is given up; the search goes on at the next gzip magic or version line that begins a valid record,
@@ -30,7 +31,7 @@ from .common import new_path, table
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-RECORDS_A_FILE = 4_000
+FILE_BYTES = 64 << 20
 FEED = 1 << 16
 
 RECORD_SCHEMA = "kind string, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, file string, gap_from long, gap_to long, reason string"
@@ -136,13 +137,14 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
     keys = [pages["page_id"], pages["url"], row.alias("row"), F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("n")]
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("url").isNull().alias("no_url"), F.col("url"), F.col("row"))
     narrow = pages.select(*keys).filter(F.col("n") >= smallest).groupBy("sha", "row", "page_id", "url", "n").agg(F.count("*").alias("copies"))
-    firsts = narrow.groupBy("sha").agg(F.min(order).alias("first")).select("sha", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
+    # The join below has a key more than this grouping, so that Spark can split a payload that very many pages share.
+    firsts = narrow.groupBy("sha").agg(F.max("n").alias("n"), F.min(order).alias("first")).select("sha", "n", F.col("first.page_id").alias("first_id"), F.col("first.row").alias("first_row"))
     full = pages.select(*keys, html.alias("html"))
     chosen = full.join(firsts.select("sha", F.col("first_row").alias("row")), ["sha", "row"], "left_semi")
     responses = chosen.groupBy("sha", "row").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "n", "html")]).drop("row")
     small = full.filter(F.col("n") < smallest).select("sha", "page_id", "url", "n", "html")
     left = F.col("copies") - (F.col("row") == F.col("first_row")).cast("long")
-    revisits = narrow.join(firsts, "sha").filter(left > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
+    revisits = narrow.join(firsts, ["sha", "n"]).filter(left > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), left)))
     rows = responses.unionByName(small).withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits.select("sha", "page_id", "url", "n", F.lit(None).cast("binary").alias("html"), F.col("first_id").alias("refers_to")))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +155,9 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
                 out.append(member(make_record(r["page_id"], r["url"], r["html"], digest, r["n"], r["refers_to"])))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     packed = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    packed.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1000)))).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
