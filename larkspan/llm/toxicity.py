@@ -30,7 +30,7 @@ from .common import table
 
 MOST_LABELLED = 6_000
 FOLDS = 4
-MOST_FEATURES = 1_500
+MOST_FEATURES = 800
 LEAST_DOCS = 4
 LEAST_Z = 4.0
 RIDGE = 2.0
@@ -109,7 +109,7 @@ def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Linear:
         share = float(y.mean()) if len(y) else 0.0
         return Linear(np.empty(0, np.int64), np.zeros(earlier.shape[1]), 30.0 if share else -30.0)
     ids = choose(rows, y)
-    x = np.zeros((len(rows), len(ids) + earlier.shape[1] + 1))
+    x = np.zeros((len(rows), len(ids) + earlier.shape[1] + 1), np.float32)
     for i, r in enumerate(rows):
         if len(ids):
             at = np.minimum(np.searchsorted(ids, r), len(ids) - 1)
@@ -119,11 +119,15 @@ def fit(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Linear:
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-3
     for _ in range(12):
-        p = sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+        p = sigmoid(x @ w.astype(np.float32)).astype(float)
+        h, g = np.diag(ridge), ridge * w
+        for i in range(0, len(x), 1000):  # in blocks, so that no second copy of x is held
+            part, q = x[i : i + 1000], p[i : i + 1000]
+            h += (part * (q * (1 - q)).astype(np.float32)[:, None]).T @ part
+            g += part.T @ (q - y[i : i + 1000]).astype(np.float32)
+        step = np.linalg.solve(h, g)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-3:
             break
     return Linear(ids, w[:-1], float(w[-1]))
 
@@ -180,7 +184,15 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], mos
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), *[b.column(n) for n in names]], names=["doc_id", "ids", *names])
 
     got = texts.mapInArrow(extract, "doc_id long, ids binary, " + ", ".join(f"{n} int" for n in names)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return [np.frombuffer(r["ids"], np.int32).astype(np.int64) for r in got], np.array([[r[n] for n in names] for r in got]).reshape(len(got), len(names))
+    y = np.array([[r[n] for n in names] for r in got]).reshape(len(got), len(names))
+    return often([np.frombuffer(r["ids"], np.int32) for r in got]), y
+
+
+def often(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows without ids that no fold could choose, as too few of all rows have them."""
+    ids, n = np.unique(np.concatenate(rows or [np.empty(0, np.int32)]), return_counts=True)
+    ids = ids[n >= LEAST_DOCS]
+    return [r[np.isin(r, ids, assume_unique=True)] for r in rows]
 
 
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
