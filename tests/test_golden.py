@@ -63,7 +63,7 @@ CASES = {
     "SELECT u.country, COUNT() AS n, SUM(o.quantity*o.price) AS sales FROM '{users}' AS u JOIN '{orders}' AS o ON u.user_id=o.user_id GROUP BY u.country HAVING SUM(o.quantity*o.price) > 500;": rows(("country", "n", "sales"), [("USA", 7, 4535.0), ("UK", 4, 2002.0)]),
     # beyond the goldens: outer joins that differ from inner ones
     "SELECT u.user_id AS a, o.user_id AS b FROM '{users}' AS u LEFT JOIN '{orders}' AS o ON u.user_id=o.user_id WHERE u.user_id > 13;": rows(("a", "b"), [(14, 14), (15, None)]),
-    "SELECT COUNT() AS n FROM '{orders}' AS o FULL JOIN '{users}' AS u ON u.user_id=o.user_id AND u.age > 30;": rows(("n",), [(24,)]),
+    "SELECT COUNT() AS n FROM '{orders}' AS o FULL JOIN '{users}' AS u ON u.user_id=o.user_id AND u.age > 30;": rows(("n",), [(25,)]),
 }
 
 
