@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MOST_BROADCAST = 300_000
 MARK = -1
@@ -28,7 +28,9 @@ SECOND = 20_011
 
 
 def words_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """What lies between separators; splitting there is several times as fast as extracting matches."""
+    parts = F.array_remove(F.split(ascii_lower(text), BETWEEN_WORDS), "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
 
 def windows(words: Column, width: int, value, none: Column) -> Column:
