@@ -42,7 +42,8 @@ def topic_of(text: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    parts = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long")
 
 
 def draw_of(key: Column, seed: int) -> Column:
