@@ -82,8 +82,8 @@ class Chunk:
                 n += len(words)
         self.h = np.concatenate(parts or [np.empty(0, np.uint64)])
         sizes = np.array(sizes, np.int64)
-        self.place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.left = np.repeat(sizes, sizes) - self.place
+        self.place = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        self.left = np.repeat(sizes.astype(np.int32), sizes) - self.place
         self.ids = np.repeat(np.array(ids, np.int64), sizes)
         self.rolling = Rolling(self.h, BASE_A)
 

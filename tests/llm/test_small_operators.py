@@ -248,3 +248,13 @@ def test_interleaved(spark):
     got = {r.page_id: r.elements for r in media.interleaved(pages, media.media_facts(store)).collect()}
     assert [(e.pos, e.kind, e.text if e.kind == "text" else e.digest, e.caption, e.payload_bytes) for e in got[1]] == [(0, "text", "T", None, None), (1, "text", "One two", None, None), (2, "media", "d1", "a caption", 64), (3, "text", "tail", None, None), (4, "media", "d2", "lost", None), (5, "media", None, None, None)]
     assert got[2] == [] and got[3] == [] and got[None][0].text == "x"
+
+
+def test_native_plans(spark, docs, capsys):
+    """No Python runs on executors for the operators that must do without."""
+    b = spark.createDataFrame(BENCH, "item_id long, text string")
+    pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    for df in (decontam.judged(docs, b), decontam.decontaminate(docs, b), urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, RULES)), mixing.mix(docs), mixing.mix_report(docs)):
+        df.explain()
+        plan = capsys.readouterr().out
+        assert "Scan" in plan and not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
