@@ -10,8 +10,10 @@ from pyspark.sql import SparkSession
 PROFILES = {"ansi": "true", "wrapping": "false"}
 
 
-def build_session(profile: str = "ansi", master: str | None = None, app: str = "larkspan", **conf: str) -> SparkSession:
-    """`master` is left to spark-submit on a cluster; without either, all local cores are used.
+def build_session(profile: str = "ansi", master: str | None = None, app: str = "larkspan", events: str | None = None, **conf: str) -> SparkSession:
+    """`events` is a folder for the event log, from which Spark's history server shows what ran when.
+
+    `master` is left to spark-submit on a cluster; without either, all local cores are used.
 
     Shuffle partitions are left to the cluster's settings and to adaptive execution, which coalesces small
     partitions and splits skewed ones; a local session starts from its number of cores.
@@ -31,6 +33,8 @@ def build_session(profile: str = "ansi", master: str | None = None, app: str = "
     if master or "SPARK_MASTER" not in os.environ:
         builder = builder.master(master or "local[*]")
         settings["spark.sql.shuffle.partitions"] = str(os.cpu_count() or 8)
+    if events:
+        settings |= {"spark.eventLog.enabled": "true", "spark.eventLog.dir": events}
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()

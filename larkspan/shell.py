@@ -30,13 +30,13 @@ def read_statement(ask: Callable[[str], str]) -> str:
 
 
 def run_statement(engine: Engine, text: str) -> None:
-    """Prints the plan, rows and time, or what is wrong with the text."""
+    """Prints the plans, rows and time, or what is wrong with the text."""
     try:
         frame = engine.sql(text)
     except (ValueError, TypeError) as e:
         print(f"{type(e).__name__}: {e}")
         return
-    frame.explain()
+    frame.explain(full=True)
     began = time.perf_counter()
     n = frame.show(MOST_ROWS)
     print(f"{n} rows in {format_duration(time.perf_counter() - began)}")
