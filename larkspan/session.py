@@ -10,6 +10,11 @@ from pyspark.sql import SparkSession
 PROFILES = {"ansi": "true", "wrapping": "false"}
 
 
+def submitted() -> bool:
+    """Whether spark-submit, or its arguments in the environment, name the master."""
+    return "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def build_session(profile: str = "ansi", master: str | None = None, app: str = "larkspan", events: str | None = None, **conf: str) -> SparkSession:
     """`events` is a folder for the event log, from which Spark's history server shows what ran when.
 
@@ -30,7 +35,7 @@ def build_session(profile: str = "ansi", master: str | None = None, app: str = "
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    if master or "SPARK_MASTER" not in os.environ:
+    if master or not submitted():
         builder = builder.master(master or "local[*]")
         settings["spark.sql.shuffle.partitions"] = str(os.cpu_count() or 8)
     if events:
