@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,50 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Intermediate results kept on executors' disks until close(). Lineage stays: what a lost executor held is computed
+    anew. For results that are read more than once but not worth a table in the shared folder."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def close(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+        self.frames = []
+
+
+def by_groups(df: DataFrame, keys: list[str], apply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """apply() to the rows of each key, as one stream a partition: for very many small groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: list[pa.RecordBatch] = []  # of the group that may go on in the next batch
+        last: tuple | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = [b.column(k).to_numpy() for k in keys]
+            new = np.zeros(b.num_rows, bool)
+            for x in at:
+                new[1:] |= x[1:] != x[:-1]
+            first = tuple(x[0] for x in at)
+            starts = [0, *np.nonzero(new)[0].tolist()]
+            for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if begun and (i or first != last):
+                    yield from apply(pa.Table.from_batches(begun)).to_batches()
+                    begun = []
+                begun.append(b.slice(i, j - i))
+            last = tuple(x[-1] for x in at)
+        if begun:
+            yield from apply(pa.Table.from_batches(begun)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
