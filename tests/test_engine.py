@@ -18,24 +18,24 @@ from larkspan.shell import format_duration, main, read_statement, run_statement
 
 from .conftest import assert_rows
 
-FRUITS = [("apple", 3, "red"), ("banana", 5, "yellow"), ("orange", 2, "orange"), ("apple", 4, "green"), ("banana", 7, "yellow")]
+STOCK = [("bolt", 3, "steel"), ("nut", 5, "iron"), ("cog", 2, "tin"), ("bolt", 4, "brass"), ("nut", 7, "iron")]
 
 
 @pytest.fixture(scope="module")
-def fruits(spark, tmp_path_factory):
-    at = str(tmp_path_factory.mktemp("fruits") / "table")
-    write_rows(spark, at, FRUITS, [("fruit", C.STRING), ("quantity", C.INTEGER), ("color", C.STRING)])
+def stock(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("stock") / "table")
+    write_rows(spark, at, STOCK, [("part", C.STRING), ("quantity", C.INTEGER), ("metal", C.STRING)])
     return at
 
 
 @pytest.fixture
-def frame(spark, fruits):
-    return Frame.table(spark, fruits)
+def frame(spark, stock):
+    return Frame.table(spark, stock)
 
 
 def test_select_star_twice_and_names(frame):
-    out = frame.select(Col("fruit").alias("f"), "*", Col("quantity") + 3)
-    assert [n for n, _ in out.schema] == ["f", "fruit", "quantity", "color", "quantity_add_lit_3"]
+    out = frame.select(Col("part").alias("f"), "*", Col("quantity") + 3)
+    assert [n for n, _ in out.schema] == ["f", "part", "quantity", "metal", "quantity_add_lit_3"]
     assert out.collect()[0]["quantity_add_lit_3"] == out.collect()[0]["quantity"] + 3
 
 
@@ -47,12 +47,12 @@ def test_frames_do_not_change(frame):
 def test_filters(frame):
     count = lambda e: len(frame.filter(e).collect())
     assert count((Col("quantity") > 2) & (Col("quantity") < 5)) == 2
-    assert count((Col("fruit") == "apple") | (Col("color") == "yellow")) == 4
-    assert count(~Col("fruit").like("a%")) == 3
+    assert count((Col("part") == "bolt") | (Col("metal") == "iron")) == 4
+    assert count(~Col("part").like("b%")) == 3
     assert count(Col("quantity").between(3, 5)) == 3
     assert count(Lit(4) <= Col("quantity")) == 3
-    assert count(Col("fruit").like("_pple")) == 2
-    assert count(Col("fruit").like("app\\%")) == 0
+    assert count(Col("part").like("_olt")) == 2
+    assert count(Col("part").like("bol\\%")) == 0
 
 
 def test_arithmetic(frame):
@@ -73,17 +73,17 @@ def test_overflow(spark):
 
 
 def test_grouping(frame):
-    got = frame.group_by("fruit").agg(F.sum(Col("quantity")), F.count(), F.avg(Col("quantity")).alias("a"))
-    assert_rows(got.collect(), [{"fruit": f, "sum_quantity": s, "count": n, "a": s / n} for f, s, n in (("apple", 7, 2), ("banana", 12, 2), ("orange", 2, 1))])
-    assert len(frame.group_by("fruit", "color").agg().collect()) == 4
+    got = frame.group_by("part").agg(F.sum(Col("quantity")), F.count(), F.avg(Col("quantity")).alias("a"))
+    assert_rows(got.collect(), [{"part": f, "sum_quantity": s, "count": n, "a": s / n} for f, s, n in (("bolt", 7, 2), ("nut", 12, 2), ("cog", 2, 1))])
+    assert len(frame.group_by("part", "metal").agg().collect()) == 4
     assert frame.select(F.max(Col("quantity")), F.count()).collect() == [{"max_quantity": 7, "count": 5}]
 
 
 def test_self_join(frame):
     left, right = frame.alias("l"), frame.alias("r")
-    got = left.join(right, Col("l.fruit") == Col("r.fruit")).select("l.color", Col("r.quantity").alias("q"))
-    assert len(got.collect()) == 9 and [n for n, _ in got.schema] == ["l.color", "q"]
-    assert set(got.collect()[0]) == {"color", "q"}
+    got = left.join(right, Col("l.part") == Col("r.part")).select("l.metal", Col("r.quantity").alias("q"))
+    assert len(got.collect()) == 9 and [n for n, _ in got.schema] == ["l.metal", "q"]
+    assert set(got.collect()[0]) == {"metal", "q"}
 
 
 def test_errors(frame, spark):
@@ -92,10 +92,10 @@ def test_errors(frame, spark):
         (lambda: frame.filter(Col("quantity") == "a"), TypeError, "Type mismatch"),
         (lambda: frame.filter(Col("quantity") + 1), TypeError, "needs a condition"),
         (lambda: frame.select(Col("quantity").like("a")), TypeError, "LIKE"),
-        (lambda: frame.group_by("fruit").agg(F.sum(Col("color"))), TypeError, "numbers"),
-        (lambda: frame.select("fruit", F.count()), GroupByError, "neither"),
-        (lambda: frame.join(frame, Col("fruit") == Col("fruit"), "sideways"), ValueError, "unknown join"),
-        (lambda: frame.alias("a").join(frame.alias("b"), Col("fruit") == Col("b.fruit")), ValueError, "Ambiguous"),
+        (lambda: frame.group_by("part").agg(F.sum(Col("metal"))), TypeError, "numbers"),
+        (lambda: frame.select("part", F.count()), GroupByError, "neither"),
+        (lambda: frame.join(frame, Col("part") == Col("part"), "sideways"), ValueError, "unknown join"),
+        (lambda: frame.alias("a").join(frame.alias("b"), Col("part") == Col("b.part")), ValueError, "Ambiguous"),
         (lambda: bool(Col("a") == 1), TypeError, "truth"),
         (lambda: parse("SELECT a"), ParseError, "FROM"),
         (lambda: parse("SELECT a FROM 't' WHERE a LIKE 3;"), ParseError, "pattern"),
@@ -106,32 +106,32 @@ def test_errors(frame, spark):
             wrong()
 
 
-def test_group_errors(spark, fruits):
+def test_group_errors(spark, stock):
     sql = Engine(spark).sql
     with pytest.raises(GroupByError):
-        sql(f"SELECT color, COUNT() FROM '{fruits}' GROUP BY fruit;")
+        sql(f"SELECT metal, COUNT() FROM '{stock}' GROUP BY part;")
     with pytest.raises(ValueError, match="Unknown column"):
-        sql(f"SELECT fruit FROM '{fruits}' GROUP BY fruit HAVING nothing > 1;")
+        sql(f"SELECT part FROM '{stock}' GROUP BY part HAVING nothing > 1;")
     with pytest.raises(TypeError, match="condition"):
-        sql(f"SELECT fruit FROM '{fruits}' WHERE 'fruit';")
+        sql(f"SELECT part FROM '{stock}' WHERE 'part';")
 
 
-def test_precedence_and_case(spark, fruits):
-    got = Engine(spark).sql(f"select quantity * (1 + 2) - -1 as x from '{fruits}' where fruit = 'orange' or fruit = 'apple' and quantity > 3")
+def test_precedence_and_case(spark, stock):
+    got = Engine(spark).sql(f"select quantity * (1 + 2) - -1 as x from '{stock}' where part = 'cog' or part = 'bolt' and quantity > 3")
     assert sorted(r["x"] for r in got.collect()) == [7, 13]
 
 
-def test_views(spark, fruits):
+def test_views(spark, stock):
     e = Engine(spark)
-    e.view("basket", fruits)
+    e.view("basket", stock)
     assert e.sql("SELECT COUNT() AS n FROM basket AS b WHERE b.quantity > 3;").collect() == [{"n": 3}]
     assert e.spark_sql("SELECT max(quantity) AS m FROM basket").first()["m"] == 7
 
 
-def test_plan_reads_only_what_it_needs(spark, fruits, capsys):
-    Engine(spark).sql(f"SELECT fruit, SUM(quantity) AS s FROM '{fruits}' WHERE quantity > 2 GROUP BY fruit;").explain()
+def test_plan_reads_only_what_it_needs(spark, stock, capsys):
+    Engine(spark).sql(f"SELECT part, SUM(quantity) AS s FROM '{stock}' WHERE quantity > 2 GROUP BY part;").explain()
     plan = capsys.readouterr().out
-    assert "GreaterThan(quantity,2)" in plan and "ReadSchema: struct<fruit:string,quantity:int>" in plan and "partial_sum" in plan
+    assert "GreaterThan(quantity,2)" in plan and "ReadSchema: struct<part:string,quantity:int>" in plan and "partial_sum" in plan
 
 
 def test_show(frame, capsys):
@@ -177,9 +177,9 @@ def test_block_files(spark, tmp_path):
     assert read_table(spark, at).count() == 0
 
 
-def test_shell(spark, fruits, capsys, monkeypatch, tmp_path):
+def test_shell(spark, stock, capsys, monkeypatch, tmp_path):
     assert [format_duration(s) for s in (0.0015, 2, 61.5, 7322)] == ["1.50 ms", "2.00 s", "1 min 1.50 s", "2 h 2 min 2.00 s"]
-    lines = iter(["SELECT fruit", f"FROM '{fruits}';"])
+    lines = iter(["SELECT part", f"FROM '{stock}';"])
     text = read_statement(lambda _: next(lines))
     run_statement(Engine(spark), text)
     run_statement(Engine(spark), "SELECT;")
@@ -190,15 +190,15 @@ def test_shell(spark, fruits, capsys, monkeypatch, tmp_path):
     main(lambda _: "quit;")
 
 
-def test_streams(spark, fruits, tmp_path):
+def test_streams(spark, stock, tmp_path):
     from larkspan.streaming import grouped, read_stream, tumbling
 
-    stream = read_stream(spark, fruits, read_table(spark, fruits).schema)
-    out = grouped(stream.filter(Col("quantity") > 2), ["fruit"], F.sum(Col("quantity")).alias("s"))
+    stream = read_stream(spark, stock, read_table(spark, stock).schema)
+    out = grouped(stream.filter(Col("quantity") > 2), ["part"], F.sum(Col("quantity")).alias("s"))
     q = out.to_df().writeStream.outputMode("complete").format("memory").queryName("streamed").start()
     q.processAllAvailable()
     q.stop()
-    assert {tuple(r) for r in spark.table("streamed").collect()} == {("apple", 7), ("banana", 12)}
+    assert {tuple(r) for r in spark.table("streamed").collect()} == {("bolt", 7), ("nut", 12)}
     at = str(tmp_path / "times")
     write_rows(spark, at, [(1, "2024-01-01T00:00:10"), (2, "2024-01-01T00:00:50"), (3, "2024-01-01T00:01:10")], [("v", C.INTEGER), ("t", C.TIMESTAMP)])
     windows = tumbling(read_stream(spark, at, read_table(spark, at).schema), "t", "1 minute", "10 seconds", [], F.sum(Col("v")).alias("s"))
