@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_A_FILE = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: str | None = None
@@ -52,30 +52,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` into the shared folder and reads it again: lineage ends there, and lost executors lose nothing."""
+def cut(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Writes `df` into the shared folder and reads it again: lineage ends there, and lost executors lose nothing.
+
+    With `most_rows`, a bound of its rows, it is written by one task for every ROWS_A_FILE of them: for narrow results.
+    """
     path = new_path(df.sparkSession, name)
+    if most_rows is not None:
+        df = df.coalesce(1 + most_rows // ROWS_A_FILE)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Held:
-    """Intermediate results kept on executors' disks until close(). Lineage stays: what a lost executor held is computed
-    anew. For results that are read more than once but not worth a table in the shared folder."""
-
-    def __init__(self) -> None:
-        self.frames: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
-        return df
-
-    def close(self) -> None:
-        for df in self.frames:
-            df.unpersist()
-        self.frames = []
-
-
 def by_groups(df: DataFrame, keys: list[str], apply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """apply() to the rows of each key, as one stream a partition: for very many small groups."""
 

@@ -12,7 +12,7 @@ No bucket is expanded into its pairs up front:
    against all members, in blocks of BLOCK, whatever the bucket's size; survivors are confirmed exactly where they are
    compared, so no pairs are listed, and the components joined again.
 A pair that is skipped has both ends in one component already, so components are those of all links among candidates.
-Components come from rounds of contraction to the smallest neighbour, written to the shared folder every few rounds.
+Components come from rounds of contraction to the smallest neighbour, each written to the shared folder.
 
 A pair at the threshold is in no common bucket with probability (1 - 0.85**6)**28, about 2e-6; `miss` is 1e-6 a batch.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Held, WordHashes, by_groups, cut, mix, table
+from .common import WordHashes, by_groups, cut, mix, table
 
 WIDTH = 3
 THRESHOLD = (85, 100)
@@ -39,7 +39,6 @@ BANDS, ROWS = 28, 6
 BATCH = 24
 MISS = 1e-6
 BLOCK = 2_000
-ROUNDS_A_CUT = 4
 MOST_BROADCAST = 2_000_000
 SEED = 20_240_607
 
@@ -143,9 +142,9 @@ def compared(pairs: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, matches long")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, hold: Held) -> DataFrame:
-    """(id, text) of the ids; other texts aren't moved."""
-    ids = hold(ids.distinct())
+def texts_of(ids: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """(id, text) of the ids, of which there are `most` at most; other texts aren't moved."""
+    ids = cut(ids.distinct(), "ids", most)
     named = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     return docs.select(docs["doc_id"].alias("id"), docs["text"].cast("binary").alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
 
@@ -155,10 +154,10 @@ def reaches(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
     return common > 0 and threshold[1] * common >= threshold[0] * (len(x) + len(y) - common)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], width: int, hold: Held) -> DataFrame:
-    """pairs (a, b) whose full sets reach the threshold."""
-    pairs = hold(pairs.select("a", "b"))
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, hold)
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], width: int, most: int) -> DataFrame:
+    """pairs (a, b) whose full sets reach the threshold; there is one for each of `most` documents at most."""
+    pairs = cut(pairs.select("a", "b"), "pairs", most)
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, most)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +181,15 @@ def components(links: DataFrame) -> DataFrame:
     Every round renames each id to its smallest neighbour (or itself) and drops links within a name; names stay linked,
     and the smallest id of a component keeps its own, so when no links are left all ids of a component bear its name.
     """
-    hold, rounds = Held(), 0
-    edges = hold(links.filter("a <> b").distinct())
-    names = hold(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")))
+    n = links.count()
+    edges = cut(links.filter("a <> b").distinct(), "edges", n)
+    names = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), "names", 2 * n)
     while not edges.isEmpty():
-        rounds += 1
-        keep = hold if rounds % ROUNDS_A_CUT else lambda df: cut(df, "round")
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = hold(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")))
-        names = keep(names.join(to, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")))
+        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")), "to", 2 * n)
+        names = cut(names.join(to, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")), "names", 2 * n)
         left = edges.join(to, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b").join(to, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
-        edges = keep(left.filter("a <> b").distinct())
-    names = cut(names, "names")
-    hold.close()
+        edges = cut(left.filter("a <> b").distinct(), "edges", n)
     return names
 
 
@@ -226,7 +221,7 @@ def block_pairs(t: pa.Table, least: list[tuple[int, int]], threshold: tuple[int,
 PLACED = ["key", "i", "j", "side", "rep", "component", "stray"]
 
 
-def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame, docs: DataFrame, least: list[tuple[int, int]], threshold: tuple[int, int], width: int, hold: Held) -> DataFrame:
+def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame, docs: DataFrame, least: list[tuple[int, int]], threshold: tuple[int, int], width: int, most: int) -> DataFrame:
     """Confirmed links across components within a bucket.
 
     Strays (members outside the component of the bucket's smallest id) meet all members, both dealt into blocks: what
@@ -240,7 +235,7 @@ def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame,
     named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("component", "rep") != F.coalesce("main", "hub")).alias("stray"))
     blocks = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s")).filter("s > 0").select("key", F.ceil(F.col("s") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
     facts = signatures.select(F.col("doc_id").alias("rep"), "bytes", "bands", F.col("n_shingles").alias("n"))
-    rows = hold(named.join(blocks, "key")).join(facts, "rep")
+    rows = cut(named.join(blocks, "key"), "open").join(facts, "rep")
     at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.filter("stray").withColumn("i", at("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
@@ -275,34 +270,33 @@ def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame,
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     placed = "key long, i int, j int, side int, rep long, component long, stray boolean"
-    alive = hold(by_groups(left.select(*wanted).union(right.select(*wanted)), ["key", "i", "j"], with_survivors, placed))
-    texts = texts_of(alive.select(F.col("rep").alias("id")), docs, hold).withColumnRenamed("id", "rep")
+    alive = cut(by_groups(left.select(*wanted).union(right.select(*wanted)), ["key", "i", "j"], with_survivors, placed), "alive")
+    texts = texts_of(alive.select(F.col("rep").alias("id")), docs, most).withColumnRenamed("id", "rep")
     full = alive.join(facts, "rep").join(texts, "rep").select(*wanted, "text")
     return cut(by_groups(full, ["key", "i", "j"], link, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    least, hold = least_matches(threshold[0] / threshold[1], miss), Held()
+    least = least_matches(threshold[0] / threshold[1], miss)
     signatures = cut(signed(docs, width), "signatures")
     sets = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b", "n_shingles")
     classes = cut(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     one = signatures.filter("n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles", "bytes", "bands")
     reps = one.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
-    reps = hold(reps)
+    reps, most = cut(reps, "reps"), classes.count()
     banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    members = hold(banded.join(shared, "key"))
+    members = cut(banded.join(shared, "key"), "members")
     stars = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     end = lambda i, x, n: reps.select(F.col("doc_id").alias(i), F.col("bytes").alias(x), F.col("n_shingles").alias(n))
     with_bytes = stars.join(end("a", "x", "na"), "a").join(end("b", "y", "nb"), "b").filter(of_similar_size(F.col("na"), F.col("nb"), threshold))
     best = compared(with_bytes, least).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    links = confirmed(best, docs, threshold, width, hold)
+    links = confirmed(best, docs, threshold, width, most)
     names = components(links)
-    more = remaining_links(members, names, reps, docs, least, threshold, width, hold)
+    more = remaining_links(members, names, reps, docs, least, threshold, width, most)
     if not more.isEmpty():
         names = components(links.union(more))
-    hold.close()
     joined = classes.join(names.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signatures.select("doc_id", "n_shingles", "set_a", "set_b").join(joined, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
