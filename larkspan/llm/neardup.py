@@ -39,6 +39,7 @@ BANDS, ROWS = 28, 6
 BATCH = 24
 MISS = 1e-6
 BLOCK = 2_000
+HUB_SHARE = 200
 MOST_BROADCAST = 2_000_000
 SEED = 20_240_607
 
@@ -158,7 +159,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], wid
     """pairs (a, b) whose full sets reach the threshold; there is one for each of `most` documents at most."""
     pairs = cut(pairs.select("a", "b"), "pairs", most)
     texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, most)
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    # A document that is many others' partner is dealt, with copies of its text, into shares of HUB_SHARE pairs.
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares"))
+    hubs = texts.withColumnRenamed("id", "a").join(shares, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("text").alias("x"))
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
+    both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(hubs, ["a", "share"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()

@@ -153,6 +153,7 @@ def test_near_duplicates(docs, rows):
 def test_groups_of_near_copies(spark, monkeypatch, block):
     """Chains of edits: similarities from 0.5 to 1 in one group, so buckets hold several components."""
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HUB_SHARE", 3)
     r = random.Random(5)
     rows = []
     for g in range(3):
