@@ -103,7 +103,7 @@ def ascii_lower(text: Column) -> Column:
 class WordHashes(dict):
     """bytes -> 64-bit hash, with a memory bound."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -49,7 +49,7 @@ def features_of(word: str) -> list[int]:
 class Features(dict):
     """word -> ids of its features, only those `wanted` where that is given; bounded."""
 
-    MOST = 300_000
+    MOST = 150_000
 
     def __init__(self, wanted: set[int] | None = None) -> None:
         super().__init__()
