@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspan.llm import decontam, mixing, neardup, sharding, toxicity
 from larkspan.llm.common import cut, table
 
+#: Near copies in the pipeline: word shingles of this width, and their least Jaccard similarity. Operator 10's own query differs.
+SHINGLE_WIDTH = 5
+SIMILARITY = (80, 100)
+
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The classifier chain learns from labelled documents of the stage's own input."""
@@ -18,7 +22,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, SIMILARITY, SHINGLE_WIDTH)
 
 
 def contaminated_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 10: MinHash near-duplicates with sequential Bayesian verification.
 
 Sets are the distinct `width`-word shingles of a whole text. Documents with equal sets form a class, represented by its
-smallest doc_id; representatives get a signature of BANDS * ROWS minima. Representatives that agree in a band share
+smallest doc_id; representatives get a signature of ROWS minima a band. Representatives that agree in a band share
 a bucket. Candidates are compared a batch of signature bytes at a time: with a uniform prior on the similarity, a pair
 is dropped once the posterior probability of reaching the threshold is below `miss`; survivors are confirmed on full sets.
 
@@ -14,7 +14,8 @@ No bucket is expanded into its pairs up front:
 A pair that is skipped has both ends in one component already, so components are those of all links among candidates.
 Components come from rounds of contraction to the smallest neighbour, each written to the shared folder.
 
-A pair at the threshold is in no common bucket with probability (1 - 0.85**6)**28, about 2e-6; `miss` is 1e-6 a batch.
+A pair at the threshold is in no common bucket with probability (1 - threshold**6)**bands, at most MISS_BUCKET: that takes 28
+bands at 0.85 and 44 at 0.8. `miss` is 1e-6 a batch.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. Defined results: null texts and texts without words
 have no shingles and are alone; a text with fewer words than `width` has its whole sequence as one; null ids are alone
@@ -35,7 +36,8 @@ from .common import WordHashes, by_groups, cut, mix, table
 
 WIDTH = 3
 THRESHOLD = (85, 100)
-BANDS, ROWS = 28, 6
+ROWS = 6
+MISS_BUCKET = 2e-6
 BATCH = 24
 MISS = 1e-6
 BLOCK = 2_000
@@ -57,6 +59,15 @@ def shingles(text: bytes | None, known: WordHashes, width: int = WIDTH) -> np.nd
     return np.unique(out)
 
 
+def bands_for(threshold: tuple[int, int]) -> int:
+    """The fewest bands by which a pair at the threshold shares no bucket with probability MISS_BUCKET at most."""
+    s = min(threshold[0] / threshold[1], 1 - 1e-9)
+    return max(1, math.ceil(math.log(MISS_BUCKET) / math.log1p(-(s**ROWS))))
+
+
+BANDS = bands_for(THRESHOLD)
+
+
 def permutations(n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(SEED)
     return r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
@@ -94,9 +105,9 @@ def least_matches(threshold: float, miss: float = MISS, n: int = BANDS * ROWS) -
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bytes binary, bands array<long>"
 
 
-def signed(docs: DataFrame, width: int) -> DataFrame:
+def signed(docs: DataFrame, width: int, n_bands: int = BANDS) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = permutations()
+        a, b = permutations(n_bands * ROWS)
         known = WordHashes()
         odd = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
         for batch in batches:
@@ -108,7 +119,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 sb.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                 v = signature(s, a, b)
                 sig.append((v & np.uint32(0xFF)).astype(np.uint8).tobytes() if len(s) else b"")
-                keys = mix((mix(v.reshape(BANDS, ROWS).astype(np.uint64) * odd)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                keys = mix((mix(v.reshape(n_bands, ROWS).astype(np.uint64) * odd)).sum(axis=1, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64))
                 bands.append(keys.astype(np.int64) if len(s) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "bytes", "bands"])
 
@@ -127,7 +138,7 @@ def survives(x: np.ndarray, y: np.ndarray, least: list[tuple[int, int]]) -> tupl
 
 
 def as_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def compared(pairs: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
@@ -207,7 +218,7 @@ def block_pairs(t: pa.Table, least: list[tuple[int, int]], threshold: tuple[int,
     """Rows of surviving pairs of a block, and their matches; a pair counts in the first band that it shares."""
     x, (side, rep, name, n) = as_rows(t.column("bytes")), (t.column(c).to_numpy() for c in ("side", "rep", "component", "n"))
     stray = np.array(t.column("stray").to_pylist(), bool)
-    bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(t.num_rows, -1)
     key, right = t.column("key")[0].as_py(), np.nonzero(side == 1)[0]
     first, other, matches = [], [], []
     for k in np.nonzero(side == 0)[0]:
@@ -283,8 +294,9 @@ def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame,
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    least = least_matches(threshold[0] / threshold[1], miss)
-    signatures = cut(signed(docs, width), "signatures")
+    n_bands = bands_for(threshold)
+    least = least_matches(threshold[0] / threshold[1], miss, n_bands * ROWS)
+    signatures = cut(signed(docs, width, n_bands), "signatures")
     sets = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b", "n_shingles")
     classes = cut(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     one = signatures.filter("n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles", "bytes", "bands")

@@ -57,6 +57,42 @@ def test_stages(spark, tables):
         before = after
 
 
+def kept_by_brute_force(rows, width=5, least=(80, 100)):
+    """Ids that are the smallest of their group of near copies."""
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(width, len(w))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    name = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and least[1] * len(sets[a] & sets[b]) >= least[0] * len(sets[a] | sets[b]) and name[a] != name[b]:
+                p, q = sorted((name[a], name[b]))
+                name = {i: p if n == q else n for i, n in name.items()}
+    return {i for i in name if name[i] == i}
+
+
+def test_near_copies_of_five_words(spark):
+    """The stage's own rule: 5 words and 0.8, where operator 10's query has 3 words and 0.85."""
+    docs = []
+    for g in range(12):
+        base = words(300 + g, 100, 5000).split()
+        longer = base + words(400 + g, 20, 5000).split()  # 96/116 by 5 words, 98/118 by 3
+        edited = [f"new{k}" if k in (10, 40, 70) else w for k, w in enumerate(base)]  # 81/111 by 5 words, 89/107 by 3
+        shorter = base[:-22]  # 74/96 by 5 words
+        docs += [(10 * g + k, " ".join(t), "en", "s", 1) for k, t in enumerate((base, longer)) if g % 2]
+        docs += [(10 * g + k, " ".join(t), "en", "s", 1) for k, t in enumerate((base, edited, shorter)) if not g % 2]
+        two = [f"new{k}" if k in (10, 40) else w for k, w in enumerate(base)]  # 86/106 by 5 words
+        docs += [(10 * g + 5, " ".join(two), "en", "s", 1), (10 * g + 6, f"alone{g} few words", "en", "s", 1)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    got = corpus_pipeline.one_of_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    left = {r.doc_id for r in got.collect()}
+    assert left == kept_by_brute_force([(i, t) for i, t, *_ in docs])
+    assert not {11, 31, 51} & left and {10, 30, 50} <= left
+
+
 def test_run(spark, tables):
     at, *_ = tables
     got = corpus_pipeline.run(spark, at)
