@@ -6,9 +6,13 @@ one shuffle at most and payloads of revisits through none. Spark's text sink wri
 member as line separator: files are valid .warc.gz on any file system, committed task by task. A file holds about
 FILE_BYTES before compression, as it is read back whole.
 
-The salvage reader takes a file's bytes apart record by record. A record that fails a check (gzip CRC, version line,
-length, block digest) is given up; the search goes on at the next gzip magic or version line that begins a valid record,
-and the bytes between become a quarantined gap.
+The salvage reader takes a file's bytes apart record by record, also those of a member that holds many. A record that
+fails a check (version line, length, block digest) is given up; the search goes on at the next gzip magic or version line
+that begins a valid record, in inflated bytes at the next version line, and the bytes between become a quarantined gap.
+
+A member whose stream breaks, or whose CRC differs, is a gap as a whole, but its records with a right block digest are
+kept, with the damage as their `reason`: nothing vouches for their headers. The only record of such a member is given up.
+Of a member that is cut off all whole records are kept, likewise marked.
 
 Defined results: a null html is an empty payload; null page_ids are ordered last; a null url leaves out the target
 URI; of repeated rows one is the response and the others revisit it; an empty table gives no records.
@@ -20,6 +24,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +38,7 @@ GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 FILE_BYTES = 64 << 20
 FEED = 1 << 16
+CUT_OFF = "member is cut off"
 
 RECORD_SCHEMA = "kind string, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, file string, gap_from long, gap_to long, reason string"
 
@@ -58,16 +64,26 @@ def member(record: bytes) -> bytes:
     return gzip.compress(record, compresslevel=6, mtime=0)
 
 
-def inflate(view: memoryview, at: int) -> tuple[bytes, int]:
-    """The gzip member that begins at `at`, its CRC checked, and where it ends."""
+def inflate(view: memoryview, at: int) -> tuple[bytes, int, str | None]:
+    """What can be had of the gzip member that begins at `at`, where it or its readable part ends, and what is wrong with it."""
     d, out, fed = zlib.decompressobj(31), [], at
     while not d.eof:
         if fed >= len(view):
-            raise ValueError("member is cut off")
+            return b"".join(out), fed, CUT_OFF
         piece = view[fed : fed + FEED]
-        out.append(d.decompress(piece))
+        try:
+            out.append(d.decompress(piece))
+        except zlib.error:
+            d = zlib.decompressobj(31)  # again as far as the piece, which then is fed by bytes, for all before the error
+            for k in range(at, fed, FEED):
+                d.decompress(view[k : min(k + FEED, fed)])
+            for k in range(fed, fed + len(piece)):
+                try:
+                    out.append(d.decompress(view[k : k + 1]))
+                except zlib.error as e:
+                    return b"".join(out), k + 1, str(e)
         fed += len(piece)
-    return b"".join(out), fed - len(d.unused_data)
+    return b"".join(out), fed - len(d.unused_data), None
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
@@ -95,22 +111,73 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     return head | {"block": block}, end + 8 + n
 
 
+def records_within(inner: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Records of a member's inflated bytes, and the gaps between them as (from, to, reason) in those bytes."""
+    at, records, gaps = 0, [], []
+    gap: tuple[int, str] | None = None
+    while at < len(inner):
+        try:
+            one, end = parse_record(inner, at)
+        except ValueError as e:
+            gap = gap or (at, str(e))
+            later = inner.find(VERSION, at + 1)
+            at = later if later > 0 else len(inner)
+            continue
+        if gap:
+            gaps.append((gap[0], at, gap[1]))
+            gap = None
+        records.append(one)
+        at = end
+    if gap:
+        gaps.append((gap[0], len(inner), gap[1]))
+    return records, gaps
+
+
+def proven(records: list[dict], gaps: list[tuple[int, int, str]], wrong: str) -> list[dict]:
+    """Of a damaged member's records those that may be kept, with what is `wrong` as their `unsound`."""
+    if wrong != CUT_OFF:
+        if len(records) == 1 and not gaps:
+            return []  # the damage is in this record, whatever its block's digest says
+        records = [r for r in records if r.get("warc-block-digest", "").startswith("sha1:")]
+    return [r | {"unsound": wrong} for r in records]
+
+
+def mark_of(record: dict) -> tuple:
+    return record.get("warc-record-id"), hashlib.sha1(record["block"]).digest()
+
+
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """Records, and quarantined gaps as (from, to, reason); both kinds of member, plain and gzip, may alternate."""
+    """Records, and quarantined gaps as (from, to, reason); both kinds of member, plain and gzip, may alternate.
+
+    A gap within a sound member is given as the member's place in `data`; the reason has its place in the inflated bytes.
+    """
     view, at, records, gaps = memoryview(data), 0, [], []
     gap: tuple[int, str] | None = None
+    kept: set[tuple] = set()  # of damaged members up to `reach`: the search may meet the same bytes again
+    reach = 0
     while at < len(data):
+        within: list[tuple[int, int, str]] = []
         try:
             if data[at : at + 3] == GZIP:
-                inner, end = inflate(view, at)
-                found, inside = [], 0
-                while inside < len(inner):
-                    one, inside = parse_record(inner, inside)
-                    found.append(one)
+                inner, end, wrong = inflate(view, at)
+                found, within = records_within(inner)
+                if wrong:
+                    if at >= reach:
+                        kept = set()
+                    if saved := [r for r in proven(found, within, wrong) if mark_of(r) not in kept]:
+                        records += saved
+                        kept.update(map(mark_of, saved))
+                        reach = max(reach, end)
+                        if gap:
+                            gaps.append((gap[0], at, gap[1]))
+                        gap = (at, f"{wrong}; records kept: {len(saved)}")
+                    raise ValueError(wrong)
+                if within and not found:
+                    raise ValueError(within[0][2])
             else:
                 one, end = parse_record(data, at)
-                found = [one]
-        except (ValueError, zlib.error) as e:
+                found = [] if at < reach and mark_of(one) in kept else [one]
+        except ValueError as e:
             gap = gap or (at, str(e))
             later = [x for x in (data.find(GZIP, at + 1), data.find(VERSION, at + 1)) if x > 0]
             at = min(later, default=len(data))
@@ -118,6 +185,7 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
         if gap:
             gaps.append((gap[0], at, gap[1]))
             gap = None
+        gaps += [(at, end, f"inflated bytes {x} to {y}: {why}") for x, y, why in within]
         records += found
         at = end
     if gap:
@@ -127,7 +195,16 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
 
 def page_of(urn: str) -> int | None:
     inner = urn.strip("<>").rpartition(":")[2]
-    return int(inner) if inner.lstrip("-").isdigit() else None
+    page = int(inner) if re.fullmatch("-?[0-9]{1,19}", inner) else None
+    return page if page is not None and -(1 << 63) <= page < 1 << 63 else None
+
+
+def url_of(stated: str | None) -> str | None:
+    """The URL that the writer has put down as JSON; as it stands where it isn't that, as in damaged headers."""
+    try:
+        return json.loads(f'"{stated}"') if stated is not None else None
+    except ValueError:
+        return stated
 
 
 def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
@@ -175,8 +252,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     stated = [x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
                     digest = base32_sha1(payload) if kind == "response" else r.get("warc-payload-digest", "").removeprefix("sha1:")
                     n = len(payload) if kind == "response" else int(stated[0]) if stated and stated[0].strip().isdigit() else None
-                    url = r.get("warc-target-uri")
-                    rows.append({"kind": "record", "page_id": page_of(r.get("warc-record-id", "")), "record_type": kind, "refers_to": page_of(r.get("warc-refers-to", "")), "url": json.loads(f'"{url}"') if url is not None else None, "payload_bytes": n, "payload_digest": digest, "payload": payload if kind == "response" else None, "file": file.as_py()})
+                    rows.append({"kind": "record", "page_id": page_of(r.get("warc-record-id", "")), "record_type": kind, "refers_to": page_of(r.get("warc-refers-to", "")), "url": url_of(r.get("warc-target-uri")), "payload_bytes": n, "payload_digest": digest, "payload": payload if kind == "response" else None, "file": file.as_py(), "reason": r.get("unsound")})
                     if len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -222,6 +223,65 @@ def test_salvage():
     assert warc.salvage(b"no archive")[0] == []
 
 
+def ids_of(found):
+    return [warc.page_of(r["warc-record-id"]) for r in found]
+
+
+def many(n):
+    """Records as they are, with payloads that don't compress."""
+    bodies = [b"".join(hashlib.sha256(f"{i} {k}".encode()).digest() for k in range(40)) for i in range(n)]
+    return [warc.make_record(i, "u", b, warc.base32_sha1(b), len(b), None) for i, b in enumerate(bodies)]
+
+
+def test_salvage_within_a_member():
+    raw, alone = many(3), warc.member(many(5)[4])
+    whole = b"".join(raw)
+    at = [0, len(raw[0]), len(raw[0] + raw[1]), len(whole)]
+    broken = bytearray(whole)
+    broken[at[2] - 100] ^= 0xFF
+    one = warc.member(bytes(broken))
+    found, gaps = warc.salvage(alone + one + alone)
+    assert ids_of(found) == [4, 0, 2, 4] and not any("unsound" in r for r in found)
+    assert gaps == [(len(alone), len(alone + one), f"inflated bytes {at[1]} to {at[2]}: block digest differs")]
+    no_line = bytes(broken[: at[1]]) + b"X" + whole[at[1] + 1 :]
+    assert ids_of(warc.salvage(warc.member(no_line))[0]) == [0, 2]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_damaged_members(level):
+    raw, alone = many(3), warc.member(many(5)[4])
+    sound = gzip.compress(b"".join(raw), compresslevel=level, mtime=0)
+    for size in (len(sound) * 5 // 6, len(sound) - 4):
+        found, gaps = warc.salvage(alone + sound[:size])
+        assert ids_of(found) == [4, 0, 1, 2][: 3 if size < len(sound) - 4 else 4]
+        assert [r.get("unsound") for r in found] == [None] + ["member is cut off"] * (len(found) - 1)
+        assert gaps[0][0] == len(alone) and gaps[-1][1] == len(alone) + size
+    hit = bytearray(sound)
+    hit[len(sound) // 2] ^= 0xFF
+    found, gaps = warc.salvage(alone + bytes(hit) + alone)
+    assert ids_of(found)[:2] == [4, 0] and ids_of(found)[-1] == 4 and 1 not in ids_of(found) and len(found) == len({*ids_of(found)}) + 1
+    assert gaps[0][0] == len(alone) and gaps[-1][1] == len(alone + sound)
+
+
+def test_salvage_of_overlapping_damage():
+    one, two = (gzip.compress(b"".join(x), compresslevel=0, mtime=0)[:-4] for x in (many(3), many(6)[3:]))
+    found, gaps = warc.salvage(one + two)
+    assert ids_of(found) == [0, 1, 2, 3, 4, 5] and all("unsound" in r for r in found)
+    assert gaps[0][0] == 0 and gaps[-1][1] == len(one + two)
+
+
+def test_damaged_archives_are_read(spark, tmp_path):
+    raw = many(3)
+    broken = bytearray(b"".join(raw))
+    broken[len(raw[0] + raw[1]) - 100] ^= 0xFF
+    broken[broken.index(b"URI: u") + 5] = 0x5C
+    (tmp_path / "part-0.gz").write_bytes(warc.member(bytes(broken)))
+    (tmp_path / "part-1.gz").write_bytes(gzip.compress(b"".join(raw), mtime=0)[:-4])
+    got = warc.read_archives(spark, f"{tmp_path}").collect()
+    assert Counter((r.file[-4:], r.page_id, r.url, r.reason) for r in got if r.kind == "record") == Counter([("0.gz", 0, "\\", None), ("0.gz", 2, "u", None)] + [("1.gz", i, "u", "member is cut off") for i in range(3)])
+    assert sorted(r.file[-4:] for r in got if r.kind == "gap") == ["0.gz", "1.gz"]
+
+
 def test_media(docs, rows):
     got = media.documents_as_media(docs).filter("kind = 'media'").collect()
     assert len(got) == len(rows)
