@@ -206,6 +206,21 @@ def labelled_rows(n, seed):
     return out
 
 
+def test_models_are_fitted_on_all_that_pass():
+    """1,200 features pass the test, and weights are where the penalised likelihood has no slope."""
+    r = np.random.default_rng(3)
+    y = (np.arange(1500) % 2).astype(float)
+    hits = r.random((1500, 1200)) < np.where(y[:, None] == np.arange(1200) % 2, 0.2, 0.05)
+    earlier = r.random((1500, 1))
+    m = toxicity.fit([np.nonzero(h)[0] for h in hits], earlier, y)
+    x = np.concatenate([hits[:, m.ids], earlier, np.ones((1500, 1))], axis=1)
+    w = np.append(m.weights, m.bias)
+    ridge = np.full(len(w), toxicity.RIDGE)
+    ridge[-1] = 1e-3
+    assert len(m.ids) > 1150
+    assert np.abs(x.T @ (toxicity.sigmoid(x @ w) - y) + ridge * w).max() < 1e-3
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows = labelled_rows(900, 1)
