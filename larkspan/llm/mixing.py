@@ -2,14 +2,15 @@
 
 Token counts of (source, lang, topic) cells are raked until their margins meet the targets of every source, language
 and topic; documents are then kept with probability weight / tokens of their cell, scaled so that the largest is 1.
-So expected tokens have the target margins exactly, no document is repeated, and no probability is cut off.
+So expected tokens have the target margins (to `tolerance`, where they can be met), no document is repeated, and no probability is cut off.
 
 The table of cells is small against the corpus: one row for each combination that occurs. It is fitted with window
 sums, in blocks of SWEEPS_A_CUT sweeps between writes to the shared folder, until no margin is off by more than
 `tolerance`. Only the largest error, the largest ratio and the number of cells reach the driver.
 
 Targets: a table (value, weight) for a margin, or by default each value's share of tokens to the power `temper`.
-A target for a value without tokens can't be met and is left out.
+A target for a value without tokens can't be met and is left out. Where the cells that occur can't meet all targets,
+margins are off after MOST_SWEEPS sweeps: the remaining error is warned of and returned with the cells.
 
 Defined results: null categories and texts: a null category is a category of its own; a null text has no tokens and
 the topic of no rule, and is kept with its cell's probability; cells without tokens get the probability 1; rows that
@@ -18,6 +19,8 @@ agree in id share their draw; empty tables give empty results. Other columns are
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +76,7 @@ def with_targets(cells: DataFrame, targets: dict[str, DataFrame] | None, temper:
 
 
 def rake(cells: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells: DIMS, n and goals. Adds `w`, whose margins are the goals, and `ratio`, w over n."""
+    """cells: DIMS, n and goals. Adds `w`, whose margins are the goals but for `error`, a share of the goal, and `ratio`, w over n."""
     cells = cells.withColumn("w", F.col("n").cast("double"))
     for _ in range(0, MOST_SWEEPS, SWEEPS_A_CUT):
         for d in DIMS * SWEEPS_A_CUT:
@@ -84,7 +87,9 @@ def rake(cells: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
         worst = off[0].union(off[1]).agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
-    return cells.withColumn("ratio", F.when(F.col("n") > 0, F.col("w") / F.col("n")))
+    else:
+        warnings.warn(f"margins miss their targets by up to {worst:.2g} of them after {MOST_SWEEPS} sweeps", stacklevel=2)
+    return cells.withColumn("error", F.lit(worst).cast("double")).withColumn("ratio", F.when(F.col("n") > 0, F.col("w") / F.col("n")))
 
 
 def cell_probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER) -> DataFrame:

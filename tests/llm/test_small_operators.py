@@ -164,6 +164,15 @@ def test_given_targets(spark):
     assert {r.source for r in mixing.mix(d, {"source": only}).collect()} == {"cold"}
 
 
+def test_targets_that_cannot_be_met(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SWEEPS", 4)
+    cells = spark.createDataFrame([("a", "en", "t", 10, 15.0, 5.0, 20.0), ("b", "de", "t", 10, 5.0, 15.0, 20.0)], "source string, lang string, topic string, n long, goal_source double, goal_lang double, goal_topic double")
+    with pytest.warns(UserWarning, match="miss their targets"):
+        assert min(r.error for r in mixing.rake(cells).collect()) > 0.1
+    met = cells.withColumn("goal_lang", F.col("goal_source"))
+    assert max(r.error for r in mixing.rake(met).collect()) < 1e-9
+
+
 def test_no_mixing(no_docs):
     assert mixing.mix(no_docs).collect() == [] and mixing.mix_report(no_docs).collect() == []
 
