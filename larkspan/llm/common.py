@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,39 +17,40 @@ ROWS_A_FILE = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The shared folder of `spark.checkpoint.dir`; where that is unset, a temporary one if all runs on this machine."""
     global _own_dir
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="larkspan-")
     return _own_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_dir(spark)}/larkspan-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+    return f"{scratch_dir(spark)}/larkspan-{name}-{uuid.uuid4().hex}"
 
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended: nothing can be removed through it
-            return
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of new_path() through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Leaves a folder that has been written to its file system, which deletes it when the driver's JVM ends, session or no session."""
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
 
 
 def cut(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
@@ -57,11 +58,20 @@ def cut(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
 
     With `most_rows`, a bound of its rows, it is written by one task for every ROWS_A_FILE of them: for narrow results.
     """
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if most_rows is not None:
         df = df.coalesce(1 + most_rows // ROWS_A_FILE)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remove_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read again."""
+    for f in frames:
+        remove(f.sparkSession, f.cut_path)
 
 
 def by_groups(df: DataFrame, keys: list[str], apply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -73,7 +83,7 @@ def by_groups(df: DataFrame, keys: list[str], apply: Callable[[pa.Table], pa.Tab
         for b in batches:
             if not b.num_rows:
                 continue
-            at = [b.column(k).to_numpy() for k in keys]
+            at = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
             new = np.zeros(b.num_rows, bool)
             for x in at:
                 new[1:] |= x[1:] != x[:-1]

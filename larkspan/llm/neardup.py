@@ -1,38 +1,48 @@
 """Operator 10: MinHash near-duplicates with sequential Bayesian verification.
 
-Sets are the distinct `width`-word shingles of a whole text. Documents with equal sets form a class, represented by its
-smallest doc_id; representatives get a signature of ROWS minima a band. Representatives that agree in a band share
+Sets are the distinct `width`-word shingles of a whole text. Rows with equal sets form a class, a node; nodes are numbered
+in the order of their smallest doc_id and get a signature of ROWS minima a band. Nodes that agree in a band share
 a bucket. Candidates are compared a batch of signature bytes at a time: with a uniform prior on the similarity, a pair
 is dropped once the posterior probability of reaching the threshold is below `miss`; survivors are confirmed on full sets.
 
 No bucket is expanded into its pairs up front:
-1. each member is compared with its bucket's smallest id; every document keeps its best such partner, those pairs are
+1. each member is compared with its bucket's smallest node; every node keeps its best such partner, those pairs are
    confirmed exactly, and confirmed links are joined to components;
 2. only in buckets that then still hold several components are the remaining pairs compared, across components: strays
-   against all members, in blocks of BLOCK, whatever the bucket's size; survivors are confirmed exactly where they are
+   against all members, in blocks bounded by members and by shingles; survivors are confirmed exactly where they are
    compared, so no pairs are listed, and the components joined again.
 A pair that is skipped has both ends in one component already, so components are those of all links among candidates.
-Components come from rounds of contraction to the smallest neighbour, each written to the shared folder.
+A bucket with more than MOST_STRAYS strays (pages of one template that aren't copies) isn't compared by blocks as it is:
+its members are dealt anew by their rarest shingles. Sets that reach the threshold share one of their prefixes, the
+shingles of which they have (1 - threshold) of all and one more, rarest first, so no link is lost, and members that have
+only the template in common never meet.
+Components come from rounds of contraction to the smallest neighbour, chains of names followed to their ends by doubling:
+two rounds halve the names that still have links, so their number is logarithmic. Spent tables are deleted.
 
 A pair at the threshold is in no common bucket with probability (1 - threshold**6)**bands, at most MISS_BUCKET: that takes 28
 bands at 0.85 and 44 at 0.8. `miss` is 1e-6 a batch.
 
 Words are runs of other than ASCII white space, A-Z lower-cased. Defined results: null texts and texts without words
-have no shingles and are alone; a text with fewer words than `width` has its whole sequence as one; null ids are alone
-and keep a null component; rows that agree in id share a component, and one of their sets is compared for all; empty tables give empty results. Other columns are never read by the query.
+have no shingles and are alone, whatever other rows of their id hold; a text with fewer words than `width` has its whole sequence as one. Very long texts are
+taken whole: a task holds one text and its shingles' hashes (8 bytes each), and blocks hold fewer of them. Ties (equal sets,
+equal matches) go to the smallest doc_id. In near_duplicates() null ids are alone and keep a null component, and rows that
+agree in id share a component, each compared with its own set. one_of_each() goes by rows instead: of a group of near
+copies the row with the smallest doc_id stays (null ids last), once, and a row isn't judged by its namesakes. Empty tables
+give empty results. Other columns, whatever their names, are never read by the query and are kept by one_of_each().
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_groups, cut, mix, table
+from .common import WordHashes, by_groups, cut, drop, mix, table
 
 WIDTH = 3
 THRESHOLD = (85, 100)
@@ -40,9 +50,11 @@ ROWS = 6
 MISS_BUCKET = 2e-6
 BATCH = 24
 MISS = 1e-6
-BLOCK = 2_000
+BLOCK = 1_000
+BLOCK_SHINGLES = 2_000_000
+MOST_STRAYS = 8_000
 HUB_SHARE = 200
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 500_000  # rows of three integers
 SEED = 20_240_607
 
 
@@ -102,7 +114,7 @@ def least_matches(threshold: float, miss: float = MISS, n: int = BANDS * ROWS) -
     return out
 
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bytes binary, bands array<long>"
+SIGNED = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bytes binary, bands array<long>"
 
 
 def signed(docs: DataFrame, width: int, n_bands: int = BANDS) -> DataFrame:
@@ -121,9 +133,9 @@ def signed(docs: DataFrame, width: int, n_bands: int = BANDS) -> DataFrame:
                 sig.append((v & np.uint32(0xFF)).astype(np.uint8).tobytes() if len(s) else b"")
                 keys = mix((mix(v.reshape(n_bands, ROWS).astype(np.uint64) * odd)).sum(axis=1, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64))
                 bands.append(keys.astype(np.int64) if len(s) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "bytes", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bytes", "bands"])
 
-    return docs.select(docs["doc_id"], docs["text"].cast("binary").alias("text")).mapInArrow(sign, SIGNED)
+    return docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_key"), docs["text"].cast("binary").alias("text")).mapInArrow(sign, SIGNED)
 
 
 def survives(x: np.ndarray, y: np.ndarray, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,11 +166,16 @@ def compared(pairs: DataFrame, least: list[tuple[int, int]]) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, matches long")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """(id, text) of the ids, of which there are `most` at most; other texts aren't moved."""
-    ids = cut(ids.distinct(), "ids", most)
-    named = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    return docs.select(docs["doc_id"].alias("id"), docs["text"].cast("binary").alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"])
+def small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def texts_of(ids: DataFrame, nodes: Nodes, most: int) -> DataFrame:
+    """(id, text) of the nodes `id`, of which there are `most` at most; other texts aren't moved."""
+    ids = cut(ids.distinct().join(nodes.classes.select(F.col("node").alias("id"), "rep", "rep_key"), "id"), "ids", most)
+    docs, named = nodes.docs, small(ids, ids.count())
+    own = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_key"), docs["text"].cast("binary").alias("text"))
+    return own.join(named, (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "text").dropDuplicates(["id"])
 
 
 def reaches(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
@@ -166,14 +183,15 @@ def reaches(x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> bool:
     return common > 0 and threshold[1] * common >= threshold[0] * (len(x) + len(y) - common)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], width: int, most: int) -> DataFrame:
-    """pairs (a, b) whose full sets reach the threshold; there is one for each of `most` documents at most."""
+def confirmed(pairs: DataFrame, nodes: Nodes, threshold: tuple[int, int], width: int, most: int) -> DataFrame:
+    """pairs (a, b) whose full sets reach the threshold; there is one for each of `most` nodes at most."""
     pairs = cut(pairs.select("a", "b"), "pairs", most)
-    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs, most)
-    # A document that is many others' partner is dealt, with copies of its text, into shares of HUB_SHARE pairs.
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares"))
-    hubs = texts.withColumnRenamed("id", "a").join(shares, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("text").alias("x"))
-    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), nodes, most)
+    # A node that is many others' partner is dealt, with copies of its text, into shares of HUB_SHARE pairs.
+    shares = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares")).filter("shares > 1"), "hubs", 1 + most // HUB_SHARE)
+    n = F.coalesce("shares", F.lit(1).cast("long"))
+    hubs = texts.withColumnRenamed("id", "a").join(shares, "a", "left").select("a", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("share"), F.col("text").alias("x"))
+    dealt = pairs.join(shares, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), n).alias("share"))
     both = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(hubs, ["a", "share"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +209,22 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], wid
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
+def roots(to: DataFrame, most: int) -> DataFrame:
+    """(old, new), each name's smaller one or itself -> the same with the ends of all chains, found by doubling."""
+    while True:
+        up = to.select(F.col("old").alias("mid"), F.col("new").alias("top"))
+        far = cut(to.join(up, F.col("new") == F.col("mid")).select("old", F.col("top").alias("new"), (F.col("top") != F.col("new")).alias("moved")), "to", most)
+        moved = not far.filter("moved").isEmpty()
+        drop(to)
+        to = far
+        if not moved:
+            return to
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (id, component), the smallest id that each linked id reaches.
 
-    Every round renames each id to its smallest neighbour (or itself) and drops links within a name; names stay linked,
+    Every round renames each id to its smallest neighbour's root and drops links within a name; names stay linked,
     and the smallest id of a component keeps its own, so when no links are left all ids of a component bear its name.
     """
     n = links.count()
@@ -202,10 +232,12 @@ def components(links: DataFrame) -> DataFrame:
     names = cut(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("component", F.col("id")), "names", 2 * n)
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")), "to", 2 * n)
-        names = cut(names.join(to, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")), "names", 2 * n)
+        to = roots(cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("old"), F.least("a", "m").alias("new")), "to", 2 * n), 2 * n).select("old", "new")
+        renamed = cut(names.join(to, F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component")), "names", 2 * n)
         left = edges.join(to, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b").join(to, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
-        edges = cut(left.filter("a <> b").distinct(), "edges", n)
+        fewer = cut(left.filter("a <> b").distinct(), "edges", n)
+        drop(names, edges)
+        names, edges = renamed, fewer
     return names
 
 
@@ -215,17 +247,18 @@ def of_similar_size(x, y, threshold: tuple[int, int]):
 
 
 def block_pairs(t: pa.Table, least: list[tuple[int, int]], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of surviving pairs of a block, and their matches; a pair counts in the first band that it shares."""
-    x, (side, rep, name, n) = as_rows(t.column("bytes")), (t.column(c).to_numpy() for c in ("side", "rep", "component", "n"))
+    """Rows of surviving pairs of a block, and their matches; in a bucket, a pair counts in the first band that it shares."""
+    x, (side, node, name, n) = as_rows(t.column("bytes")), (t.column(c).to_numpy() for c in ("side", "node", "component", "n"))
     stray = np.array(t.column("stray").to_pylist(), bool)
     bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(t.num_rows, -1)
     key, right = t.column("key")[0].as_py(), np.nonzero(side == 1)[0]
+    by_band = t.column("band")[0].as_py()
     first, other, matches = [], [], []
     for k in np.nonzero(side == 0)[0]:
-        at = right[(name[right] != name[k]) & (~stray[right] | (rep[right] > rep[k])) & of_similar_size(n[right], n[k], threshold)]
+        at = right[(name[right] != name[k]) & (~stray[right] | (node[right] > node[k])) & of_similar_size(n[right], n[k], threshold)]
         if len(at):
-            shared = bands[at] == bands[k]
-            at = at[bands[k][shared.argmax(axis=1)] == key]
+            if by_band:
+                at = at[bands[k][(bands[at] == bands[k]).argmax(axis=1)] == key]
             ok, m = survives(np.broadcast_to(x[k], (len(at), x.shape[1])), x[at], least)
             first.append(np.full(int(ok.sum()), k))
             other.append(at[ok])
@@ -234,25 +267,66 @@ def block_pairs(t: pa.Table, least: list[tuple[int, int]], threshold: tuple[int,
     return tuple(np.concatenate(p or none) for p in (first, other, matches))
 
 
-PLACED = ["key", "i", "j", "side", "rep", "component", "stray"]
+PLACED = ["key", "band", "i", "j", "side", "node", "component", "stray"]
+PLACED_TYPES = "key long, band boolean, i int, j int, side int, node long, component long, stray boolean"
+
+
+def by_rarest(pool: DataFrame, nodes: Nodes, threshold: tuple[int, int], width: int) -> DataFrame:
+    """(key, node): the shingles in the prefix of each node of the pool that other nodes of the pool have, too.
+
+    The order is by frequency in the pool. A shingle that only one node has comes first in its prefix and is left out:
+    it can't be shared.
+    """
+    texts = texts_of(pool.select(F.col("node").alias("id")), nodes, pool.count())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t.column("id"), pa.array([shingles(x.as_py(), known, width).astype(np.int64) for x in t.column("text")], pa.list_(pa.int64()))], names=["node", "set"])
+
+    held = cut(texts.select("id", "text").mapInArrow(sets, "node long, set array<long>"), "sets")
+    each = held.select("node", F.size("set").alias("n"), F.explode("set").alias("key"))
+    often = cut(each.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1"), "often")
+    common = each.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("common"))
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold[0] / threshold[1]) + 1
+    take = F.greatest(prefix - (F.col("n") - F.size("common")), F.lit(0)).cast("int")
+    return common.select("node", F.explode(F.slice("common", F.lit(1), take)["key"]).alias("key"))
+
+
+def with_strays(members: DataFrame) -> DataFrame:
+    """members: key, node, component, n. Adds `stray`: whether a member is outside the component of the key's smallest node."""
+    main = cut(members.groupBy("key").agg(F.min_by("component", "node").alias("main"), F.count("*").alias("members")).filter("members > 1").select("key", "main"), "main")
+    return members.join(main, "key").select("key", "node", "component", "n", (F.col("component") != F.col("main")).alias("stray"))
 
 
-def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame, docs: DataFrame, least: list[tuple[int, int]], threshold: tuple[int, int], width: int, most: int) -> DataFrame:
+def remaining_links(members: DataFrame, names: DataFrame, nodes: Nodes, least: list[tuple[int, int]], threshold: tuple[int, int], width: int, most: int) -> DataFrame:
     """Confirmed links across components within a bucket.
 
-    Strays (members outside the component of the bucket's smallest id) meet all members, both dealt into blocks: what
+    Strays (members outside the component of the bucket's smallest node) meet all members, both dealt into blocks: what
     is moved grows with members plus strays times blocks, and members of the main component never meet each other.
     A first pass over signatures finds the members with surviving pairs; only their texts are dealt to the second, which
     confirms pairs on full sets, most alike first, and leaves out those whose ends its own links join already.
     """
-    own = names.select(F.col("id").alias("rep"), "component")
+    own = names.select(F.col("id").alias("node"), "component")
     main = names.select(F.col("id").alias("hub"), F.col("component").alias("main"))
-    named = members.join(own, "rep", "left").join(main, "hub", "left")
-    named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("component", "rep") != F.coalesce("main", "hub")).alias("stray"))
-    blocks = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s")).filter("s > 0").select("key", F.ceil(F.col("s") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("rights"))
-    facts = signatures.select(F.col("doc_id").alias("rep"), "bytes", "bands", F.col("n_shingles").alias("n"))
-    rows = cut(named.join(blocks, "key"), "open").join(facts, "rep")
-    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    named = members.join(own, "node", "left").join(main, "hub", "left")
+    named = named.select("key", "node", F.coalesce("component", "node").alias("component"), "n", (F.coalesce("component", "node") != F.coalesce("main", "hub")).alias("stray"))
+
+    def open_keys(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s"), F.sum("n").alias("size"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("own_size"))
+        blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_SHINGLES)).cast("int")
+        return cut(counts.filter("s > 0").select("key", "s", blocks("s", "own_size").alias("lefts"), blocks("n", "size").alias("rights")), "open")
+
+    keys = open_keys(named)
+    rows = named.join(keys.filter(F.col("s") <= MOST_STRAYS), "key").withColumn("band", F.lit(True))
+    wide = keys.filter(F.col("s") > MOST_STRAYS)
+    if not wide.isEmpty():
+        pool = cut(named.join(wide.select("key"), "key", "left_semi").select("node", "component", "n").distinct(), "pool", most)
+        dealt = cut(with_strays(by_rarest(pool, nodes, threshold, width).join(pool, "node")), "dealt")
+        rows = rows.unionByName(dealt.join(open_keys(dealt), "key").withColumn("band", F.lit(False)))
+    facts = nodes.signatures.select("node", "bytes", "bands")
+    rows = cut(rows.drop("s"), "rows").join(facts, "node")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.filter("stray").withColumn("i", at("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
     right = rows.withColumn("j", at("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1))
@@ -260,10 +334,10 @@ def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame,
 
     def with_survivors(t: pa.Table) -> pa.Table:
         first, other, _ = block_pairs(t, least, threshold)
-        return t.select(PLACED).take(pa.array(np.unique(np.concatenate([first, other]))))
+        return t.select([*PLACED, "n"]).take(pa.array(np.unique(np.concatenate([first, other]))))
 
     def link(t: pa.Table) -> pa.Table:
-        rep, name, text = t.column("rep").to_pylist(), t.column("component").to_pylist(), t.column("text")
+        node, name, text = t.column("node").to_pylist(), t.column("component").to_pylist(), t.column("text")
         first, other, matches = block_pairs(t, least, threshold)
         known, sets, joined, out = WordHashes(), {}, {}, []
 
@@ -282,51 +356,102 @@ def remaining_links(members: DataFrame, names: DataFrame, signatures: DataFrame,
             a, b = top(name[x]), top(name[y])
             if a != b and reaches(set_of(x), set_of(y), threshold):
                 joined[max(a, b)] = min(a, b)
-                out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                out.append((min(node[x], node[y]), max(node[x], node[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    placed = "key long, i int, j int, side int, rep long, component long, stray boolean"
-    alive = cut(by_groups(left.select(*wanted).union(right.select(*wanted)), ["key", "i", "j"], with_survivors, placed), "alive")
-    texts = texts_of(alive.select(F.col("rep").alias("id")), docs, most).withColumnRenamed("id", "rep")
-    full = alive.join(facts, "rep").join(texts, "rep").select(*wanted, "text")
-    return cut(by_groups(full, ["key", "i", "j"], link, "a long, b long"), "links")
+    alive = cut(by_groups(left.select(*wanted).union(right.select(*wanted)), ["key", "band", "i", "j"], with_survivors, PLACED_TYPES + ", n long"), "alive")
+    texts = texts_of(alive.select(F.col("node").alias("id")), nodes, most).withColumnRenamed("id", "node")
+    full = alive.join(facts, "node").join(texts, "node").select(*wanted, "text")
+    return cut(by_groups(full, ["key", "band", "i", "j"], link, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    n_bands = bands_for(threshold)
+@dataclass
+class Nodes:
+    docs: DataFrame
+    rows: DataFrame  # doc_id, text_key, n_shingles, set_a, set_b, of every row
+    classes: DataFrame  # node, set_a, set_b, n_shingles, and rep, rep_key of the row whose text stands for it
+    signatures: DataFrame  # node, n, bytes, bands
+
+
+SET = ["set_a", "set_b", "n_shingles"]
+
+
+def nodes_of(docs: DataFrame, width: int, n_bands: int, with_null_ids: bool) -> Nodes:
+    rows = cut(signed(docs, width, n_bands), "signatures")
+    full = rows.filter("n_shingles > 0" if with_null_ids else "n_shingles > 0 AND doc_id IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    classes = full.groupBy(*SET).agg(first).select(*SET, F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"))
+    order = ["no_id", "rep", "set_a", "set_b"]
+    # Numbers that rise with `rep`, from the places in ranges; they are written before anything reads them.
+    classes = cut(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).drop("no_id"), "classes")
+    own = full.join(classes, SET).filter((F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    signatures = cut(own.select("node", F.col("n_shingles").alias("n"), "bytes", "bands").dropDuplicates(["node"]), "reps")
+    return Nodes(docs, rows.select("doc_id", "text_key", *SET), classes, signatures)
+
+
+def links_of_namesakes(nodes: Nodes) -> DataFrame:
+    """(a, b): links among the nodes of the rows that agree in id, for ids with several sets."""
+    ids = nodes.rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    one = F.struct(*SET)
+    several = cut(ids.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("doc_id"), "namesakes")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    of = cut(ids.join(several, "doc_id", "left_semi").join(nodes.classes, SET).select("doc_id", "node").distinct(), "namesakes")
+    return of.join(of.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
+
+
+def node_components(nodes: Nodes, threshold: tuple[int, int], width: int, miss: float, n_bands: int, more: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the nodes that have links; `more` are links known beforehand."""
     least = least_matches(threshold[0] / threshold[1], miss, n_bands * ROWS)
-    signatures = cut(signed(docs, width, n_bands), "signatures")
-    sets = signatures.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b", "n_shingles")
-    classes = cut(sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
-    one = signatures.filter("n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles", "bytes", "bands")
-    reps = one.join(classes.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
-    reps, most = cut(reps, "reps"), classes.count()
-    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    most, signatures = nodes.classes.count(), nodes.signatures
+    banded = signatures.select("node", "n", F.explode("bands").alias("key"))
+    shared = cut(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub"), "shared")
     members = cut(banded.join(shared, "key"), "members")
-    stars = members.filter("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    end = lambda i, x, n: reps.select(F.col("doc_id").alias(i), F.col("bytes").alias(x), F.col("n_shingles").alias(n))
+    drop(shared)
+    stars = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    end = lambda i, x, n: signatures.select(F.col("node").alias(i), F.col("bytes").alias(x), F.col("n").alias(n))
     with_bytes = stars.join(end("a", "x", "na"), "a").join(end("b", "y", "nb"), "b").filter(of_similar_size(F.col("na"), F.col("nb"), threshold))
     best = compared(with_bytes, least).groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    links = confirmed(best, docs, threshold, width, most)
+    links = confirmed(best, nodes, threshold, width, most)
+    if more is not None:
+        links = links.union(more)
     names = components(links)
-    more = remaining_links(members, names, reps, docs, least, threshold, width, most)
-    if not more.isEmpty():
-        names = components(links.union(more))
-    joined = classes.join(names.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signatures.select("doc_id", "n_shingles", "set_a", "set_b").join(joined, ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rest = remaining_links(members, names, nodes, least, threshold, width, most)
+    return names if rest.isEmpty() else components(links.union(rest))
 
 
-def one_of_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The columns of `docs`, for one document of each component."""
-    gone = cut(near_duplicates(docs, threshold, width).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    n_bands = bands_for(threshold)
+    nodes = nodes_of(docs, width, n_bands, False)
+    names = node_components(nodes, threshold, width, miss, n_bands, links_of_namesakes(nodes))
+    first = nodes.classes.select(F.col("node").alias("component"), F.col("rep").alias("name"))
+    renamed = names.join(first, "component").select(F.col("id").alias("node"), "name")
+    joined = nodes.classes.join(renamed, "node", "left").select(*SET, F.coalesce("name", "rep").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    out = nodes.rows.join(joined, SET, "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, width: int = WIDTH, miss: float = MISS) -> DataFrame:
+    """The columns of `docs`, for one row of each group of near copies."""
+    n_bands = bands_for(threshold)
+    nodes = nodes_of(docs, width, n_bands, True)
+    names = node_components(nodes, threshold, width, miss, n_bands)
+    stays = nodes.classes.join(names.filter("id <> component").select(F.col("id").alias("node")), "node", "left_anti")
+    placed = nodes.rows.filter("n_shingles > 0").join(stays.select(*SET, "rep", "rep_key", F.lit(True).alias("stays")), SET, "left")
+    own = F.coalesce(F.col("stays") & (F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")), F.lit(False))
+    keys = placed.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), own.alias("_own")).groupBy("_id", "_key").agg(F.max("_own").alias("_own"), F.count("*").alias("_n")).filter("NOT _own OR _n > 1")
+    keys = cut(keys, "gone")
+    n = keys.count()
+    same = lambda k: docs["doc_id"].eqNullSafe(k["_id"]) & (F.xxhash64(docs["text"]) == k["_key"])
+    rest = docs.join(small(keys, n), same(keys), "left_anti")
+    repeated = keys.filter("_own").drop("_own", "_n")
+    if repeated.isEmpty():
+        return rest
+    again = docs.join(small(repeated, n), same(repeated)).select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), repeated["_id"], repeated["_key"])
+    once = again.groupBy("_id", "_key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rest.unionByName(once.select("row.*"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,14 +459,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g
-    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS g
+    FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, any_value(x.doc_id) AS id_a, any_value(y.doc_id) AS id_b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.r, y.r),
+l AS (SELECT DISTINCT id_a AS a, id_b AS b FROM p JOIN n na ON a = na.r JOIN n nb ON b = nb.r WHERE 100 * c >= 85 * (na.n + nb.n - c)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.doc_id = e.a WHERE r.c < e.b)
-SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id, min(r.c) = d.doc_id AS kept
-FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+k(doc_id, c) AS (SELECT DISTINCT doc_id, doc_id FROM t WHERE doc_id IS NOT NULL UNION SELECT e.b, k.c FROM k JOIN e ON k.doc_id = e.a WHERE k.c < e.b),
+m AS (SELECT doc_id, min(c) AS component_id FROM k GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN t.doc_id ELSE m.component_id END AS component_id,
+    coalesce(n.n IS NULL OR m.component_id = t.doc_id, true) AS kept
+FROM t LEFT JOIN m USING (doc_id) LEFT JOIN n USING (r)
 """

@@ -116,29 +116,28 @@ def shingle_set(t):
 
 
 def linked(rows):
-    """{id: (shingles, component)} by comparing all pairs; ids occur once or with equal texts."""
-    sets = {i: shingle_set(t) for i, t in rows if i is not None}
-    name = {i: i for i in sets}
+    """{id: component} by comparing all pairs of rows; rows that agree in id are in one component."""
+    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
+    name = {i: i for i, _ in sets}
 
     def top(i):
         while name[i] != i:
             i = name[i]
         return i
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[k + 1 :]:
+            if x and y and top(a) != top(b) and 100 * len(x & y) >= 85 * len(x | y):
                 p, q = sorted((top(a), top(b)))
                 name[q] = p
-    return {i: (len(sets[i]), top(i)) for i in ids}
+    return {i: top(i) for i in name}
 
 
 def check_links(df, rows):
     wanted = linked(rows)
     got = neardup.near_duplicates(df).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter((i, len(shingle_set(t)), wanted[i][1] if i is not None else None, i is None or wanted[i][1] == i) for i, t in rows)
+    name = [wanted[i] if i is not None and shingle_set(t) else i for i, t in rows]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter((i, len(shingle_set(t)), n, n == i) for n, (i, t) in zip(name, rows, strict=True))
 
 
 def test_near_duplicates(docs, rows):
@@ -149,6 +148,50 @@ def test_near_duplicates(docs, rows):
     assert 1 in ids and not {2, 3, 15} & set(ids) and {4, 5, 6, 7, 8, 9, 10, 12} <= set(ids) and ids.count(None) == 2
 
 
+def test_rows_that_share_an_id(spark, tmp_path):
+    """Every text of an id is compared; the rows of one id are one component, but only near copies go."""
+    a, b, c = words(71, 60), words(72, 60), words(73, 60)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c), (4, ""), (5, c + " z"), (6, ""), (6, words(74, 60)), (None, c), (None, words(75, 60)), (None, words(75, 60)), (-9, words(74, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x")).withColumn("rep", F.lit(1)).withColumn("_id", F.lit(2)).repartition(4)
+    check_links(df, rows)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect() if r.n_shingles} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: -9, -9: -9, None: None}
+    left = neardup.one_of_each(df)
+    assert left.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, a), (1, b), (4, c), (4, ""), (6, ""), (None, words(75, 60)), (-9, words(74, 60))])
+    duckdb = pytest.importorskip("duckdb")
+    df.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert Counter(con.execute(neardup.OP10_SQL).fetchall()) == Counter(tuple(r) for r in neardup.near_duplicates(df).collect())
+
+
+def test_very_long_near_copies(spark):
+    long = words(91, 1_200_000, 300_000)
+    rows = [(1, long), (2, long.upper() + " end"), (3, words(92, 900_000, 300_000)), (4, "a short one")]
+    assert len(long) > 8_000_000
+    check_links(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_many_pages_of_one_template(spark, monkeypatch):
+    """Buckets of pages that share a template: members are dealt by rare shingles, and what links is still found."""
+    monkeypatch.setattr(neardup, "MOST_STRAYS", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    r = random.Random(11)
+    template = words(60, 140).split()
+    rows = []
+    for k in range(120):
+        own = [f"p{k}x{j}" for j in range(16)]
+        rows.append((k, " ".join(template[:70] + own + template[70:])))
+        if k % 10 == 0:
+            rows.append((1000 + k, " ".join(template[:70] + own + template[70:] + ["more"])))
+            rows.append((2000 + k, " ".join(template[:60] + [f"e{r.randrange(9)}"] + template[61:70] + own + template[70:])))
+    called = []
+    plain = neardup.by_rarest
+    monkeypatch.setattr(neardup, "by_rarest", lambda *a: called.append(1) or plain(*a))
+    check_links(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert called
+
+
 @pytest.mark.parametrize("block", [2000, 7])
 def test_groups_of_near_copies(spark, monkeypatch, block):
     """Chains of edits: similarities from 0.5 to 1 in one group, so buckets hold several components."""
@@ -178,6 +221,20 @@ def test_components(spark):
     assert got == {i: n for i, n in name.items() if i != 100}
 
 
+@pytest.mark.parametrize("order", ["rising", "mixed"])
+def test_rounds_of_components(spark, monkeypatch, order):
+    """A path of 1,000 links, which took a round a link by neighbours' names alone."""
+    ids = list(range(1001))
+    if order == "mixed":
+        random.Random(2).shuffle(ids)
+    tables = []
+    plain = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name, *a: tables.append(name) or plain(df, name, *a))
+    got = neardup.components(spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)), "a long, b long")).collect()
+    assert {(x.id, x.component) for x in got} == {(i, 0) for i in ids}
+    assert tables.count("edges") - 1 <= 7 and tables.count("to") - tables.count("edges") + 1 <= 15
+
+
 def test_bounds_of_verification():
     """No pair at the threshold is likely to be pruned: the chance of too few matches is small after each batch."""
     q = 0.85 + 0.15 / 256
