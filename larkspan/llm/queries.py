@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash_neardup": neardup.op10,
 }
 SQL = {
+    "op1_kd_sharding": sharding.op1_sql(),
     "op2_decontamination": decontam.OP2_SQL,
     "op5_url_filter": urlfilter.OP5_SQL,
     "op6_mixing": mixing.op6_sql(),

@@ -107,7 +107,7 @@ def test_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op2_decontamination", "op5_url_filter", "op6_mixing", "op7_warc", "op8_substring_dedup", "op10_minhash_neardup"])
+@pytest.mark.parametrize("name", ["op1_kd_sharding", "op2_decontamination", "op5_url_filter", "op6_mixing", "op7_warc", "op8_substring_dedup", "op10_minhash_neardup"])
 def test_against_sql(spark, name):
     import duckdb
 
