@@ -115,10 +115,14 @@ class WordHashes(dict):
 
     MOST = 150_000
 
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

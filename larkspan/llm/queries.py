@@ -19,6 +19,7 @@ QUERIES = {
 SQL = {
     "op1_kd_sharding": sharding.op1_sql(),
     "op2_decontamination": decontam.OP2_SQL,
+    "op3_lm_scoring": lmscore.OP3_SQL,
     "op5_url_filter": urlfilter.OP5_SQL,
     "op6_mixing": mixing.op6_sql(),
     "op7_warc": warc.OP7_SQL,

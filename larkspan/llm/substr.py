@@ -3,15 +3,17 @@
 A repeat of `window` words contains, wherever it lies, one whole block of window/2 words at a multiple of window/2.
 So every document's non-overlapping blocks are indexed by hash, and every rolling window of block length probes the
 index. A hit marks the words around it; the windows of full length over marked words are extended to exact repeats: their
-128-bit hashes meet in buckets that find the smallest doc_id of each, and a document loses the words of those windows
-that also start in a document with a smaller id. Neighbouring windows join to maximal repeats by themselves.
+hashes (128 bits, of two independent hashes of each word) meet in buckets that find the smallest doc_id of each, and a
+document loses the words of those windows that also start in a document with a smaller id. Windows that overlap join, so
+what goes is the maximal repeat, word for word.
 
 Documents that equal one with a smaller id are settled first, on a hash of their text (every window of theirs is one of
-the other's), and take no part in index or probes. All exchanges are packed (see blocks): a passage that any number of
-documents share is one entry a chunk, and no pairs are made.
+the other's), and take no part in index or probes. All exchanges are packed and routed (see blocks): a passage that any number
+of documents share is one entry a chunk, no pairs are made, and messages grow with the input.
 
 Words are runs of other than ASCII white space. Defined results: a null text has no words; texts shorter than a window
-lose nothing; null ids count as larger than all others; rows that agree in id don't remove from each other; kept words
+lose nothing; a very long text is one row of its chunk, which holds some thirty bytes for each of its words; null ids count
+as larger than all others; rows that agree in id don't remove from each other, repeated rows and ties among them; kept words
 are joined by one space; empty tables give empty results. Other columns are never read by the query.
 """
 
@@ -24,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Among, bounds, buckets_for, chunk_of, chunks_for, pack_ints, pack_keys, unpack_ints, unpack_keys
+from .blocks import MESSAGE, Among, Levels, Traffic, chunk_of, chunks_for, exchange, folded, joined_answer, pack_ints, pack_keys, ranges, sent, unfolded, unpack_ints, unpack_keys
 from .common import WordHashes, mix, table
 
 WINDOW = 50
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+SECOND = 20_011
 NO_ID = (1 << 63) - 1
-MESSAGE = "bucket int, chunk int, keys binary, more binary, first binary"
-HITS = "chunk int, copy long, keys binary, more binary, first binary"
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+ANCHORS, WINDOWS, COPY = 0, 1, 2  # kinds of what comes back to a chunk
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, copies long"
 
 
 class Rolling:
@@ -53,22 +55,19 @@ class Rolling:
         return mix((self.sums[starts + width] - self.sums[starts]) * self.down[starts])
 
 
-def messages(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
-    return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds)})
-
-
-SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("first", pa.binary())]
-ANSWERED = [("chunk", pa.int32()), ("copy", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("first", pa.binary())]
+def none() -> np.ndarray:
+    return np.empty(0, np.uint64)
 
 
 class Chunk:
     """The words of a chunk's documents that are long enough and no copies, hashed, one document after the other."""
 
-    def __init__(self, docs: pa.Table, copies: pa.Table, window: int) -> None:
+    def __init__(self, docs: pa.Table, back: pa.Table, window: int) -> None:
         self.window, self.block = window, window // 2
-        self.copies = set(copies.column("copy").drop_null().to_pylist())
+        self.copies = set(back.column("copy").drop_null().to_pylist())
         known, parts = WordHashes(), []
         self.first_word: dict[int, int] = {}  # row of `docs` -> place of its first word
+        self.texts: list[bytes] = []
         sizes, ids, n = [], [], 0
         for i, (row, doc_id, text) in enumerate(zip(docs.column("row"), docs.column("doc_id"), docs.column("text"), strict=True)):
             if row.as_py() in self.copies or (raw := text.as_py()) is None:
@@ -77,14 +76,15 @@ class Chunk:
             if len(words) >= window:
                 parts.append(known.of(words))
                 self.first_word[i] = n
+                self.texts.append(raw)
                 sizes.append(len(words))
                 ids.append(NO_ID if (one := doc_id.as_py()) is None else one)
                 n += len(words)
-        self.h = np.concatenate(parts or [np.empty(0, np.uint64)])
-        sizes = np.array(sizes, np.int64)
-        self.place = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
-        self.left = np.repeat(sizes.astype(np.int32), sizes) - self.place
-        self.ids = np.repeat(np.array(ids, np.int64), sizes)
+        self.h = np.concatenate(parts or [none()])
+        self.sizes = np.array(sizes, np.int64)
+        self.place = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
+        self.left = np.repeat(self.sizes.astype(np.int32), self.sizes) - self.place
+        self.ids = np.repeat(np.array(ids, np.int64), self.sizes)
         self.rolling = Rolling(self.h, BASE_A)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -96,43 +96,60 @@ class Chunk:
         """Where the windows start that have a hit inside, and their two hashes."""
         n = max(0, len(self.h) - self.window + 1)
         if not n or not len(hits):
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64), none(), none()
         r, inside = self.anchors()
         so_far = np.concatenate([[0], np.cumsum(Among(hits).has(r) & inside, dtype=np.int64)])
         reach = self.window - self.block + 1
         starts = np.nonzero((so_far[reach : reach + n] > so_far[:n]) & (self.left[:n] >= self.window))[0]
-        return starts, self.rolling.at(starts, self.window), Rolling(self.h, BASE_B).at(starts, self.window)
+        return starts, self.rolling.at(starts, self.window), Rolling(self.second(starts), BASE_B).at(starts, self.window)
 
+    def second(self, starts: np.ndarray) -> np.ndarray:
+        """Other hashes of the words, for the documents in which windows start."""
+        ends = np.cumsum(self.sizes)
+        known, out = WordHashes(SECOND), np.zeros(len(self.h), np.uint64)
+        for k in np.unique(np.searchsorted(ends, starts, side="right")):
+            out[ends[k] - self.sizes[k] : ends[k]] = known.of(self.texts[k].split())
+        return out
 
-def send_anchors(docs: pa.Table, copies: pa.Table, chunk: int, window: int, buckets: int) -> pa.Table:
-    """keys: blocks' hashes, `more` saying whether the chunk has one twice; first: the other rolling windows' hashes."""
-    c = Chunk(docs, copies, window)
-    r, inside = c.anchors()
-    own = c.place[: len(r)] % c.block == 0
-    keys, n = np.unique(r[inside & own], return_counts=True)
-    probe = np.unique(r[inside & ~own])
-    at, to = bounds(keys, buckets), bounds(probe, buckets)
-    return messages([(b, chunk, pack_keys(keys[at[b] : at[b + 1]]), pack_ints(np.minimum(n[at[b] : at[b + 1]], 2)), pack_keys(probe[to[b] : to[b + 1]])) for b in range(buckets)], SENT)
-
-
-def answer_anchors(sent: pa.Table) -> pa.Table:
-    """Each chunk's hits: blocks that occur as blocks again, and other windows that equal a block."""
-    rows = sent.to_pylist()
-    own = [unpack_keys(r["keys"]) for r in rows]
-    every, at = np.unique(np.concatenate(own), return_inverse=True)
-    n = np.bincount(at, np.concatenate([unpack_ints(r["more"])[: len(o)] for r, o in zip(rows, own, strict=True)]), len(every))
-    once, twice = Among(every), Among(every[n >= 2])
-    out = []
-    for r, o in zip(rows, own, strict=True):
-        probe = unpack_keys(r["first"])
-        hits = np.union1d(o[twice.has(o)], probe[once.has(probe)])
-        if len(hits):
-            out.append((r["chunk"], None, pack_keys(hits), None, None))
-    return messages(out, ANSWERED)
 
+class Anchors(Traffic):
+    """Parts: hashes of blocks, whether each comes once or more, and hashes of the other rolling windows. Answers: which of either are hits:
+    blocks that occur as blocks again, and other windows that equal a block."""
+
+    def split(self, part: tuple, levels: Levels, level: int) -> list[tuple]:
+        own, n, probe = part
+        at, to = ranges(own, levels, level), ranges(probe, levels, level)
+        pieces = [(own[at[k] : at[k + 1]], n[at[k] : at[k + 1]], probe[to[k] : to[k + 1]]) for k in range(len(at) - 1)]
+        return [p if len(p[0]) or len(p[2]) else None for p in pieces]
+
+    def merge(self, parts: list[tuple]) -> tuple:
+        own, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(own))
+        return own, np.minimum(n, 2).astype(np.uint64), np.unique(np.concatenate([p[2] for p in parts]))
+
+    def settle(self, merged: tuple) -> tuple:
+        own, n, probe = merged
+        return own[n >= 2], probe[Among(own).has(probe)] if len(own) else none()
+
+    def join(self, answers: list[tuple]) -> tuple:
+        return tuple(np.concatenate([none(), *[a[i] for a in answers]]) for i in (0, 1))
 
-def answered_keys(answers: pa.Table) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *[unpack_keys(k) for k in answers.column("keys").drop_null().to_pylist()]]))
+    def reply(self, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
+        again, met = (x[Among(y).has(x)] if len(y) else none() for x, y in zip((part[0], part[2]), answer, strict=True))
+        return (again, met) if len(again) or len(met) else None
+
+    def pack(self, part: tuple) -> tuple[bytes, bytes, bytes]:
+        return pack_keys(part[0]), pack_ints(part[1]), pack_keys(part[2])
+
+    def unpack(self, packed: tuple[bytes, bytes, bytes]) -> tuple:
+        own = unpack_keys(packed[0])
+        return own, unpack_ints(packed[1])[: len(own)], unpack_keys(packed[2])
+
+    def pack_answer(self, answer: tuple) -> tuple[bytes, bytes, bytes]:
+        return pack_keys(answer[0]), pack_keys(answer[1]), b""
+
+    def unpack_answer(self, packed: tuple[bytes, bytes, bytes]) -> tuple:
+        return unpack_keys(packed[0]), unpack_keys(packed[1])
 
 
 def distinct_windows(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,50 +163,89 @@ def distinct_windows(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.
     return sa[new], sb[new], ids[order][new], which
 
 
-def send_windows(docs: pa.Table, answers: pa.Table, chunk: int, window: int, buckets: int) -> pa.Table:
-    c = Chunk(docs, answers, window)
-    starts, h1, h2 = c.candidates(answered_keys(answers))
-    a, b, ids, _ = distinct_windows(h1, h2, c.ids[starts])
-    at = bounds(a, buckets)
-    flipped = ids.astype(np.uint64) ^ np.uint64(1 << 63)  # ids may be negative
-    small = pack_ints if len(ids) and ids.min() < 0 else lambda x: pack_ints(x ^ np.uint64(1 << 63))
-    signed = bytes([small is pack_ints])
-    return messages([(k, chunk, pack_keys(a[i:j]), pack_ints(b[i:j]), signed + small(flipped[i:j])) for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j], SENT)
+def pack_ids(ids: np.ndarray) -> bytes:
+    flip = np.uint64(1 << 63) if len(ids) and ids.min() < 0 else np.uint64(0)
+    return bytes([int(flip != 0)]) + pack_ints(ids.astype(np.uint64) ^ flip)
 
 
 def unpack_ids(data: bytes) -> np.ndarray:
-    x = unpack_ints(data[1:])
-    return (x ^ np.uint64(1 << 63) if data[0] else x).astype(np.int64)
-
-
-def answer_windows(sent: pa.Table) -> pa.Table:
-    """To each chunk its windows that start in another chunk's document with a smaller id, and that id."""
-    rows = sent.to_pylist()
-    parts = [(unpack_keys(r["keys"]), unpack_ints(r["more"]), unpack_ids(r["first"])) for r in rows]
-    _, _, least, which = distinct_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-    out, end = [], 0
-    for r, (ka, kb, ki) in zip(rows, parts, strict=True):
-        best = least[which[end : end + len(ka)]]
-        end += len(ka)
-        lost = best < ki
-        if lost.any():
-            out.append((r["chunk"], None, pack_keys(ka[lost]), pack_ints(kb[lost]), pack_ints(best[lost].astype(np.uint64) ^ np.uint64(1 << 63))))
-    return messages(out, ANSWERED)
-
-
-def gone_words(c: Chunk, answers: pa.Table) -> np.ndarray:
+    return (unpack_ints(data[1:]) ^ np.uint64(data[0] << 63)).astype(np.int64)
+
+
+def places(a: np.ndarray, b: np.ndarray, wanted: tuple) -> np.ndarray:
+    """Where the wanted windows are in a list sorted by both hashes that has them all."""
+    at = np.searchsorted(a, wanted[0])
+    while (off := (a[at] == wanted[0]) & (b[at] != wanted[1])).any():
+        at[off] += 1
+    return at
+
+
+class Windows(Traffic):
+    """Parts: both hashes of windows and the smallest doc_id that each starts in. Answers: windows that start in a smaller one, and which."""
+
+    def split(self, part: tuple, levels: Levels, level: int) -> list[tuple]:
+        at = ranges(part[0], levels, level)
+        return [tuple(x[i:j] for x in part) if i < j else None for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def merge(self, parts: list[tuple]) -> tuple:
+        return distinct_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))[:3]
+
+    def settle(self, merged: tuple) -> tuple:
+        return none(), none(), np.empty(0, np.int64)
+
+    def join(self, answers: list[tuple]) -> tuple:
+        every = [self.settle(()), *answers]
+        return tuple(np.concatenate([a[i] for a in every]) for i in range(3))
+
+    def reply(self, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
+        a, b, least = merged
+        if len(answer[0]):
+            least = least.copy()
+            least[places(a, b, answer)] = answer[2]
+        best = least[places(a, b, part)]
+        lost = best < part[2]
+        return (part[0][lost], part[1][lost], best[lost]) if lost.any() else None
+
+    def pack(self, part: tuple) -> tuple[bytes, bytes, bytes]:
+        return pack_keys(part[0]), pack_ints(part[1]), pack_ids(part[2])
+
+    def unpack(self, packed: tuple[bytes, bytes, bytes]) -> tuple:
+        keys = unpack_keys(packed[0])
+        return keys, unpack_ints(packed[1])[: len(keys)], unpack_ids(packed[2])[: len(keys)]
+
+    pack_answer, unpack_answer = pack, unpack
+
+
+def of_kind(back: pa.Table, kind: int) -> pa.Table:
+    return back.filter(pa.array([k == kind for k in back.column("kind").to_pylist()], pa.bool_()))
+
+
+def hits_of(back: pa.Table) -> np.ndarray:
+    again, met = joined_answer(of_kind(back, ANCHORS), Anchors())
+    return np.union1d(again, met)
+
+
+def send_anchors(docs: pa.Table, copies: pa.Table, chunk: int, window: int, levels: Levels) -> pa.Table:
+    c = Chunk(docs, copies, window)
+    r, inside = c.anchors()
+    own = c.place[: len(r)] % c.block == 0
+    keys, n = np.unique(r[inside & own], return_counts=True)
+    return sent((keys, np.minimum(n, 2).astype(np.uint64), np.unique(r[inside & ~own])), Anchors(), chunk, levels)
+
+
+def send_windows(docs: pa.Table, back: pa.Table, chunk: int, window: int, levels: Levels) -> pa.Table:
+    c = Chunk(docs, back, window)
+    starts, h1, h2 = c.candidates(hits_of(back))
+    return sent(distinct_windows(h1, h2, c.ids[starts])[:3], Windows(), chunk, levels)
+
+
+def gone_words(c: Chunk, back: pa.Table) -> np.ndarray:
     """Which words of the chunk go."""
-    listed = answers.to_pylist()
-    first_round = [unpack_keys(r["keys"]) for r in listed if r["keys"] is not None and r["first"] is None]
-    starts, h1, h2 = c.candidates(np.unique(np.concatenate([np.empty(0, np.uint64), *first_round])))
+    starts, h1, h2 = c.candidates(hits_of(back))
     a, b, least, which = distinct_windows(h1, h2, c.ids[starts])
-    for r in listed:
-        if r["first"] is not None:  # names windows of `a`, in the same order
-            ra, rb = unpack_keys(r["keys"]), unpack_ints(r["more"])
-            at = np.searchsorted(a, ra)
-            while (off := (a[at] == ra) & (b[at] != rb)).any():
-                at[off] += 1
-            least[at] = (unpack_ints(r["first"]) ^ np.uint64(1 << 63)).astype(np.int64)
+    answer = joined_answer(of_kind(back, WINDOWS), Windows())
+    if len(answer[0]):
+        least[places(a, b, answer)] = answer[2]
     lost = starts[least[which] < c.ids[starts]]
     change = np.zeros(len(c.h) + 1, np.int32)
     change[lost] = 1
@@ -199,9 +255,9 @@ def gone_words(c: Chunk, answers: pa.Table) -> np.ndarray:
     return change[: len(c.h)] > done
 
 
-def judge(docs: pa.Table, answers: pa.Table, window: int, texts: bool) -> pa.Table:
-    c = Chunk(docs, answers, window)
-    gone = gone_words(c, answers)
+def judge(docs: pa.Table, back: pa.Table, window: int, texts: bool) -> pa.Table:
+    c = Chunk(docs, back, window)
+    gone = gone_words(c, back)
     out = []
     for i, (row, doc_id, text) in enumerate(zip(docs.column("row"), docs.column("doc_id"), docs.column("text"), strict=True)):
         words = (text.as_py() or b"").split()
@@ -215,28 +271,30 @@ def judge(docs: pa.Table, answers: pa.Table, window: int, texts: bool) -> pa.Tab
         kept = b" ".join(kept)
         out.append((doc_id.as_py(), n, removed, kept if texts else hashlib.sha256(kept).hexdigest()))
     kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()) if texts else ("kept_sha256", pa.string())]
-    return messages(out, kinds)
+    return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate(kinds)} | {"copies": docs.column("copies")})
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document; with `texts`, the kept text instead of its hash."""
     total = docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
     chunks = chunks_for(total)
-    buckets = buckets_for(chunks)
-    key = F.xxhash64(docs["doc_id"], docs["text"])
-    rows = docs.select(docs["doc_id"], docs["text"].cast("binary").alias("text"), key.alias("row"), chunk_of(docs, chunks).alias("chunk"))
-    names = docs.select(docs["doc_id"], key.alias("row"), chunk_of(docs, chunks).alias("chunk"), F.sha2(docs["text"], 256).alias("sha"), F.octet_length(docs["text"]).alias("n_bytes")).filter("sha IS NOT NULL")
+    levels = Levels.of(chunks)
+    docs, any_copies = folded(docs.select(docs["doc_id"], docs["text"]))
+    key, source = F.xxhash64("doc_id", "text"), chunk_of(docs, chunks)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), "copies", key.alias("row"), source.alias("source"))
+    names = docs.select("doc_id", key.alias("row"), source.alias("source"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n_bytes")).filter("sha IS NOT NULL")
     own = F.coalesce("doc_id", F.lit(NO_ID))
     # The join has a key more than the grouping: so both of its sides are dealt anew, and Spark can split a large group.
     firsts = names.groupBy("sha").agg(F.max("n_bytes").alias("n_bytes"), F.min(own).alias("least"), F.count("*").alias("n")).filter("n > 1").select("sha", "n_bytes", "least")
-    none = F.lit(None).cast("binary")
-    copies = names.join(firsts, ["sha", "n_bytes"]).filter(own > F.col("least")).select("chunk", F.col("row").alias("copy"), none.alias("keys"), none.alias("more"), none.alias("first"))
-    sent = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(lambda k, t, c: send_anchors(t, c, key_of(k), window, buckets), MESSAGE)
-    hits = sent.groupBy("bucket").applyInArrow(lambda t: answer_anchors(t), HITS).unionByName(copies)
-    again = rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda k, t, h: send_windows(t, h, key_of(k), window, buckets), MESSAGE)
-    lost = again.groupBy("bucket").applyInArrow(lambda t: answer_windows(t), HITS).unionByName(hits)
+    nothing = [F.lit(None).cast("binary").alias(c) for c in "xyz"]
+    copies = names.join(firsts, ["sha", "n_bytes"]).filter(own > F.col("least")).select("source", F.lit(COPY).alias("kind"), F.lit(None).cast("long").alias("bucket"), F.col("row").alias("copy"), *nothing)
+    answers = lambda a, kind: a.select("source", F.lit(kind).alias("kind"), "bucket", F.lit(None).cast("long").alias("copy"), *"xyz")
+    asked = rows.groupBy("source").cogroup(copies.groupBy("source")).applyInArrow(lambda k, t, c: send_anchors(t, c, key_of(k), window, levels), MESSAGE)
+    hits = copies.unionByName(answers(exchange(asked, Anchors(), levels), ANCHORS))
+    again = rows.groupBy("source").cogroup(hits.groupBy("source")).applyInArrow(lambda k, t, h: send_windows(t, h, key_of(k), window, levels), MESSAGE)
+    lost = hits.unionByName(answers(exchange(again, Windows(), levels), WINDOWS))
     result = RESULT.replace("kept_sha256 string", "kept binary") if texts else RESULT
-    out = rows.groupBy("chunk").cogroup(lost.groupBy("chunk")).applyInArrow(lambda t, h: judge(t, h, window, texts), result)
+    out = unfolded(rows.groupBy("source").cogroup(lost.groupBy("source")).applyInArrow(lambda t, h: judge(t, h, window, texts), result), any_copies)
     return out.withColumn("kept", F.col("kept").cast("string")) if texts else out
 
 

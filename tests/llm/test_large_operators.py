@@ -26,30 +26,35 @@ def test_packing():
     for keys in (np.empty(0, np.uint64), np.array([2**64 - 1], np.uint64), np.unique(r.integers(0, 2**64, 5000, dtype=np.uint64)), np.array([0, 0, 1, 2**63], np.uint64)):
         assert (blocks.unpack_keys(blocks.pack_keys(keys)) == keys).all()
         assert (blocks.unpack_ints(blocks.pack_ints(keys)) == keys).all()
-        for n in (1, 2, 64):
-            at = blocks.bounds(keys, n)
-            assert len(at) == n + 1 and at[0] == 0 and at[-1] == len(keys)
-            assert all((keys[at[b] : at[b + 1]] >> np.uint64(64 - n.bit_length() + 1) == b).all() for b in range(n) if n > 1)
+        for bits in (1, 3, 8):
+            at = blocks.ranges(keys, blocks.Levels(2, bits), 0)
+            assert len(at) == (1 << bits) + 1 and at[0] == 0 and at[-1] == len(keys)
+            assert all((keys[at[b] : at[b + 1]] >> np.uint64(64 - bits) == b).all() for b in range(1 << bits))
         some = np.concatenate([keys[::2], r.integers(0, 2**64, 100, dtype=np.uint64)])
         assert (blocks.Among(keys).has(some) == np.isin(some, keys)).all()
 
 
 def lm_scores(rows, good):
-    texts = [(i, (t or "").encode().lower().split(), i in good) for i, t in rows]
+    """Every document judged by counts over the rows that differ from it in id or text."""
+    texts = [(i, (t or "").encode().lower().split(), i in good, (i, t)) for i, t in rows]
+    count = lambda w: (Counter([*w, "END"]), Counter(zip(["END", *w], [*w, "END"], strict=True)), len(w) + 1)
     one, two, total = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
-    for _, w, is_good in texts:
+    for _, w, is_good, _ in texts:
         for m in (0, 1) if is_good else (0,):
             if w:
-                one[m].update([*w, "END"])
-                two[m].update(zip(["END", *w], [*w, "END"], strict=True))
+                for sums, more in zip((one[m], two[m]), count(w)[:2], strict=True):
+                    sums.update(more)
                 total[m] += len(w) + 1
+    copies = Counter(k for *_, k in texts)
     out = []
-    for i, w, _ in texts:
+    for i, w, is_good, k in texts:
         loss = [0.0, 0.0]
+        own = count(w)
         for u, x in zip(["END", *w], [*w, "END"], strict=True) if w else ():
             for m in (0, 1):
-                p = (one[m][x] + lmscore.PRIOR_WORD * one[0][x] / total[0]) / (total[m] + lmscore.PRIOR_WORD)
-                loss[m] -= math.log((two[m][u, x] + lmscore.PRIOR_PAIR * p) / (one[m][u] + lmscore.PRIOR_PAIR)) / (len(w) + 1)
+                c = copies[k] if is_good or not m else 0
+                p = (one[m][x] - c * own[0][x] + lmscore.PRIOR_WORD * one[0][x] / total[0]) / (total[m] - c * own[2] + lmscore.PRIOR_WORD)
+                loss[m] -= math.log((two[m][u, x] - c * own[1][u, x] + lmscore.PRIOR_PAIR * p) / (one[m][u] - c * own[0][u] + lmscore.PRIOR_PAIR)) / (len(w) + 1)
         out.append((i, len(w), *((round(loss[1], 9), round(loss[0], 9), round(loss[1] - loss[0], 8)) if w else (None,) * 3)))
     return Counter(out)
 
@@ -66,6 +71,78 @@ def test_no_scores(spark, no_docs):
     assert lmscore.cross_entropy_difference(no_docs, F.lit(True)).collect() == []
 
 
+def test_marked_documents_are_judged_by_others(spark):
+    """Two documents of the target that share nothing with it score as strangers do."""
+    rows = [(i, words(40 + i % 3, 50)) for i in range(12)] + [(20, words(45, 50, 9000)), (21, words(46, 50, 9000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(df, F.col("doc_id").isin(0, 3, 6, 20)).collect()}
+    assert got[0] < got[1] and abs(got[20] - got[21]) < 0.1 < abs(got[0] - got[20])
+
+
+@pytest.mark.parametrize("chunks", [16, 128])
+def test_routed_exchange(spark, monkeypatch, chunks):
+    """Through several levels, results are those of one; messages grow with the chunks, not with their square."""
+    monkeypatch.setattr(blocks, "FAN", 4)
+    monkeypatch.setattr(blocks, "LEAST_CHUNKS", chunks)
+    levels = blocks.Levels.of(chunks)
+    assert levels.count == (2 if chunks == 16 else 4) and levels.bits == 2
+    rows = [(i, words(500 + i // 3, 40, 300)) for i in range(3 * chunks)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("copies", F.lit(1).cast("long")).withColumn("target", F.col("doc_id") % 2 == 0)
+    dealt = df.select("doc_id", F.col("text").cast("binary").alias("text"), "target", "copies", blocks.chunk_of(df, chunks).alias("source"))
+    asked = dealt.groupBy("source").applyInArrow(lambda k, t: blocks.sent(lmscore.counted(t), lmscore.Counts(), k[0].as_py(), levels), blocks.MESSAGE).cache()
+    sources = asked.select("source").distinct().count()
+    assert asked.count() <= 4 * sources
+    made = [asked.count()]
+    plain = blocks.exchange
+
+    def watched(rows, traffic, levels, level=1):
+        if level > 1:
+            made.append(rows.count())
+        return plain(rows, traffic, levels, level)
+
+    monkeypatch.setattr(blocks, "exchange", watched)
+    answers = watched(asked, lmscore.Counts(), levels)
+    assert answers.count() == made[0]
+    assert len(made) == levels.count and sum(made) <= 4 * chunks * levels.count
+    target = [i for i, _ in rows if i % 2 == 0]
+    got = lmscore.cross_entropy_difference(df, F.col("target")).collect()
+    assert Counter((r.doc_id, r.n_tokens, *(round(x, d) for x, d in ((r.target_loss, 9), (r.background_loss, 9), (r.score, 8)))) for r in got) == lm_scores(rows, set(target))
+
+
+@pytest.mark.parametrize("fan", [2, 4])
+def test_routed_repeats(spark, monkeypatch, fan):
+    monkeypatch.setattr(blocks, "FAN", fan)
+    r = random.Random(fan)
+    shared = [[f"p{r.randrange(3)}" for _ in range(r.randrange(4, 30))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(r.randrange(5)):
+            w += r.choice(shared)[r.randrange(4) :] if r.random() < 0.6 else [f"q{r.randrange(60)}" for _ in range(r.randrange(12))]
+        rows.append((r.randrange(-20, 60), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert blocks.Levels.of(5).count > 1
+    assert Counter(tuple(x) for x in substr.remove_repeats(df, 8).collect()) == repeats(rows, 8)
+
+
+def test_one_row_that_fills_the_table(spark):
+    """Repeated rows are folded before the chunks, in which they would meet."""
+    text = words(81, 70)
+    rows = [(5, text)] * 700 + [(None, None)] * 700 + [(1, "a b " + text), (6, text), (7, words(82, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held, any_copies = blocks.folded(df)
+    assert any_copies and held.count() == 5
+    assert Counter(tuple(x) for x in substr.remove_repeats(df).collect()) == repeats(rows, 50)
+    got = lmscore.cross_entropy_difference(df, F.col("doc_id") == 5).collect()
+    assert Counter((r.doc_id, r.n_tokens, *(None if x is None else round(x, d) for x, d in ((r.target_loss, 9), (r.background_loss, 9), (r.score, 8)))) for r in got) == lm_scores(rows, {5})
+
+
+def test_very_long_repeats(spark):
+    long = words(91, 1_000_000, 300_000)
+    rows = [(1, long), (2, "start " + long), (3, words(83, 100))]
+    assert Counter(tuple(x) for x in substr.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == Counter([(1, 1_000_000, 0, hashlib.sha256(long.encode()).hexdigest()), (2, 1_000_001, 1_000_000, hashlib.sha256(b"start").hexdigest()), (3, 100, 0, hashlib.sha256(words(83, 100).encode()).hexdigest())])
+
+
 def repeats(rows, n):
     texts = [(math.inf if i is None else i, i, (t or "").encode().split()) for i, t in rows]
     first = {}

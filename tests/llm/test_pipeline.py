@@ -107,14 +107,14 @@ def test_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op1_kd_sharding", "op2_decontamination", "op5_url_filter", "op6_mixing", "op7_warc", "op8_substring_dedup", "op10_minhash_neardup"])
+@pytest.mark.parametrize("name", ["op1_kd_sharding", "op2_decontamination", "op3_lm_scoring", "op5_url_filter", "op6_mixing", "op7_warc", "op8_substring_dedup", "op10_minhash_neardup"])
 def test_against_sql(spark, name):
     import duckdb
 
     from larkspan.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     r = con.execute(SQL[name])
