@@ -1,16 +1,18 @@
 """Operator 2 [native]: benchmark decontamination by a broadcast hash set of word n-grams.
 
 Windows of `width` consecutive words of each benchmark item (an item with fewer words is one window) are hashed and
-broadcast. One pass over the documents hashes every window of each text, looks the hashes up in the join's hash table
-and verifies hits word by word. The same pass emits one marker row a document, so documents without hits need no second
-scan and no join back; the only shuffle deals hits and markers by document.
+broadcast. One pass over the documents hashes each word once and every window by its words' hashes, and looks the windows up
+in the join's hash table. The same pass emits one marker row a document, so documents without hits need no second
+look; its only shuffle deals hits and markers, without words, by document. Hits are then verified word by word on the texts that
+have some; texts are read again for that, and moved only where the hits are too many to be broadcast to them.
 
-The broadcast is bounded: beyond MOST_BROADCAST (window, item) pairs the lookup is a shuffled join on two independent
-64-bit hashes instead, with the same result.
+Broadcasts are bounded by bytes: up to MOST_BROADCAST_BYTES of hashes go out as they are. Beyond, the hash set that goes
+out is a table of bits, 2**MOST_BITS of them (32 MB) at most: the same pass drops all windows but those whose bit is set, and only their
+hashes are shuffled to the n-grams' hashes. Hits are verified likewise, and results are the same.
 
 Defined results: a null or wordless text has no words, no hits, and the hash of the empty string for its items; null
-item ids don't count as items; rows repeated in id and text give repeated rows; an empty benchmark hits nothing.
-Other columns are never read.
+item ids don't count as items; a very long text is taken whole, as one row with its words; ties can't arise; rows repeated in
+id and text give repeated rows; an empty benchmark hits nothing. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from .common import ascii_lower, cut, table
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MOST_BROADCAST = 300_000
+MOST_BROADCAST_BYTES = 64 << 20
+MOST_BITS = 28
+WORDS_A_ROW = 512  # 64-bit words of the table of bits
 MARK = -1
-SECOND = 20_011
 
 
 def words_of(text: Column) -> Column:
@@ -33,63 +36,104 @@ def words_of(text: Column) -> Column:
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
-def windows(words: Column, width: int, value, none: Column) -> Column:
-    """value(window) of each `width` consecutive words, in order; `none` for fewer words."""
-    starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
-    found = F.transform(starts, lambda i: value(F.slice(words, i, F.lit(width))))
-    return F.when(F.size(words) >= width, found).otherwise(none)
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def hash_at(hashes: Column, i: Column | int, width: int) -> Column:
+    """Of up to `width` words from place i on. slice() would copy the whole array for every window, get() doesn't."""
+    return F.xxhash64(*[F.get(hashes, F.lit(k) + i) for k in range(width)])
+
+
+def words_at(words: Column, i: Column, n: Column, width: int) -> Column:
+    return F.slice(F.array(*[F.get(words, i + k) for k in range(width)]), F.lit(1), n)
+
+
+def window_hashes(hashes: Column, width: int) -> Column:
+    """Of each `width` consecutive words, in order; none of fewer words."""
+    found = F.transform(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: hash_at(hashes, i, width))
+    return F.when(F.size(hashes) >= width, found).otherwise(F.array().cast("array<long>"))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct windows: h, h2, len, gram (words) and the items that have them."""
+    """Distinct windows: h, len, gram (words) and the items that have them."""
     items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), words_of(benchmark["text"]).alias("words")).filter(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(width))
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.slice("words", i, n))
+    grams = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: words_at(F.col("words"), i, n, width))
     return (items.select("item", F.explode(grams).alias("gram")).groupBy("gram").agg(F.collect_set("item").alias("items"))
-            .select(F.xxhash64("gram").alias("h"), F.xxhash64(F.lit(SECOND), "gram").alias("h2"), F.size("gram").alias("len"), "gram", "items"))
+            .withColumn("hashes", hashes_of(F.col("gram"))).select(hash_at(F.col("hashes"), 0, width).alias("h"), F.size("gram").alias("len"), "gram", "items"))
 
 
-def spans_of(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
-    """Per distinct (doc_id, text): doc_id, text_key, n_words, copies, spans [(s, e) of word positions] and items."""
+def table_of_bits(grams: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(row, bits): the set of the hashes' first k bits, and k: 16 bits an n-gram where that many are allowed."""
+    k = min(MOST_BITS, max(15, (16 * n).bit_length()))
+    at = F.shiftrightunsigned("h", 64 - k)
+    own = grams.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - k}) & 63 AS int))").alias("bits"))
+    every = own.unionByName(grams.sparkSession.range(1 << (k - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")))
+    words = every.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = words.groupBy(F.floor(F.col("word") / WORDS_A_ROW).cast("long").alias("row")).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+    return cut(rows, "bits"), k
+
+
+BYTES_A_HASH = 64
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= MOST_BROADCAST_BYTES else df
+
+
+def looked_up(docs: DataFrame, grams: DataFrame, width: int) -> DataFrame:
+    """Per distinct (doc_id, text): doc_id, text_key, n_words, copies, and found [(s, len, h)], its windows with an n-gram's hash."""
     spark = docs.sparkSession
-    grams = cut(item_windows(benchmark, width), "grams")
-    sizes = {r["len"]: r["pairs"] for r in grams.groupBy("len").agg(F.sum(F.size("items") + 1).alias("pairs")).collect()}
+    sizes = {r["len"]: r["n"] for r in grams.groupBy("len").agg(F.countDistinct("h").alias("n")).collect()}
     lens = sorted(sizes) or [width]
     texts = docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_key"), words_of(docs["text"]).alias("words"))
-    mark = spark.sql(f"SELECT {MARK}L AS h, {MARK}L AS h2, 0 AS len, CAST(array() AS array<string>) AS gram, CAST(array() AS array<string>) AS items")
-    index = grams.unionByName(mark)
-    before, n = F.lit(0), F.size("words")
-    start = F.lit(0)
-    for length in lens:  # where each length's windows begin in the array of all hashes
-        start = F.when(F.col("len") == length, before).otherwise(start)
-        before = before + F.greatest(n - (length - 1), F.lit(0))
-    pos, last = F.col("at") - start, before
-
-    def hashes(value, mark) -> Column:
-        none = F.array().cast("array<long>")
-        return F.concat(*[windows(F.col("words"), length, value, none) for length in lens], F.array(F.lit(mark).cast("long")))
-
-    if sum(sizes.values()) <= MOST_BROADCAST:
-        rows = texts.select("doc_id", "text_key", "words", F.posexplode(hashes(F.xxhash64, MARK)).alias("at", "h"))
-        same = F.when(F.col("len") == 0, F.col("at") == last).otherwise(F.slice("words", pos + 1, F.greatest("len", F.lit(1))) == F.col("gram"))
-        hits = rows.join(F.broadcast(index.drop("h2").withColumnRenamed("h", "gh")), (F.col("h") == F.col("gh")) & same)
+    texts = texts.select("doc_id", "text_key", F.size("words").alias("n"), hashes_of(F.col("words")).alias("hashes"))
+    before, n = F.lit(0), F.col("n")
+    start, length = F.lit(0), F.lit(0)  # of the window that `at` numbers among all lengths' windows; the marker's length is 0
+    for one in lens:
+        after = before + F.greatest(n - (one - 1), F.lit(0))
+        here = (F.col("at") >= before) & (F.col("at") < after)
+        start, length, before = F.when(here, F.col("at") - before).otherwise(start), F.when(here, F.lit(one)).otherwise(length), after
+    every = F.concat(*[window_hashes(F.col("hashes"), one) for one in lens], F.array(F.lit(MARK).cast("long")))
+    # The words stay behind: each window's row would carry all of them.
+    rows = texts.select("doc_id", "text_key", "n", F.posexplode(every).alias("at", "h"))
+    columns = ["doc_id", "text_key", "n", start.alias("s"), length.alias("len"), "h"]
+    hashes = grams.select(F.col("h").alias("gram_h"), F.col("len").alias("gram_len")).distinct()
+    same = (F.col("h") == F.col("gram_h")) & (F.col("len") == F.col("gram_len"))
+    if BYTES_A_HASH * sum(sizes.values()) <= MOST_BROADCAST_BYTES:
+        index = hashes.unionByName(spark.sql(f"SELECT {MARK}L AS gram_h, 0 AS gram_len"))
+        hits = rows.select(*columns).join(F.broadcast(index), same)
     else:
-        empty = F.array().cast("array<struct<h:bigint,h2:bigint>>")
-        parts = [windows(F.col("words"), length, lambda g: F.struct(F.xxhash64(g).alias("h"), F.xxhash64(F.lit(SECOND), g).alias("h2")), empty) for length in lens]
-        end = F.array(F.struct(F.lit(MARK).cast("long").alias("h"), F.lit(MARK).cast("long").alias("h2")))
-        rows = texts.select("doc_id", "text_key", n.alias("n"), F.posexplode(F.concat(*parts, end)).alias("at", "g"))
-        found = rows.filter(F.col("g.h") != MARK).select("*", F.col("g.h").alias("h"), F.col("g.h2").alias("h2")).join(grams.drop("gram"), ["h", "h2"])
-        ends = rows.filter(F.col("g.h") == MARK).select("*", F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
-        hits = found.select(*ends.columns).unionByName(ends)
-        before, start, n = F.lit(0), F.lit(0), F.col("n")
-        for length in lens:
-            start = F.when(F.col("len") == length, before).otherwise(start)
-            before = before + F.greatest(n - (length - 1), F.lit(0))
-        pos = F.col("at") - start
-    hit = F.col("len") > 0
-    rows = hits.select("doc_id", "text_key", n.alias("n_words"), (~hit).cast("long").alias("mark"), F.when(hit, F.struct(pos.alias("s"), (pos + F.col("len")).alias("e"))).alias("span"), F.when(hit, F.col("items")).alias("items"))
-    found = rows.groupBy("doc_id", "text_key", "n_words").agg(F.sum("mark").alias("copies"), F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
-    return found.withColumn("items", F.sort_array(F.array_distinct(F.flatten("items"))))
+        bits, k = table_of_bits(grams, sum(sizes.values()))
+        at = F.shiftrightunsigned("h", 64 - k)
+        held = F.getbit(F.element_at("bits", (F.shiftright(at, 6) % WORDS_A_ROW).cast("int") + 1), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        on = F.floor(F.shiftright(at, 6) / WORDS_A_ROW).cast("long") == F.col("row")
+        kept = rows.select(*columns).join(F.broadcast(bits), on & ((F.col("len") == 0) | held)).drop("row", "bits")
+        hits = kept.filter("len > 0").join(cut(hashes, "hashes"), same).drop("gram_h", "gram_len").unionByName(kept.filter("len = 0"))
+    found = F.collect_set(F.when(F.col("len") > 0, F.struct("s", "len", "h"))).alias("found")
+    return hits.groupBy("doc_id", "text_key", F.col("n").cast("long").alias("n_words")).agg(F.count_if(F.col("len") == 0).alias("copies"), found)
+
+
+def spans_of(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
+    """Per distinct (doc_id, text): doc_id, text_key, n_words, copies, spans [(s, e) of word positions] and items."""
+    grams = cut(item_windows(benchmark, width), "grams")
+    each = cut(looked_up(docs, grams, width), "looked_up")
+    hits = each.filter(F.size("found") > 0).select("doc_id", "text_key", F.explode("found").alias("f")).select("doc_id", "text_key", "f.*")
+    tried = hits.join(grams, ["h", "len"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "len", "gram", "items")).alias("tried"))
+    tried = cut(tried.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "tried"), "tried")
+    size = tried.agg(F.sum(64 + F.size("tried") * (60 + 24 * width))).first()[0] or 0
+    of = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    texts = docs.join(small(tried, size), of).select("_id", "_key", "tried", words_of(docs["text"]).alias("words"))
+    right = F.filter("tried", lambda x: words_at(F.col("words"), x["s"], x["len"], width) == x["gram"])
+    right = texts.select("_id", "_key", right.alias("right")).filter(F.size("right") > 0)
+    spans = F.array_sort(F.array_distinct(F.transform("right", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["len"]).alias("e")))))
+    facts = right.select("_id", "_key", spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten("right.items"))).alias("items"))
+    facts = cut(facts.groupBy("_id", "_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "facts")
+    size = facts.agg(F.sum(64 + 16 * F.size("spans") + F.octet_length(F.array_join("items", "")) + 40 * F.size("items"))).first()[0] or 0
+    out = each.drop("found").join(small(facts, size), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    none = F.array().cast(facts.schema["spans"].dataType), F.array().cast("array<string>")
+    return out.select("doc_id", "text_key", "n_words", "copies", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
 def covered(spans: Column) -> Column:
@@ -108,8 +152,9 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, spans: bool = False) -> DataFrame:
     """The columns of `docs`, without contaminated documents; with `spans`, contaminated texts lose their hit words instead."""
-    found = cut(judged(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"), F.col("spans").alias("_hit_spans")).dropDuplicates(["_hit_id", "_hit_key"]), "hits")
-    if found.count() <= MOST_BROADCAST:
+    keys = [F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")] + ([F.col("spans").alias("_hit_spans")] if spans else [])
+    found = cut(judged(docs, benchmark, width).filter("contaminated").select(*keys).dropDuplicates(["_hit_id", "_hit_key"]), "hits")
+    if (found.agg(F.sum(F.lit(64) + (24 * F.size("_hit_spans") if spans else F.lit(0)))).first()[0] or 0) <= MOST_BROADCAST_BYTES:
         found = F.broadcast(found)
     on = docs["doc_id"].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs["text"]) == found["_hit_key"])
     if not spans:

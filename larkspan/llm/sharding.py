@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import cut, drop, table
 
-BINS = 1024
+BINS = 256
 SLOT_GROUP = 20_000  # rows that one task numbers at once
 MOST_BROADCAST_NODES = 100_000
 MOST_BROADCAST_BYTES = 32 << 20

@@ -122,9 +122,9 @@ def contamination(text, bench):
     return len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("bound", [300_000, 0])
+@pytest.mark.parametrize("bound", [1 << 26, 0])
 def test_decontamination(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontam, "MOST_BROADCAST", bound)
+    monkeypatch.setattr(decontam, "MOST_BROADCAST_BYTES", bound)
     b = spark.createDataFrame(BENCH, "item_id long, text string").withColumn("h", F.lit(1)).withColumn("gram", F.lit(1))
     d = spark.createDataFrame(LEAKS, "doc_id long, text string").withColumn("len", F.lit(1)).withColumn("items", F.lit(1)).withColumn("words", F.lit(1))
     wanted = Counter((i, *contamination(t, BENCH)) for i, t in LEAKS)
@@ -135,6 +135,25 @@ def test_decontamination(spark, monkeypatch, bound):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t in LEAKS if not contamination(t, BENCH)[-1])
 
 
+@pytest.mark.parametrize("bound", [1 << 26, 0])
+def test_hits_are_verified(spark, monkeypatch, bound):
+    """Windows whose hashes agree with an n-gram's are no hits where their words differ; full tables of bits change nothing."""
+    monkeypatch.setattr(decontam, "MOST_BROADCAST_BYTES", bound)
+    monkeypatch.setattr(decontam, "MOST_BITS", 15)
+    monkeypatch.setattr(decontam, "hashes_of", lambda words: F.transform(words, lambda w: F.length(w).cast("long")))
+    b = spark.createDataFrame([(1, "aa bb cc"), (2, " ".join(f"word{i:03}" for i in range(30)))], "item_id long, text string")
+    texts = [(1, "xx aa bb cc yy"), (2, "xx yy zz"), (3, " ".join(f"word{i:03}" for i in range(5, 25))), (4, " ".join(f"term{i:03}" for i in range(25)))]
+    got = decontam.judged(spark.createDataFrame(texts, "doc_id long, text string"), b).drop("text_key", "spans").collect()
+    assert Counter(map(tuple, got)) == Counter((i, *contamination(t, [(1, "aa bb cc"), (2, " ".join(f"word{i:03}" for i in range(30)))])) for i, t in texts)
+
+
+def test_very_long_contaminated_text(spark):
+    b = spark.createDataFrame(BENCH[:1], "item_id long, text string")
+    text = "filler " * 900_000 + " ".join(f"w{i}" for i in range(15)) + " é" * 900_000
+    got = decontam.judged(spark.createDataFrame([(1, text)], "doc_id long, text string"), b).first()
+    assert (got.n_words, got.n_hit, got.n_items, got.contaminated) == (1_800_015, 15, 1, False)
+
+
 def test_removed_spans(spark):
     b = spark.createDataFrame(BENCH, "item_id long, text string")
     d = spark.createDataFrame([(1, "Well, zero; one two three! ONE two"), (2, "nothing here"), (3, None)], "doc_id long, text string")
