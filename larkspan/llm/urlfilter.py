@@ -1,18 +1,19 @@
 """Operator 5 [native]: URL rules as a sort-merge range join.
 
-A rule (action, host, path) fits its host and all subdomains if the URL's path starts with the rule's. Hosts are
-keyed with their labels reversed; under one host key, a rule's path prefix is the interval of all paths that start
-with it, and such intervals nest or are disjoint. A URL is a point under the key of each suffix of its host that has
-rules. Rules and points are sorted together and swept once: for each nesting depth the sweep keeps the last rule that
-began there (the stack's slots); a point's rule is the deepest slot whose interval still holds it.
+A rule (action, host, path) fits its host and all subdomains if the URL's path starts with the rule's. A host's canonical
+key is its labels reversed, each with a dot behind it: a host's subdomains are the keys that start with its own, so each host with rules
+is an interval of keys, and such intervals nest or are disjoint. Distinct URLs and rules are sorted together by key and swept
+once. The sweep keeps the stack of nested rules: the one that was open when the last interval began. Whichever of
+these still hold a URL's key and path are its rules, for an interval that holds the key encloses the last one begun before it or is that one.
 
-Only distinct (host, path) pairs are swept. Host keys with many points are dealt over several sweeps, each with
-the key's rules, so no key's points meet in one task.
+The sort is by ranges of keys and paths, one task a range, so a hot host is as many ranges as its URLs take; what a range
+inherits is the last stack of the ranges before it, one row a range. URLs that pages share are settled once.
 
 Defined results: a null URL or one without `://` has empty host and path and gets the method's verdict (`default`); an
 empty path fits no rule whose path is not empty; of rules that fit, the longest (host and path together) wins, then
-the one with the longer host; of equal rules with different actions, block wins; repeated pages give repeated rows;
-empty tables give empty results. Other columns are never read.
+the one with the longer host; of equal rules with different actions, block wins; very long URLs are keys like others;
+repeated pages give repeated rows; empty tables give empty results. Other columns are never read. A URL's cost grows with the number
+of rules of the hosts that it lies in, as their paths are tried one by one.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, cut, table
 
-POINTS_A_SWEEP = 50_000
-AFTER_ALL = "\U0010ffff"
 # The rules of the registered query.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -36,8 +35,8 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def reversed_host(host: Column) -> Column:
-    return F.concat_ws(".", F.reverse(F.split(host, r"\.")))
+def canonical(host: Column) -> Column:
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -46,34 +45,32 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.sql(f"SELECT * FROM VALUES {values} AS rules(action, host, path)")
 
 
-def nested(rules: DataFrame) -> DataFrame:
-    """Each rule with its depth: the number of intervals open at its start, from one sweep over starts and ends."""
-    one = rules.groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("key", reversed_host(F.col("host")))
-    ends = F.explode(F.array(F.struct(F.col("path").alias("at"), F.lit(1).alias("step")), F.struct(F.concat("path", F.lit(AFTER_ALL)).alias("at"), F.lit(-1).alias("step"))))
-    sweep = Window.partitionBy("key").orderBy("e.at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return one.withColumn("e", ends).withColumn("depth", F.sum("e.step").over(sweep)).filter("e.step = 1").drop("e")
+def stacks(rules: DataFrame) -> DataFrame:
+    """For each host with rules, its key and the rules that are open where its interval begins: its own and those of the hosts above it."""
+    one = rules.groupBy("host", "path").agg(F.max("action").alias("action")).withColumn("key", canonical(F.col("host")))
+    hosts = one.groupBy("key").agg(F.collect_list(F.struct("key", "path", "host", "action")).alias("own"))
+    labels = F.split("key", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit(".")))
+    each = hosts.select("key", F.explode(above).alias("up"))
+    return each.join(hosts.select(F.col("key").alias("up"), "own"), "up").groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack"))
 
 
 def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls: distinct (host, path). Those that a rule fits, with `rule` and `verdict`."""
-    rules = nested(rules)
-    labels, depths = rules.agg(F.max(F.size(F.split("key", r"\."))), F.max("depth")).first()
-    if not depths:
-        return urls.select("host", "path", F.lit("").alias("rule"), F.lit("").alias("verdict")).limit(0)
-    name = F.slice(F.reverse(F.split("host", r"\.")), 1, labels)
-    key = F.explode(F.transform(F.sequence(F.lit(1), F.size(name)), lambda i: F.concat_ws(".", F.slice(name, F.lit(1), i))))
-    points = urls.select("host", "path", key.alias("key"))
-    hosts = rules.select("key").distinct()
-    sweeps = points.join(hosts, "key").groupBy("key").agg(F.ceil(F.count("*") / POINTS_A_SWEEP).alias("sweeps"))
-    starts = rules.join(sweeps, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sweeps") - 1)).alias("sweep"), F.col("path").alias("at"), F.lit(0).alias("kind"), "depth", F.struct(F.col("path").alias("p"), F.col("host").alias("h"), "action").alias("rule"), F.lit(None).cast("string").alias("host"))
-    probes = points.join(sweeps, "key").select("key", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).alias("sweep"), F.col("path").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast(starts.schema["rule"].dataType).alias("rule"), "host")
-    swept = Window.partitionBy("key", "sweep").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slots = {f"slot_{d}": F.last(F.when(F.col("depth") == d, F.col("rule")), ignorenulls=True).over(swept) for d in range(depths, 0, -1)}
-    events = starts.unionByName(probes).withColumns(slots)
-    innermost = F.coalesce(*[F.when(F.startswith("at", F.col(f"{s}.p")), F.col(s)) for s in slots])
-    fit = events.filter("kind = 1").select("host", F.col("at").alias("path"), innermost.alias("r")).filter("r IS NOT NULL")
-    rule = F.concat("r.h", "r.p")
-    best = fit.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("r.h").alias("m"), rule.alias("rule"), F.col("r.action").alias("verdict"))).alias("b"))
+    begins = stacks(rules)
+    none = F.lit(None).cast(begins.schema["stack"].dataType)
+    points = urls.select(canonical(F.col("host")).alias("key"), F.lit(1).alias("kind"), "path", "host", none.alias("stack"))
+    events = begins.select("key", F.lit(0).alias("kind"), F.lit("").alias("path"), F.lit("").alias("host"), "stack").union(points)
+    order = ["key", "kind", "path"]
+    swept = cut(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "sweep")
+    lasts = swept.groupBy("part").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("last"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = lasts.select("part", F.last("last", ignorenulls=True).over(earlier).alias("inherited"))
+    so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = swept.withColumn("top", F.last("stack", ignorenulls=True).over(so_far)).filter("kind = 1").join(F.broadcast(inherited), "part")
+    fit = F.filter(F.coalesce("top", "inherited"), lambda r: F.startswith(F.col("key"), r["key"]) & F.startswith(F.col("path"), r["path"]))
+    ranked = F.transform(fit, lambda r: F.struct(F.length(F.concat(r["host"], r["path"])).alias("n"), F.length(r["host"]).alias("m"), F.concat(r["host"], r["path"]).alias("rule"), r["action"].alias("verdict")))
+    best = at.select("host", "path", F.array_max(ranked).alias("b")).filter("b IS NOT NULL")
     return best.select("host", "path", "b.rule", "b.verdict")
 
 

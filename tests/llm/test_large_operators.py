@@ -378,6 +378,72 @@ def test_toxicity(labelled):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.rejected}
 
 
+def dense_fit(x, earlier, y):
+    """Ridge logistic regression on all columns whose shares differ, by plain Newton steps. Returns what predicts."""
+    if y.min() == y.max():
+        return lambda x, e: np.full(len(x), 1 / (1 + math.exp(30.0 if not y[0] else -30.0)))
+    n1, n0 = y.sum(), (1 - y).sum()
+    share = x.mean(axis=0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = np.abs(x[y == 1].mean(axis=0) - x[y == 0].mean(axis=0)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    own = np.nonzero((x.sum(axis=0) >= toxicity.LEAST_DOCS) & (z >= toxicity.LEAST_Z))[0]
+    design = lambda x, e: np.concatenate([x[:, own], e, np.ones((len(x), 1))], axis=1)
+    a = design(x, earlier)
+    ridge = np.full(a.shape[1], toxicity.RIDGE)
+    ridge[-1] = 1e-3
+    w = np.zeros(a.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(ridge), a.T @ (p - y) + ridge * w)
+    return lambda x, e: 1 / (1 + np.exp(-design(x, e) @ w))
+
+
+def test_chain_against_brute_force(spark, labelled):
+    """Features, folds, both categories' models, the link and the threshold, worked out densely from the texts."""
+    rows, docs, labels = labelled
+    words_of = lambda t: {k for w in toxicity.WORDS.findall((t or "").lower()) for k in ["=" + w] + ["^" + w[:n] for n in toxicity.BEGINNINGS if len(w) > n]}
+    known = {i: (q, x) for i, _, q, x in rows[:500]}
+    texts = {i: t for i, t, *_ in rows}
+    order = [r.id for r in spark.range(500).orderBy(F.xxhash64("id"), "id").collect()]
+    features = {f: k for k, f in enumerate(sorted(set().union(*(words_of(t) for t in texts.values()))))}
+    matrix = np.zeros((len(texts), len(features)))
+    for i, t in texts.items():
+        matrix[i, [features[f] for f in words_of(t)]] = 1
+    # Label 9001 is a text without words; it is trained on, too.
+    ids = [r.id for r in spark.createDataFrame([(i,) for i in [*order, 9001]], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    x = np.stack([matrix[i] if i < 9000 else np.zeros(len(features)) for i in ids])
+    y = np.array([[1 - known[i][0], known[i][1]] if i < 9000 else [0, 0] for i in ids], float)
+    fold = np.arange(len(ids)) % toxicity.FOLDS
+    out, finals = np.zeros(y.shape), []
+    for k in (0, 1):
+        for f in range(toxicity.FOLDS):
+            model = dense_fit(x[fold != f], out[fold != f, :k], y[fold != f, k])
+            out[fold == f, k] = model(x[fold == f], out[fold == f, :k])
+        finals.append(dense_fit(x, out[:, :k], y[:, k]))
+    first = finals[0](matrix, np.zeros((len(texts), 0)))
+    second = finals[1](matrix, first[:, None])
+    good = [t for t in sorted(out[:, 1]) if t >= toxicity.LEAST_P and y[out[:, 1] >= t, 1].mean() >= toxicity.PRECISION]
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    assert max(abs(got[i].p_low_quality - first[i]) for i in texts) < 2e-6
+    assert max(abs(got[i].p_toxic - second[i]) for i in texts) < 2e-6
+    assert {i for i in texts if got[i].rejected} == {i for i in texts if second[i] >= good[0]}
+
+
+def test_training_is_the_same_in_every_run(spark, labelled):
+    """Also where labelled ids have several texts, whatever the order of rows."""
+    _, docs, labels = labelled
+    more = docs.union(docs.filter("doc_id < 100").withColumn("text", F.concat(F.col("text"), F.lit(" other nasty words"))))
+    one, two = (toxicity.learn(more.repartition(n).orderBy(F.rand(n)), labels) for n in (2, 7))
+    assert all((a.ids == b.ids).all() and (a.weights == b.weights).all() for a, b in zip(one.models, two.models, strict=True)) and one.threshold == two.threshold
+
+
+def test_very_long_texts_are_scored(spark, labelled):
+    _, docs, labels = labelled
+    long = words(95, 1_500_000, 300_000)
+    got = toxicity.score(spark.createDataFrame([(1, long + " vile nasty rotten"), (2, long)], "doc_id long, text string"), toxicity.learn(docs, labels)).collect()
+    assert {r.doc_id: r.rejected for r in got} == {1: True, 2: False}
+
+
 def test_chain_uses_earlier_categories():
     """The second category is the first one's, but for noise features: the link to it must carry."""
     r = np.random.default_rng(2)

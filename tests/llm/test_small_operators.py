@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -180,10 +181,21 @@ def verdict(url, rules):
     return host, path, best[2] if best else None, best[3] if best else "allow"
 
 
-def test_urls(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "POINTS_A_SWEEP", 2)
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_urls(spark, ranges):
+    """In several ranges, most have no rule of their own and inherit a stack."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(ranges == 1).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        check_urls(spark)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def check_urls(spark):
     deep = [f"http://{h}deep.com{p}" for h in ("", "x.", "y.x.") for p in ("/a", "/a/b", "/a/bc", "/a/b/c/d", "/b", "/ab", "")] + ["http://z.both.org/1"]
-    urls = list(enumerate(URLS + deep)) + [(None, "http://a.net/")]
+    urls = list(enumerate(URLS + deep + [f"http://h{i}.deep.com/a/{i % 7}" for i in range(60)] + ["http://a.net/" + "x" * 300_000])) + [(None, "http://a.net/")]
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumn("key", F.lit(1)).withColumn("rule", F.lit(1))
     got = urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, RULES)).collect()
     assert Counter(tuple(r) for r in got) == Counter((i, *verdict(u, RULES)) for i, u in urls)
@@ -414,6 +426,51 @@ def test_interleaved(spark):
     assert got[2] == [] and got[3] == [] and got[None][0].text == "x"
 
 
+def elements(html, base=None):
+    return [(e["kind"], e["text"] if e["kind"] == "text" else e["text"] or e["digest"], e["caption"]) for e in media.parse_html(html, base)]
+
+
+def test_html_as_it_is_written():
+    assert elements("<h4>Title</h4>Text<section>One</section><blockquote>two</blockquote><pre>three</pre>") == [("text", t, None) for t in ("Title", "Text", "One", "two", "three")]
+    assert elements("<table><tr><th>a</th><td>b<i>c</i></td></tr></table><dl><dt>d</dt><dd>e</dd></dl>f<br>g") == [("text", t, None) for t in ("a", "bc", "d", "e", "f", "g")]
+    assert elements("<figure><figcaption>before</figcaption><img src=a alt=x><img src=b></figure>") == [("media", "a", "before"), ("media", "b", "before")]
+    assert elements("<figure><p>t</p><figcaption>only <b>words</b></figcaption><pre>code</pre></figure>z") == [("text", t, None) for t in ("t", "only words", "code", "z")]
+    assert elements("<video poster=p><source src=v1><source src=v2>no player</video><audio src=s></audio>") == [("media", "v1", None), ("media", "s", None)]
+    assert elements("<picture><source srcset='l.webp 2x, m.webp'><img src=i.jpg alt='an image'></picture><img data-src=lazy>") == [("media", "i.jpg", "an image"), ("media", "lazy", None)]
+    assert elements("<picture><source srcset='l.webp 2x, m.webp'></picture>tail") == [("media", "l.webp", None), ("text", "tail", None)]
+    assert elements("<template>no</template><style>no</style>&amp; yes<p>open<figure><figcaption>cap") == [("text", "& yes", None), ("text", "open", None), ("text", "cap", None)]
+    assert elements("<img src=../p/q.png>", "http://h/x/y/z") == [("media", "http://h/x/p/q.png", None)]
+    assert elements("<figure><figure><img src=in><figcaption>inner</figcaption></figure><img src=out></figure>") == [("media", "in", "inner"), ("media", "out", None)]
+
+
+def test_addresses_are_resolved(spark):
+    store = spark.createDataFrame([("d1", b"P5\n64 1\n255\n" + bytes(64))], "digest string, media binary")
+    pages = spark.createDataFrame([(1, "http://h/a/", "x<img src=one.png>y<img src=two.png>"), (2, None, "<img src='http://h/a/one.png'>")], "page_id long, url string, html string")
+    known = spark.createDataFrame([("http://h/a/one.png", "d1"), (None, "d1"), ("x", None)], "address string, digest string")
+    got = {r.page_id: [(e.text, e.digest, e.payload_bytes) for e in r.elements] for r in media.interleaved(pages, media.media_facts(store), base="url", addresses=known).collect()}
+    assert got == {1: [("x", None, None), ("http://h/a/one.png", "d1", 64), ("y", None, None), ("http://h/a/two.png", None, None)], 2: [("http://h/a/one.png", "d1", 64)]}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_given_pages_keep_their_words(spark):
+    """Every page's shown words are in its elements, in order and once."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    for r in media.with_elements(pages).collect():
+        html = pages.filter(F.col("page_id") == r.page_id).first().html if r.page_id < 3 else None
+        assert [e.pos for e in r.elements] == list(range(len(r.elements)))
+        if html:
+            shown = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", " ", html)
+            plain = Counter(re.findall(r"\w+", re.sub("<[^>]*>", " ", shown)))
+            assert not Counter(w for e in r.elements if e.kind == "text" for w in re.findall(r"\w+", e.text)) - plain
+
+
+def test_very_long_media(spark):
+    text = "é漢x" * 1_700_000
+    got = media.documents_as_media(spark.createDataFrame([(1, text)], "doc_id long, text string")).filter("kind = 'media'").first()
+    raw = text.encode()
+    assert (got.n_bytes, got.payload_sha256) == (len(raw), hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest())
+
+
 def test_native_plans(spark, docs, capsys):
     """No Python runs on executors for the operators that must do without."""
     b = spark.createDataFrame(BENCH, "item_id long, text string")
