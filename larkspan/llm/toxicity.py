@@ -9,9 +9,10 @@ Training uses at most MOST_LABELLED labelled documents, those with the smallest
 the sample fits the driver at every input size. Scoring runs over every whole text in one pass without a shuffle.
 
 Defined results: null texts and texts without words have no features, score as the intercept says and are never
-rejected; null labels are ignored; of repeated labels of an id the largest holds; without labels of both kinds a
-category's probability is their constant share (0 without any) and nothing is rejected; empty tables give empty results.
-Other columns are never read.
+rejected; very long texts are taken whole, a set of features each; null labels are ignored; of repeated labels of an id the
+largest holds, of its texts the one with the smallest features, so training is the same in every run; repeated rows are scored
+each, and equal texts alike; ties in the order of training go by id; without labels of both kinds a category's probability
+is their constant share (0 without any) and nothing is rejected; empty tables give empty results. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -194,7 +195,7 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], mos
             ids = [np.array(sorted(known.of(t.as_py())), dtype=np.int32).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), *[b.column(n) for n in names]], names=["doc_id", "ids", *names])
 
-    got = texts.mapInArrow(extract, "doc_id long, ids binary, " + ", ".join(f"{n} int" for n in names)).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    got = texts.mapInArrow(extract, "doc_id long, ids binary, " + ", ".join(f"{n} int" for n in names)).groupBy("doc_id").agg(F.min(F.struct("ids", *names)).alias("one")).select("doc_id", "one.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     y = np.array([[r[n] for n in names] for r in got]).reshape(len(got), len(names))
     return often([np.frombuffer(r["ids"], np.int32) for r in got]), y
 
