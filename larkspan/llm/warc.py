@@ -4,7 +4,7 @@ The writer makes one gzip member a record. Of pages with equal payloads the one
 response, the others revisits that refer to it; which is which is settled on digests alone, so a payload moves through
 one shuffle at most and payloads of revisits through none. Spark's text sink writes the members, with an empty gzip
 member as line separator: files are valid .warc.gz on any file system, committed task by task. A file holds about
-FILE_BYTES before compression, as it is read back whole.
+FILE_BYTES before compression, and never more than MOST_FILE_BYTES unless it is one record, as it is read back whole.
 
 The salvage reader takes a file's bytes apart record by record, also those of a member that holds many. A record that
 fails a check (version line, length, block digest) is given up; the search goes on at the next gzip magic or version line
@@ -15,7 +15,9 @@ kept, with the damage as their `reason`: nothing vouches for their headers. The
 Of a member that is cut off all whole records are kept, likewise marked.
 
 Defined results: a null html is an empty payload; null page_ids are ordered last; a null url leaves out the target
-URI; of repeated rows one is the response and the others revisit it; an empty table gives no records.
+URI; a very long payload is one record, of up to the 2 GB of a binary value; ties, rows of equal payload and page_id, go by
+URL, nulls last; of repeated rows one is the response and the others revisit it; an empty table gives no records. Other
+columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, remove_at_exit, table
 
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 FILE_BYTES = 64 << 20
+MOST_FILE_BYTES = 1 << 30
 FEED = 1 << 16
 CUT_OFF = "member is cut off"
 
@@ -232,9 +235,10 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 0) -> None:
                 out.append(member(make_record(r["page_id"], r["url"], r["html"], digest, r["n"], r["refers_to"])))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    mean, most = (x or 0 for x in pages.agg(F.avg(F.octet_length("html")), F.max(F.octet_length("html"))).first())
+    records = max(1, min(int(FILE_BYTES / (mean + 1000)), int(MOST_FILE_BYTES / (most + 1000))))
     packed = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    packed.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1000)))).text(path)
+    packed.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", records).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -265,6 +269,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def through_archives(pages: DataFrame, smallest: int = 0) -> DataFrame:
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, smallest)
+    remove_at_exit(pages.sparkSession, path)
     return read_archives(pages.sparkSession, path)
 
 
