@@ -312,20 +312,20 @@ def remaining_links(members: DataFrame, names: DataFrame, nodes: Nodes, least: l
     named = members.join(own, "node", "left").join(main, "hub", "left")
     named = named.select("key", "node", F.coalesce("component", "node").alias("component"), "n", (F.coalesce("component", "node") != F.coalesce("main", "hub")).alias("stray"))
 
-    def open_keys(rows: DataFrame) -> DataFrame:
+    def open_keys(rows: DataFrame, most_keys: int) -> DataFrame:
         counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("stray").alias("s"), F.sum("n").alias("size"), F.sum(F.when(F.col("stray"), F.col("n"))).alias("own_size"))
         blocks = lambda n, size: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(size) / BLOCK_SHINGLES)).cast("int")
-        return cut(counts.filter("s > 0").select("key", "s", blocks("s", "own_size").alias("lefts"), blocks("n", "size").alias("rights")), "open")
+        return cut(counts.filter("s > 0").select("key", "s", blocks("s", "own_size").alias("lefts"), blocks("n", "size").alias("rights")), "open", most_keys)
 
-    keys = open_keys(named)
+    keys = open_keys(named, members.count())
     rows = named.join(keys.filter(F.col("s") <= MOST_STRAYS), "key").withColumn("band", F.lit(True))
     wide = keys.filter(F.col("s") > MOST_STRAYS)
     if not wide.isEmpty():
         pool = cut(named.join(wide.select("key"), "key", "left_semi").select("node", "component", "n").distinct(), "pool", most)
         dealt = cut(with_strays(by_rarest(pool, nodes, threshold, width).join(pool, "node")), "dealt")
-        rows = rows.unionByName(dealt.join(open_keys(dealt), "key").withColumn("band", F.lit(False)))
+        rows = rows.unionByName(dealt.join(open_keys(dealt, dealt.count()), "key").withColumn("band", F.lit(False)))
     facts = nodes.signatures.select("node", "bytes", "bands")
-    rows = cut(rows.drop("s"), "rows").join(facts, "node")
+    rows = cut(rows.drop("s"), "rows", members.count()).join(facts, "node")
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.filter("stray").withColumn("i", at("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
@@ -378,14 +378,15 @@ SET = ["set_a", "set_b", "n_shingles"]
 
 def nodes_of(docs: DataFrame, width: int, n_bands: int, with_null_ids: bool) -> Nodes:
     rows = cut(signed(docs, width, n_bands), "signatures")
+    total = rows.count()
     full = rows.filter("n_shingles > 0" if with_null_ids else "n_shingles > 0 AND doc_id IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     classes = full.groupBy(*SET).agg(first).select(*SET, F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"))
     order = ["no_id", "rep", "set_a", "set_b"]
     # Numbers that rise with `rep`, from the places in ranges; they are written before anything reads them.
-    classes = cut(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).drop("no_id"), "classes")
+    classes = cut(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).drop("no_id"), "classes", total)
     own = full.join(classes, SET).filter((F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    signatures = cut(own.select("node", F.col("n_shingles").alias("n"), "bytes", "bands").dropDuplicates(["node"]), "reps")
+    signatures = cut(own.select("node", F.col("n_shingles").alias("n"), "bytes", "bands").dropDuplicates(["node"]), "reps", total)
     return Nodes(docs, rows.select("doc_id", "text_key", *SET), classes, signatures)
 
 
@@ -393,7 +394,7 @@ def links_of_namesakes(nodes: Nodes) -> DataFrame:
     """(a, b): links among the nodes of the rows that agree in id, for ids with several sets."""
     ids = nodes.rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     one = F.struct(*SET)
-    several = cut(ids.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("doc_id"), "namesakes")
+    several = cut(ids.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo <> hi").select("doc_id"), "namesakes", nodes.classes.count())
     if several.isEmpty():
         return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     of = cut(ids.join(several, "doc_id", "left_semi").join(nodes.classes, SET).select("doc_id", "node").distinct(), "namesakes")
@@ -405,8 +406,8 @@ def node_components(nodes: Nodes, threshold: tuple[int, int], width: int, miss:
     least = least_matches(threshold[0] / threshold[1], miss, n_bands * ROWS)
     most, signatures = nodes.classes.count(), nodes.signatures
     banded = signatures.select("node", "n", F.explode("bands").alias("key"))
-    shared = cut(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub"), "shared")
-    members = cut(banded.join(shared, "key"), "members")
+    shared = cut(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub"), "shared", most * n_bands // 2)
+    members = cut(banded.join(shared, "key"), "members", most * n_bands)
     drop(shared)
     stars = members.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     end = lambda i, x, n: signatures.select(F.col("node").alias(i), F.col("bytes").alias(x), F.col("n").alias(n))
