@@ -223,9 +223,10 @@ def topic(text):
     return next((t for t, p in mixing.TOPICS if text is not None and re.search(p, text, re.ASCII)), mixing.OTHER)
 
 
-def test_mixing(docs, rows):
+def odds(rows):
+    """{(source, lang, topic): probability} of default mixing, by raking in Python."""
     cells = Counter()
-    for _, t, lang, source, _ in rows:
+    for _, t, lang, source, *_ in rows:
         cells[(source, lang, topic(t))] += len((t or "").encode().split())
     raised = {k: n * min((max(cells.values()) / n) ** (1 - mixing.TEMPER), mixing.MOST_UPWEIGHT) if n else 0.0 for k, n in cells.items()}
     goals = []
@@ -236,14 +237,22 @@ def test_mixing(docs, rows):
         goals.append({k: v / sum(g.values()) * sum(cells.values()) for k, v in g.items()})
     w = fitted(cells, goals)
     ratio = {k: w[k] / v for k, v in cells.items() if v}
-    p = {k: ratio[k] / max(ratio.values()) if k in ratio else 1.0 for k in cells}
+    return {k: ratio[k] / max(ratio.values()) if k in ratio else 1.0 for k in cells}
+
+
+def drawn(i, p):
+    return int(hashlib.md5(f"1|{i}".encode()).hexdigest()[:13], 16) / 16**13 < p
+
+
+def test_mixing(docs, rows):
+    p = odds(rows)
     got = mixing.mix_report(docs).collect()
     assert len(got) == len(rows)
     by_id = {i: (s, lang, topic(t)) for i, t, lang, s, _ in rows if i is not None}
     for r in got:
         if r.doc_id is not None:
             assert abs(r.probability - p[by_id[r.doc_id]]) < 2e-6
-            assert r.kept == (int(hashlib.md5(f"1|{r.doc_id}".encode()).hexdigest()[:13], 16) / 16**13 < p[by_id[r.doc_id]])
+            assert r.kept == drawn(r.doc_id, p[by_id[r.doc_id]])
     kept = mixing.mix(docs)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
 
