@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes to the shared folder as Parquet and
 reads again as the next stage's documents. All stages but the last return the columns of the documents they got.
+
+Results in odd cases are those of the operators, row by row. Null, empty and wordless texts pass all stages but the draw of mixing.
+Of rows that repeat in id and text one stays after near_dedup, of rows that agree in id alone each is judged by itself; null ids are
+ids like others. Ties (copies) go to the smallest id. Very long texts are taken whole. Without labels no document is toxic, without
+benchmark items none is contaminated; an empty table of documents gives an empty result. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
