@@ -1,20 +1,18 @@
 """Typed expressions over named columns.
 
-An expression is a small tree. Binding it to the fields of a frame checks names and types and yields a Spark column, so
-unknown columns and mismatched types are errors where the query is built; all evaluation is Catalyst's.
+An expression is a small tree. Binding it to the fields of a frame checks names and types and yields Spark SQL text, so
+unknown columns and mismatched types are errors where the query is built; all evaluation is Catalyst's. Text rather than columns:
+a step of a query is one call into the JVM, not one for every operator in it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import date, datetime
 from typing import Any
 
-from pyspark.sql import Column
-from pyspark.sql import functions as SF
-from pyspark.sql import types as T
-
-from ..schema import kind
+from ..schema import ColumnType
 
 # The operators' names in derived column names.
 NAMES = {"+": "add", "-": "sub", "*": "mul", "/": "truediv", "//": "floordiv", "%": "mod", "**": "pow", "=": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge", "AND": "and", "OR": "or"}
@@ -22,21 +20,29 @@ COMPARISONS = {"=", "!=", "<", "<=", ">", ">="}
 NUMERIC = {"integer", "float"}
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Field:
-    """A frame's column: the name that queries use, Spark's name, and the type."""
+    """A frame's column: the name that queries use, Spark's name, and the kind."""
 
     name: str
     inner: str
-    type: T.DataType
+    kind: str
 
-    def column(self) -> Column:
-        return SF.col("`" + self.inner.replace("`", "``") + "`")
+    def sql(self) -> str:
+        return quoted(self.inner)
 
 
 @dataclass(frozen=True)
 class Bound:
-    column: Column
+    sql: str
     kind: str
 
 
@@ -105,12 +111,21 @@ class Expression:
     def __floordiv__(self, o: Any) -> Expression:
         return Binary("//", self, wrap(o))
 
+    def __rfloordiv__(self, o: Any) -> Expression:
+        return Binary("//", wrap(o), self)
+
     def __mod__(self, o: Any) -> Expression:
         return Binary("%", self, wrap(o))
 
+    def __rmod__(self, o: Any) -> Expression:
+        return Binary("%", wrap(o), self)
+
     def __pow__(self, o: Any) -> Expression:
         return Binary("**", self, wrap(o))
 
+    def __rpow__(self, o: Any) -> Expression:
+        return Binary("**", wrap(o), self)
+
     def __neg__(self) -> Expression:
         return Binary("-", Lit(0), self)
 
@@ -158,6 +173,19 @@ class Expression:
     def is_null(self) -> Expression:
         return IsNull(self)
 
+    def is_in(self, *values: Any) -> Expression:
+        return In(self, *map(wrap, values))
+
+    def cast(self, to: str) -> Expression:
+        return Cast(self, to)
+
+    def over(self, partition_by: list[Any] | None = None, order_by: list[Any] | None = None, rows: tuple[int | None, int | None] | None = None) -> Expression:
+        """An aggregate or ranking of a window; `rows` counts from the current one, None is the partition's end."""
+        return Over(self, [named(x) for x in partition_by or []], [named(x) for x in order_by or []], rows)
+
+    def descending(self) -> Expression:
+        return Descending(self)
+
 
 class Col(Expression):
     def __init__(self, name: str) -> None:
@@ -171,7 +199,7 @@ class Col(Expression):
 
     def bind(self, fields: list[Field]) -> Bound:
         f = find(fields, self.of)
-        return Bound(f.column(), kind(f.type))
+        return Bound(f.sql(), f.kind)
 
 
 class Lit(Expression):
@@ -183,11 +211,17 @@ class Lit(Expression):
 
     def bind(self, fields: list[Field]) -> Bound:
         v = self.value
-        kinds = {bool: "boolean", int: "integer", float: "float", str: "string", datetime: "timestamp", date: "timestamp"}
-        if type(v) not in kinds:
-            raise TypeError(f"no literal for {type(v).__name__}")
-        column = SF.lit(v).cast("timestamp_ntz") if isinstance(v, date) else SF.lit(v)
-        return Bound(column, kinds[type(v)])
+        if isinstance(v, bool):
+            return Bound(str(v).lower(), "boolean")
+        if isinstance(v, int):
+            return Bound(f"({v})" if -(1 << 31) <= v < 1 << 31 else f"({v}L)", "integer")
+        if isinstance(v, float):
+            return Bound(f"({v!r}D)" if math.isfinite(v) else f"DOUBLE('{v}')", "float")
+        if isinstance(v, str):
+            return Bound(text_literal(v), "string")
+        if isinstance(v, date):
+            return Bound(f"TIMESTAMP_NTZ '{v.isoformat()}'", "timestamp")
+        raise TypeError(f"no literal for {type(v).__name__}")
 
 
 class Alias(Expression):
@@ -228,26 +262,30 @@ class Binary(Expression):
         if self.op in ("AND", "OR"):
             if both != {"boolean"}:
                 raise TypeError(f"Type mismatch in binary operation: {a.kind} {self.op} {b.kind}")
-            return Bound(a.column & b.column if self.op == "AND" else a.column | b.column, "boolean")
+            return Bound(f"({a.sql} {self.op} {b.sql})", "boolean")
         if len(both) > 1 and not both <= NUMERIC:
             raise TypeError(f"Type mismatch in binary operation: {a.kind} {self.op} {b.kind}")
         if self.op in COMPARISONS:
-            compare = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}[self.op]
-            return Bound(getattr(a.column, compare)(b.column), "boolean")
+            return Bound(f"({a.sql} {self.op} {b.sql})", "boolean")
         if both == {"string"} and self.op == "+":
-            return Bound(SF.concat(a.column, b.column), "string")
+            return Bound(f"concat({a.sql}, {b.sql})", "string")
         if not both <= NUMERIC:
             raise TypeError(f"Type mismatch in binary operation: {a.kind} {self.op} {b.kind}")
         wide = "float" if "float" in both else "integer"
         if self.op == "/":
-            return Bound(a.column.cast("double") / b.column.cast("double"), "float")
+            return Bound(f"(CAST({a.sql} AS DOUBLE) / CAST({b.sql} AS DOUBLE))", "float")
         if self.op == "//":
-            down = SF.floor(a.column.cast("double") / b.column.cast("double"))
-            return Bound(down.cast("double" if wide == "float" else "bigint"), wide)
+            return Bound(floor_division(a.sql, b.sql, wide), wide)
         if self.op == "**":
-            return Bound(SF.pow(a.column, b.column), "float")
-        plain = {"+": a.column + b.column, "-": a.column - b.column, "*": a.column * b.column}
-        return Bound(plain[self.op] if self.op in plain else a.column % b.column, wide)
+            return Bound(f"power({a.sql}, {b.sql})", "float")
+        return Bound(f"({a.sql} {self.op} {b.sql})", wide)
+
+
+def floor_division(a: str, b: str, wide: str) -> str:
+    """Whole numbers are divided as such, as doubles are exact up to 2**53 only."""
+    if wide == "float":
+        return f"CAST(floor(CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE)) AS DOUBLE)"
+    return f"(({a} div {b}) - CASE WHEN {a} % {b} <> 0 AND ({a} % {b} < 0) <> ({b} < 0) THEN 1L ELSE 0L END)"
 
 
 class Not(Expression):
@@ -264,7 +302,7 @@ class Not(Expression):
         x = self.of.bind(fields)
         if x.kind != "boolean":
             raise TypeError(f"NOT needs a condition, not {x.kind}")
-        return Bound(~x.column, "boolean")
+        return Bound(f"(NOT {x.sql})", "boolean")
 
 
 class IsNull(Expression):
@@ -278,7 +316,7 @@ class IsNull(Expression):
         return [self.of]
 
     def bind(self, fields: list[Field]) -> Bound:
-        return Bound(self.of.bind(fields).column.isNull(), "boolean")
+        return Bound(f"({self.of.bind(fields).sql} IS NULL)", "boolean")
 
 
 class Like(Expression):
@@ -297,15 +335,97 @@ class Like(Expression):
         x = self.of.bind(fields)
         if x.kind != "string":
             raise TypeError(f"LIKE needs a string, not {x.kind}")
-        return Bound(x.column.like(self.pattern.replace("\\", "\\\\")), "boolean")
+        return Bound("(" + x.sql + " LIKE " + text_literal(self.pattern.replace("\\", "\\\\")) + ")", "boolean")
+
+
+class In(Expression):
+    def __init__(self, of: Expression, *values: Expression) -> None:
+        self.of = (of, *values)
+
+    def name(self) -> str:
+        return "_".join([self.of[0].name(), "in", *(x.name() for x in self.of[1:])])
+
+    def parts(self) -> list[Expression]:
+        return list(self.of)
+
+    def bind(self, fields: list[Field]) -> Bound:
+        first, *rest = self.of
+        return Bound("(" + " OR ".join(Binary("=", first, x).bind(fields).sql for x in rest) + ")", "boolean")
+
+
+CASTS = {"INTEGER": ("integer", "BIGINT"), "INT": ("integer", "INT"), "BIGINT": ("integer", "BIGINT"), "FLOAT": ("float", "DOUBLE"), "DOUBLE": ("float", "DOUBLE"), "STRING": ("string", "STRING"), "VARCHAR": ("string", "STRING"), "TIMESTAMP": ("timestamp", "TIMESTAMP_NTZ"), "BOOLEAN": ("boolean", "BOOLEAN")}
+
+
+class Cast(Expression):
+    def __init__(self, of: Expression, to: str | ColumnType) -> None:
+        self.of, self.to = of, (to.value if isinstance(to, ColumnType) else to).upper()
+
+    def name(self) -> str:
+        return f"{self.of.name()}_as_{self.to.lower()}"
+
+    def parts(self) -> list[Expression]:
+        return [self.of]
+
+    def bind(self, fields: list[Field]) -> Bound:
+        if self.to not in CASTS:
+            raise ValueError(f"no type {self.to}; there are {', '.join(CASTS)}")
+        kind, to = CASTS[self.to]
+        return Bound(f"CAST({self.of.bind(fields).sql} AS {to})", kind)
+
+
+def one_kind(kinds: list[str], what: str) -> str:
+    found = {k for k in kinds if k != "void"}
+    if len(found) > 1 and not found <= NUMERIC:
+        raise TypeError(f"{what} needs values of one type, not {', '.join(sorted(found))}")
+    return "float" if len(found) > 1 else next(iter(found), "void")
+
+
+class Null(Expression):
+    def name(self) -> str:
+        return "null"
+
+    def bind(self, fields: list[Field]) -> Bound:
+        return Bound("NULL", "void")
+
+
+class Case(Expression):
+    """CASE WHEN condition THEN value .. [ELSE value] END: `of` holds conditions and values in turn, then the last value."""
+
+    def __init__(self, *of: Expression) -> None:
+        self.of = of
+
+    def name(self) -> str:
+        return "_".join(["case", *(x.name() for x in self.of)])
+
+    def parts(self) -> list[Expression]:
+        return list(self.of)
+
+    def when(self, condition: Expression, value: Any) -> Case:
+        return Case(*self.of[:-1], condition, wrap(value), self.of[-1])
+
+    def otherwise(self, value: Any) -> Case:
+        return Case(*self.of[:-1], wrap(value))
+
+    def bind(self, fields: list[Field]) -> Bound:
+        bound = [x.bind(fields) for x in self.of]
+        if any(b.kind != "boolean" for b in bound[:-1:2]):
+            raise TypeError("WHEN needs a condition")
+        kind = one_kind([b.kind for b in [*bound[1::2], bound[-1]]], "CASE")
+        arms = " ".join(f"WHEN {c.sql} THEN {v.sql}" for c, v in zip(bound[:-1:2], bound[1::2], strict=True))
+        return Bound(f"(CASE {arms} ELSE {bound[-1].sql} END)", kind)
+
+
+# Aggregates: the kind of their results, None for their argument's, and whether they need numbers.
+AGGREGATES = {"sum": (None, True), "avg": ("float", True), "min": (None, False), "max": (None, False), "count": ("integer", False), "stddev": ("float", True), "variance": ("float", True), "median": ("float", True), "first": (None, False), "last": (None, False)}
+RANKINGS = {"row_number", "rank", "dense_rank"}
 
 
 class Aggregate(Expression):
-    def __init__(self, function: str, of: Expression | None = None) -> None:
-        self.function, self.of = function, of
+    def __init__(self, function: str, of: Expression | None = None, distinct: bool = False) -> None:
+        self.function, self.of, self.distinct = function, of, distinct
 
     def name(self) -> str:
-        return self.function if self.of is None else f"{self.function}_{self.of.name()}"
+        return "_".join([self.function, *["distinct"] * self.distinct, *([] if self.of is None else [self.of.name()])])
 
     def parts(self) -> list[Expression]:
         return [] if self.of is None else [self.of]
@@ -318,21 +438,76 @@ class Aggregate(Expression):
 
     def bind(self, fields: list[Field]) -> Bound:
         if self.of is None:
-            return Bound(SF.count(SF.lit(1)), "integer")
+            return Bound("count(1)", "integer")
         if self.of.aggregates():
             raise ValueError("an aggregate of an aggregate")
         x = self.of.bind(fields)
-        if self.function == "count":
-            return Bound(SF.count(x.column), "integer")
-        if self.function in ("sum", "avg") and x.kind not in NUMERIC:
+        kind, numbers = AGGREGATES[self.function]
+        if numbers and x.kind not in NUMERIC:
             raise TypeError(f"{self.function} needs numbers, not {x.kind}")
-        apply = {"sum": SF.sum, "avg": SF.avg, "min": SF.min, "max": SF.max}[self.function]
-        return Bound(apply(x.column), "float" if self.function == "avg" else x.kind)
+        return Bound(f"{self.function}({'DISTINCT ' * self.distinct}{x.sql})", kind or x.kind)
 
 
-class Call(Expression):
-    """CONCAT and ROUND."""
+class Ranking(Expression):
+    def __init__(self, function: str) -> None:
+        self.function = function
+
+    def name(self) -> str:
+        return self.function
+
+    def bind(self, fields: list[Field]) -> Bound:
+        raise ValueError(f"{self.function} needs a window")
+
+
+class Descending(Expression):
+    def __init__(self, of: Expression) -> None:
+        self.of = of
+
+    def name(self) -> str:
+        return f"{self.of.name()}_desc"
+
+    def parts(self) -> list[Expression]:
+        return [self.of]
+
+    def bind(self, fields: list[Field]) -> Bound:
+        x = self.of.bind(fields)
+        return Bound(f"{x.sql} DESC", x.kind)
 
+
+class Over(Expression):
+    def __init__(self, of: Expression, partition: list[Expression], order: list[Expression], rows: tuple[int | None, int | None] | None) -> None:
+        if not isinstance(of, (Aggregate, Ranking)):
+            raise TypeError("only aggregates and rankings have windows")
+        self.what, self.partition, self.order, self.rows = of, partition, order, rows
+
+    def name(self) -> str:
+        return f"{self.what.name()}_over"
+
+    def parts(self) -> list[Expression]:
+        return [*self.what.parts(), *self.partition, *self.order]
+
+    def bind(self, fields: list[Field]) -> Bound:
+        x = Bound(f"{self.what.function}()", "integer") if isinstance(self.what, Ranking) else self.what.bind(fields)
+        each = lambda xs: ", ".join(e.bind(fields).sql for e in xs)
+        window = [f"PARTITION BY {each(self.partition)}"] * bool(self.partition) + [f"ORDER BY {each(self.order)}"] * bool(self.order)
+        if self.rows:
+            ends = [("UNBOUNDED " + side) if n is None else "CURRENT ROW" if not n else f"{abs(n)} {'PRECEDING' if n < 0 else 'FOLLOWING'}" for n, side in zip(self.rows, ("PRECEDING", "FOLLOWING"), strict=True)]
+            window.append(f"ROWS BETWEEN {ends[0]} AND {ends[1]}")
+        return Bound(f"{x.sql} OVER ({' '.join(window)})", x.kind)
+
+
+# Functions of values: Spark's name, the kinds of the arguments (the last one's for further ones), the result's kind (None: the arguments').
+CALLS = {
+    "concat": ("concat", ["string"], "string", 1, 99), "upper": ("upper", ["string"], "string", 1, 1), "lower": ("lower", ["string"], "string", 1, 1), "trim": ("trim", ["string"], "string", 1, 1),
+    "length": ("length", ["string"], "integer", 1, 1), "substring": ("substring", ["string", "integer"], "string", 2, 3), "replace": ("replace", ["string"], "string", 3, 3), "round": ("round", ["number", "integer"], None, 2, 2),
+    "abs": ("abs", ["number"], None, 1, 1), "sqrt": ("sqrt", ["number"], "float", 1, 1), "exp": ("exp", ["number"], "float", 1, 1), "ln": ("ln", ["number"], "float", 1, 1),
+    "floor": ("floor", ["number"], "integer", 1, 1), "ceil": ("ceil", ["number"], "integer", 1, 1), "year": ("year", ["timestamp"], "integer", 1, 1), "month": ("month", ["timestamp"], "integer", 1, 1),
+    "day": ("day", ["timestamp"], "integer", 1, 1), "hour": ("hour", ["timestamp"], "integer", 1, 1), "coalesce": ("coalesce", ["any"], None, 1, 99), "nullif": ("nullif", ["any"], None, 2, 2),
+    "greatest": ("greatest", ["any"], None, 2, 99), "least": ("least", ["any"], None, 2, 99),
+}
+
+
+class Call(Expression):
     def __init__(self, function: str, *of: Expression) -> None:
         self.function, self.of = function, of
 
@@ -343,24 +518,28 @@ class Call(Expression):
         return list(self.of)
 
     def bind(self, fields: list[Field]) -> Bound:
-        if self.function == "concat":
-            bound = [x.bind(fields) for x in self.of]
-            if any(b.kind != "string" for b in bound):
-                raise TypeError("CONCAT needs strings")
-            return Bound(SF.concat(*[b.column for b in bound]), "string")
-        x, digits = self.of
-        b = x.bind(fields)
-        if b.kind not in NUMERIC or not isinstance(digits, Lit):
-            raise TypeError("ROUND needs a number and how many digits to keep")
-        return Bound(SF.round(b.column, digits.value), b.kind)
+        spark, kinds, result, least, most = CALLS[self.function]
+        if not least <= len(self.of) <= most:
+            raise ValueError(f"{self.function} takes {least} to {most} arguments, not {len(self.of)}")
+        bound = [x.bind(fields) for x in self.of]
+        wanted = kinds + kinds[-1:] * (len(bound) - len(kinds))
+        for b, want in zip(bound, wanted, strict=False):
+            if b.kind not in (NUMERIC if want == "number" else {want, "void"}) and want != "any":
+                raise TypeError(f"{self.function.upper()} needs {want}s, not {b.kind}")
+        same = bound[:1] if self.function == "round" else bound
+        return Bound(f"{spark}({', '.join(b.sql for b in bound)})", result or one_kind([b.kind for b in same], self.function.upper()))
+
+
+def named(x: Any) -> Expression:
+    return Col(x) if isinstance(x, str) else x
 
 
 class F:
-    """The functions."""
+    """The functions: aggregates, rankings, and those of CALLS by their names."""
 
     @staticmethod
-    def sum(x: Any) -> Expression:
-        return Aggregate("sum", wrap(x))
+    def sum(x: Any, distinct: bool = False) -> Expression:
+        return Aggregate("sum", wrap(x), distinct)
 
     @staticmethod
     def min(x: Any) -> Expression:
@@ -371,12 +550,33 @@ class F:
         return Aggregate("max", wrap(x))
 
     @staticmethod
-    def avg(x: Any) -> Expression:
-        return Aggregate("avg", wrap(x))
+    def avg(x: Any, distinct: bool = False) -> Expression:
+        return Aggregate("avg", wrap(x), distinct)
 
     @staticmethod
-    def count(x: Any = None) -> Expression:
-        return Aggregate("count", None if x is None else wrap(x))
+    def count(x: Any = None, distinct: bool = False) -> Expression:
+        return Aggregate("count", None if x is None else wrap(x), distinct and x is not None)
+
+    @staticmethod
+    def aggregate(function: str, x: Any) -> Expression:
+        """stddev, variance, median, first or last; the last two are of any row unless rows are ordered."""
+        return Aggregate(function, wrap(x))
+
+    @staticmethod
+    def row_number() -> Expression:
+        return Ranking("row_number")
+
+    @staticmethod
+    def rank() -> Expression:
+        return Ranking("rank")
+
+    @staticmethod
+    def dense_rank() -> Expression:
+        return Ranking("dense_rank")
+
+    @staticmethod
+    def when(condition: Expression, value: Any) -> Case:
+        return Case(condition, wrap(value), Null())
 
     @staticmethod
     def concat(*x: Any) -> Expression:
@@ -386,6 +586,12 @@ class F:
     def round(x: Any, digits: int = 0) -> Expression:
         return Call("round", wrap(x), Lit(digits))
 
+    @staticmethod
+    def call(function: str, *x: Any) -> Expression:
+        if function not in CALLS:
+            raise ValueError(f"unknown function {function}; there are {', '.join(CALLS)}")
+        return Call(function, *map(wrap, x))
+
 
 def floor_mod(a: Any, b: Any) -> Expression:
     """The remainder with the divisor's sign; `%` has the dividend's."""

@@ -6,19 +6,24 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as SF
 
 from ..errors import GroupByError
-from ..functions.expressions import Alias, Binary, Col, Expression, Field, Lit, find, last_part
+from ..functions.expressions import Aggregate, Alias, Binary, Bound, Col, Expression, Field, Lit, Over, find, last_part, quoted
 from ..schema import kind
 from ..sources import read_table
 
-JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
+JOINS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti"}
+
+
+def listed(bound: list[tuple[str, Bound]]) -> list[str]:
+    return [f"{b.sql} AS {quoted(n)}" for n, b in bound]
 
 
 class Frame:
     def __init__(self, df: DataFrame, fields: list[Field] | None = None) -> None:
         self.df = df
-        self.fields = fields if fields is not None else [Field(f.name, f.name, f.dataType) for f in df.schema]
+        self.fields = fields if fields is not None else [Field(f.name, f.name, kind(f.dataType)) for f in df.schema]
 
     @staticmethod
     def table(spark: SparkSession, path: str) -> Frame:
@@ -26,11 +31,11 @@ class Frame:
 
     @property
     def schema(self) -> list[tuple[str, str]]:
-        return [(f.name, kind(f.type)) for f in self.fields]
+        return [(f.name, f.kind) for f in self.fields]
 
     def alias(self, name: str) -> Frame:
         """Every column becomes `name.column`; the bare name still works where it is unambiguous."""
-        return Frame(self.df, [Field(f"{name}.{last_part(f.name)}", f.inner, f.type) for f in self.fields])
+        return Frame(self.df, [Field(f"{name}.{last_part(f.name)}", f.inner, f.kind) for f in self.fields])
 
     def expand(self, columns: tuple[Any, ...]) -> list[Expression]:
         out: list[Expression] = []
@@ -42,20 +47,15 @@ class Frame:
                 out.append(e)
         return out
 
-    def project(self, columns: list[Expression], apply: Callable[..., DataFrame]) -> Frame:
-        bound = [(e.name(), e.bind(self.fields).column) for e in columns]
-        inner = [f"c{i}" for i in range(len(bound))] if len({n for n, _ in bound}) < len(bound) else [n for n, _ in bound]
-        df = apply(*[c.alias(n) for (_, c), n in zip(bound, inner, strict=True)])
-        return Frame(df, [Field(n, i, f.dataType) for (n, _), i, f in zip(bound, inner, df.schema, strict=True)])
-
     def select(self, *columns: Any) -> Frame:
         """Columns, `*` any number of times, expressions; aggregates without a grouping are of all rows."""
-        listed = self.expand(columns)
-        if any(e.aggregates() for e in listed):
-            if left := [c for e in listed for c in e.columns()]:
-                raise GroupByError(f"column {left[0]!r} is neither grouped by nor aggregated")
-            return self.project(listed, self.df.agg)
-        return self.project(listed, self.df.select)
+        items = self.expand(columns)
+        if any(e.aggregates() for e in items) and (left := [c for e in items for c in e.columns()]):
+            raise GroupByError(f"column {left[0]!r} is neither grouped by nor aggregated")
+        bound = [(e.name(), e.bind(self.fields)) for e in items]
+        inner = [f"c{i}" for i in range(len(bound))] if len({n for n, _ in bound}) < len(bound) else [n for n, _ in bound]
+        df = self.df.selectExpr(*listed([(i, b) for (_, b), i in zip(bound, inner, strict=True)]))
+        return Frame(df, [Field(n, i, b.kind) for (n, b), i in zip(bound, inner, strict=True)])
 
     def filter(self, condition: Expression) -> Frame:
         if not isinstance(condition, Expression):
@@ -63,36 +63,57 @@ class Frame:
         bound = condition.bind(self.fields)
         if bound.kind != "boolean":
             raise TypeError(f"a filter needs a condition, not {bound.kind}")
-        return Frame(self.df.filter(bound.column), self.fields)
+        return Frame(self.df.filter(bound.sql), self.fields)
 
     where = filter
 
     def group_by(self, *keys: Any) -> Grouped:
         return Grouped(self, [Col(k) if isinstance(k, str) else k for k in keys])
 
-    def join(self, other: Frame, on: Expression, how: str = "inner") -> Frame:
-        """Any condition; equalities of columns become hash or merge joins, as Spark sees fit."""
+    def join(self, other: Frame, on: Expression | list[str] | str, how: str = "inner") -> Frame:
+        """Any condition, or names that both sides have, which then come once (from the side that has all rows).
+
+        Equalities of columns become hash or merge joins, as Spark sees fit. `semi` and `anti` keep this frame's columns alone.
+        """
         if how not in JOINS:
             raise ValueError(f"unknown join {how!r}; there are {', '.join(JOINS)}")
         taken = {f.inner for f in self.fields}
-        named, free = {}, 0
+        new, free = {}, 0
         for f in other.fields:
-            new = f.inner
-            while new in taken:
+            inner = f.inner
+            while inner in taken:
                 free += 1
-                new = f"{f.inner}#{free}"
-            taken.add(new)
-            named[f.inner] = new
-        moved = [Field(f.name, named[f.inner], f.type) for f in other.fields]
-        right = other.df.select(*[f.column().alias(named[f.inner]) for f in other.fields])
-        fields = self.fields + moved
-        condition = on.bind(fields)
-        if condition.kind != "boolean":
-            raise TypeError(f"a join needs a condition, not {condition.kind}")
-        return Frame(self.df.join(right, condition.column, JOINS[how]), fields)
+                inner = f"{f.inner}#{free}"
+            taken.add(inner)
+            new[f.inner] = inner
+        moved = [Field(f.name, new[f.inner], f.kind) for f in other.fields]
+        right = other.df.selectExpr(*listed([(new[f.inner], Bound(f.sql(), f.kind)) for f in other.fields]))
+        shared = [on] if isinstance(on, str) else on if isinstance(on, list) else []
+        if shared:
+            pairs = [(find(self.fields, n), find(moved, n)) for n in shared]
+            if odd := [n for n, (x, y) in zip(shared, pairs, strict=True) if x.kind != y.kind]:
+                raise TypeError(f"column {odd[0]!r} has different types")
+            condition = " AND ".join(f"{x.sql()} = {y.sql()}" for x, y in pairs)
+        else:
+            bound = on.bind(self.fields + moved)
+            if bound.kind != "boolean":
+                raise TypeError(f"a join needs a condition, not {bound.kind}")
+            condition = bound.sql
+        df = self.df.join(right, SF.expr(condition), JOINS[how])
+        if how in ("semi", "anti"):
+            return Frame(df, self.fields)
+        if not shared:
+            return Frame(df, self.fields + moved)
+        once = {x.inner: Bound(f"coalesce({x.sql()}, {y.sql()})", x.kind) for x, y in pairs}
+        dropped = {y.inner for _, y in pairs}
+        fields = self.fields + [f for f in moved if f.inner not in dropped]
+        return Frame(df.selectExpr(*listed([(f.inner, once.get(f.inner, Bound(f.sql(), f.kind))) for f in fields])), fields)
+
+    def cross_join(self, other: Frame) -> Frame:
+        return self.join(other, Lit(True))
 
     def order_by(self, *columns: Any, descending: bool = False) -> Frame:
-        keys = [e.bind(self.fields).column for e in self.expand(columns)]
+        keys = [SF.expr(e.bind(self.fields).sql) for e in self.expand(columns)]
         return Frame(self.df.orderBy(*[k.desc() if descending else k.asc() for k in keys]), self.fields)
 
     def limit(self, n: int) -> Frame:
@@ -101,15 +122,37 @@ class Frame:
     def distinct(self) -> Frame:
         return Frame(self.df.distinct(), self.fields)
 
+    def matching(self, other: Frame) -> DataFrame:
+        """The other frame's columns under this one's names, if their names and types agree, in whatever order."""
+        own, others = ({last_part(n): k for n, k in f.schema} for f in (self, other))
+        if own != others or len(self.fields) != len(other.fields):
+            raise TypeError(f"columns differ: {self.schema} and {other.schema}")
+        by_name = {last_part(f.name): f for f in other.fields}
+        return other.df.selectExpr(*listed([(f.inner, Bound(by_name[last_part(f.name)].sql(), f.kind)) for f in self.fields]))
+
     def union(self, other: Frame) -> Frame:
-        return Frame(self.df.union(other.df), self.fields)
+        """All rows of both, by name; `distinct()` drops repeated ones."""
+        return Frame(self.df.unionByName(self.matching(other)), self.fields)
+
+    def intersect(self, other: Frame) -> Frame:
+        return Frame(self.df.intersect(self.matching(other)), self.fields)
+
+    def minus(self, other: Frame) -> Frame:
+        return Frame(self.df.subtract(self.matching(other)), self.fields)
+
+    def with_udf(self, name: str, function: Callable[..., Any], result: str, *columns: Any) -> Frame:
+        """A column from a Python function of pandas Series (Arrow batches, not rows); `result` is a type of Spark's."""
+        bound = [SF.expr(e.bind(self.fields).sql) for e in self.expand(columns)]
+        df = self.df.withColumn(name, SF.pandas_udf(function, result, SF.PandasUDFType.SCALAR)(*bound))
+        return Frame(df, [*[f for f in self.fields if f.inner != name], Field(name, name, kind(df.schema[name].dataType))])
 
     def to_df(self) -> DataFrame:
-        """Spark's DataFrame, its columns named by what follows the last dot; of equal names the first stays."""
-        seen: dict[str, Field] = {}
-        for f in self.fields:
-            seen.setdefault(last_part(f.name), f)
-        return self.df.select(*[f.column().alias(n) for n, f in seen.items()])
+        """Spark's DataFrame, its columns named by what follows the last dot; where names would be equal, by their full names."""
+        short = [last_part(f.name) for f in self.fields]
+        names = [n if short.count(n) == 1 else f.name for f, n in zip(self.fields, short, strict=True)]
+        if twice := [n for n in names if names.count(n) > 1]:
+            raise ValueError(f"several columns are named {twice[0]!r}; give the tables or columns aliases")
+        return self.df.selectExpr(*listed([(n, Bound(f.sql(), f.kind)) for f, n in zip(self.fields, names, strict=True)]))
 
     def collect(self) -> list[dict[str, Any]]:
         return [r.asDict() for r in self.to_df().collect()]
@@ -135,17 +178,14 @@ class Grouped:
     def agg(self, *columns: Any) -> Frame:
         """The keys, then the aggregates; no aggregates give the distinct keys."""
         frame = self.frame
-        keys = [(k.name(), k.bind(frame.fields).column) for k in self.keys]
-        results = [(e.name(), e.bind(frame.fields).column) for e in columns]
-        inner = [f"k{i}" for i in range(len(keys))]
-        grouped = frame.df.groupBy(*[c.alias(i) for (_, c), i in zip(keys, inner, strict=True)])
-        named = [f"a{i}" for i in range(len(results))]
-        df = grouped.agg(*[c.alias(i) for (_, c), i in zip(results, named, strict=True)]) if results else frame.df.select(*[c.alias(i) for (_, c), i in zip(keys, inner, strict=True)]).distinct()
+        keys = [(k.name(), k.bind(frame.fields)) for k in self.keys]
+        results = [(e.name(), e.bind(frame.fields)) for e in columns]
         outer = [n for n, _ in keys + results]
-        if len(set(outer)) == len(outer):
-            df = df.toDF(*outer)
-            return Frame(df, [Field(n, n, f.dataType) for n, f in zip(outer, df.schema, strict=True)])
-        return Frame(df, [Field(n, i, f.dataType) for n, i, f in zip(outer, inner + named, df.schema, strict=True)])
+        inner = outer if len(set(outer)) == len(outer) else [f"c{i}" for i in range(len(outer))]
+        column = [SF.expr(f"{b.sql} AS {quoted(n)}") for n, (_, b) in zip(inner, keys + results, strict=True)]
+        by, made = column[: len(keys)], column[len(keys) :]
+        df = frame.df.groupBy(*by).agg(*made) if results else frame.df.select(*by).distinct()
+        return Frame(df, [Field(n, i, b.kind) for (n, b), i in zip(keys + results, inner, strict=True)])
 
 
 def replace(e: Expression, found: Callable[[Expression], Expression | None]) -> Expression:
@@ -156,6 +196,8 @@ def replace(e: Expression, found: Callable[[Expression], Expression | None]) ->
         return Binary(e.op, replace(e.left, found), replace(e.right, found))
     if isinstance(e, Alias):
         return Alias(replace(e.of, found), e.as_name)
+    if isinstance(e, Over):
+        return Over(replace(e.what, lambda x: None if x is e.what else found(x)), [replace(x, found) for x in e.partition], [replace(x, found) for x in e.order], e.rows)
     copy = object.__new__(type(e))
     copy.__dict__.update(e.__dict__)
     if isinstance(of := e.__dict__.get("of"), Expression):
@@ -167,8 +209,6 @@ def replace(e: Expression, found: Callable[[Expression], Expression | None]) ->
 
 def grouped_select(frame: Frame, keys: list[Expression], items: list[Expression], having: Expression | None) -> Frame:
     """SELECT items GROUP BY keys HAVING: aggregates wherever they stand are computed once, filtered on, and dropped."""
-    from ..functions.expressions import Aggregate
-
     found: dict[str, Expression] = {}
     names = {f"key_{i}": k for i, k in enumerate(keys)}
     plain = {find(frame.fields, k.of).name: n for n, k in names.items() if isinstance(k, Col)}

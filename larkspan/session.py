@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +46,40 @@ def build_session(profile: str = "ansi", master: str | None = None, app: str = "
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; where that is unset, a temporary one if all runs on this machine."""
+    global _own_folder
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    _own_folder = _own_folder or "file://" + tempfile.mkdtemp(prefix="larkspan-")
+    return _own_folder
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/larkspan-{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of new_path() through Spark's own file systems."""
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Leaves a folder that has been written to its file system, which deletes it when the driver's JVM ends, session or no session."""
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)

@@ -11,10 +11,12 @@ Parquet; this is for exchange with programs that know the format.
 
 from __future__ import annotations
 
+import json
 import struct as pack
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -82,9 +84,22 @@ class Block(InputPartition):
     offset: int
 
 
+def chosen(path: str, columns: list[str] | None) -> list[tuple[str, ColumnType]]:
+    """The file's columns, or those of the given names, in the given order."""
+    every = read_header(path)
+    if columns is None:
+        return every
+    kinds = dict(every)
+    if missing := [c for c in columns if c not in kinds]:
+        raise ValueError(f"Unknown column {missing[0]!r}; there are {', '.join(kinds)}")
+    return [(c, kinds[c]) for c in columns]
+
+
 class BlockReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    """Reads chosen columns of each block; others are skipped by their sizes."""
+
+    def __init__(self, path: str, columns: list[str] | None = None) -> None:
+        self.path, self.columns = path, columns
 
     def partitions(self) -> list[InputPartition]:
         return [Block(self.path, o) for o in block_offsets(self.path)] or [Block(self.path, -1)]
@@ -92,15 +107,18 @@ class BlockReader(DataSourceReader):
     def read(self, partition: Block) -> Iterator[tuple]:  # type: ignore[override]
         if partition.offset < 0:
             return
-        schema = read_header(partition.path)
+        wanted = [n for n, _ in chosen(partition.path, self.columns)]
+        found = {}
         with open(local(partition.path), "rb") as f:
             f.seek(partition.offset)
             (rows,) = pack.unpack("<I", f.read(4))
-            columns = []
-            for _, kind in schema:
+            for name, kind in read_header(partition.path):
                 (size,) = pack.unpack("<Q", f.read(8))
-                columns.append(decode(f.read(size), kind, rows))
-        yield from zip(*columns, strict=True)
+                if name in wanted:
+                    found[name] = decode(f.read(size), kind, rows)
+                else:
+                    f.seek(size, 1)
+        yield from zip(*[found[n] for n in wanted], strict=True)
 
 
 class BlockFiles(DataSource):
@@ -109,37 +127,72 @@ class BlockFiles(DataSource):
         return FORMAT
 
     def schema(self) -> T.StructType:
-        return struct(read_header(self.options["path"]))
+        return struct(chosen(self.options["path"], self.columns()))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return BlockReader(self.options["path"])
+        return BlockReader(self.options["path"], self.columns())
+
+    def columns(self) -> list[str] | None:
+        """Of the option `columns`, a JSON list of names."""
+        return json.loads(self.options["columns"]) if "columns" in self.options else None
+
+
+class BlockWriter:
+    """Puts rows into blocks from where the file stands, and the footer behind them."""
+
+    def __init__(self, f: BinaryIO, schema: list[tuple[str, ColumnType]], offsets: list[int], rows_per_block: int) -> None:
+        self.f, self.schema, self.offsets, self.rows_per_block = f, schema, offsets, rows_per_block
+        self.rows: list[tuple] = []
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) == self.rows_per_block:
+            self.put()
+
+    def put(self) -> None:
+        self.offsets.append(self.f.tell())
+        self.f.write(pack.pack("<I", len(self.rows)))
+        for values, (_, kind) in zip(zip(*self.rows, strict=True), self.schema, strict=True):
+            data = encode(list(values), kind)
+            self.f.write(pack.pack("<Q", len(data)) + data)
+        self.rows = []
+
+    def end(self) -> None:
+        if self.rows:
+            self.put()
+        self.f.write(pack.pack(f"<{len(self.offsets)}Q", *self.offsets) + pack.pack("<I", len(self.offsets)))
+        self.f.truncate()
 
 
 def write_block_file(df: DataFrame, path: str, rows_per_block: int = ROWS_PER_BLOCK) -> None:
     """One file, written by the driver from one partition after another: for exchange, not for scale."""
     schema = [(f.name, column_type(f.dataType)) for f in df.schema]
-    offsets: list[int] = []
     with open(local(path), "wb") as f:
         f.write(bytes([len(schema)]))
         for name, kind in schema:
             f.write(bytes([CODES[kind], len(name.encode())]) + name.encode())
-
-        def put(rows: list[tuple]) -> None:
-            offsets.append(f.tell())
-            f.write(pack.pack("<I", len(rows)))
-            for values, (_, kind) in zip(zip(*rows, strict=True), schema, strict=True):
-                data = encode(list(values), kind)
-                f.write(pack.pack("<Q", len(data)) + data)
-
-        rows: list[tuple] = []
+        writer = BlockWriter(f, schema, [], rows_per_block)
+        for r in df.toLocalIterator():
+            writer.add(tuple(r))
+        writer.end()
+
+
+def append_block_file(df: DataFrame, path: str, rows_per_block: int = ROWS_PER_BLOCK) -> None:
+    """Adds rows of the file's columns: a last block that isn't full is filled up first."""
+    schema, offsets = read_header(path), block_offsets(path)
+    given = [(f.name, column_type(f.dataType)) for f in df.schema]
+    if given != schema:
+        raise ValueError(f"columns differ: the file has {schema}, the rows have {given}")
+    last = list(BlockReader(path).read(Block(path, offsets[-1]))) if offsets else []
+    full = len(last) >= rows_per_block
+    with open(local(path), "r+b") as f:
+        f.seek(offsets[-1] if offsets and not full else -4 - 8 * len(offsets), 0 if offsets and not full else 2)
+        writer = BlockWriter(f, schema, offsets if full or not offsets else offsets[:-1], rows_per_block)
+        for r in [] if full else last:
+            writer.add(r)
         for r in df.toLocalIterator():
-            rows.append(tuple(r))
-            if len(rows) == rows_per_block:
-                put(rows)
-                rows = []
-        if rows:
-            put(rows)
-        f.write(pack.pack(f"<{len(offsets)}Q", *offsets) + pack.pack("<I", len(offsets)))
+            writer.add(tuple(r))
+        writer.end()
 
 
 def describe(path: str, limit: int = 100) -> str:

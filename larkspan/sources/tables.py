@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from typing import Any
 
@@ -14,12 +15,14 @@ from .blocks import FORMAT, BlockFiles
 BLOCK_SUFFIX = ".bin"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or a block file where the path ends with .bin."""
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Parquet, or a block file where the path ends with .bin; all columns or the named ones."""
     if path.endswith(BLOCK_SUFFIX):
         spark.dataSource.register(BlockFiles)
-        return spark.read.format(FORMAT).load(path)
-    return spark.read.parquet(path)
+        blocks = spark.read.format(FORMAT)
+        return (blocks.option("columns", json.dumps(columns)) if columns else blocks).load(path)
+    df = spark.read.parquet(path)
+    return df.select(*columns) if columns else df
 
 
 def rows_frame(spark: SparkSession, rows: Iterable[dict[str, Any] | tuple], schema: list[tuple[str, ColumnType]]) -> DataFrame:

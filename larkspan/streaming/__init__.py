@@ -1,5 +1,5 @@
 """The same expressions over streams."""
 
-from .streams import grouped, read_stream, tumbling
+from .streams import grouped, read_stream, run_to_table, sessions, sliding, tumbling
 
-__all__ = ["grouped", "read_stream", "tumbling"]
+__all__ = ["grouped", "read_stream", "run_to_table", "sessions", "sliding", "tumbling"]
