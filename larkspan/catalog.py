@@ -20,7 +20,7 @@ from .session import new_path, remove_at_exit
 from .sources import append_block_file, append_rows, import_csv, merge_tables, read_table, write_block_file
 from .streaming import read_stream, run_to_table, sessions, sliding, tumbling
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 # The text of q1_returnflag is a fixed value: the published benchmark query.
 # name: (dialect, SQL or None where the dialect's text is SQL but for paths and COUNT())
@@ -124,6 +124,8 @@ TEXTS: dict[str, tuple[str, str | None]] = {
     "group_timestamp_key": ("SELECT o_orderdate, COUNT() AS n FROM {orders} GROUP BY o_orderdate;", None),
     "window_rank": ("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place, RANK() OVER (ORDER BY o_orderpriority) AS r, SUM(o_totalprice) OVER (PARTITION BY o_custkey) > 1000000 AS large FROM {orders};", None),
     "window_share": ("SELECT p_partkey, ROUND(p_retailprice / SUM(p_retailprice) OVER (PARTITION BY p_brand), 9) AS share, MAX(p_size) OVER (PARTITION BY p_type) AS top FROM {part};", None),
+    "json_values": ("SELECT event_id, CAST(JSON_VALUE(props, '$.k') AS INTEGER) AS k FROM {events};", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"),
+    "array_sizes": ("SELECT label, COUNT() AS n, MAX(SIZE(embedding)) AS size FROM {embeddings} GROUP BY label;", "SELECT label, count(*) AS n, CAST(max(len(embedding)) AS INTEGER) AS size FROM embeddings GROUP BY label"),
     "union_all_sql": ("SELECT n_name AS name FROM {nation} UNION ALL SELECT r_name AS name FROM {region};", None),
     "union_sql": ("SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey AS k FROM {region} ORDER BY k DESC LIMIT 3;", None),
     "intersect_sql": ("SELECT c_nationkey AS k FROM {customer} WHERE c_acctbal > 9900 INTERSECT SELECT s_nationkey AS k FROM {supplier};", None),
@@ -164,6 +166,23 @@ def floor_mod_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "part").select("p_partkey", floor_mod(Col("p_size") - 25, 7).alias("rest")).to_df()
 
 
+def grouping_sets(how: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count().alias("n")
+    f = frame(spark, sf_dir, "orders")
+    return (f.rollup if how == "rollup" else f.cube)("o_orderstatus", "o_orderpriority").agg(n, F.max(Col("o_totalprice")).alias("top")).to_df()
+
+
+def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frame(spark, sf_dir, "events")
+    errors, clicks = f.filter(Col("event_type") == "error").alias("e"), f.filter(Col("event_type") == "click").alias("c")
+    return errors.asof_join(clicks, ("e.ts", "c.ts"), [("e.user_id", "c.user_id")]).select(Col("e.event_id").alias("error"), Col("c.event_id").alias("click"), Col("c.ts").alias("at")).to_df()
+
+
+def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frame(spark, sf_dir, "embeddings").explode("embedding", "x")
+    return f.group_by("label").agg(F.count().alias("n"), F.max(Col("x")).alias("top")).to_df()
+
+
 def floor_mod_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "orders").select("o_orderkey", floor_mod(Col("o_orderkey") - 9007199254740993, 7).alias("rest")).to_df()
 
@@ -259,6 +278,10 @@ BUILT: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "union_frames": (union_query, "SELECT n_name FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_name FROM nation WHERE n_regionkey >= 3"),
     "csv_roundtrip": (csv_roundtrip, "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders"),
     "append_roundtrip": (append_roundtrip, "SELECT * FROM region UNION ALL SELECT 99, 'NOWHERE'"),
+    "group_rollup": (partial(grouping_sets, "rollup"), "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
+    "group_cube": (partial(grouping_sets, "cube"), "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)"),
+    "join_asof": (asof, "SELECT e.event_id AS error, c.event_id AS click, c.ts AS at FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts"),
+    "explode_arrays": (exploded, "SELECT label, count(*) AS n, max(x) AS top FROM (SELECT label, unnest(embedding) AS x FROM embeddings) GROUP BY label"),
     "merge_roundtrip": (merge_roundtrip, "SELECT * FROM nation"),
     "block_roundtrip": (block_roundtrip, "SELECT n_name, n_nationkey FROM nation"),
     **{f"join_api_{how}": (partial(join_api, how), f"SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_acctbal > 2000) {sql} JOIN nation ON s_nationkey = n_nationkey") for how, sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL"))},

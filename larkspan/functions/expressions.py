@@ -503,6 +503,7 @@ CALLS = {
     "abs": ("abs", ["number"], None, 1, 1), "sqrt": ("sqrt", ["number"], "float", 1, 1), "exp": ("exp", ["number"], "float", 1, 1), "ln": ("ln", ["number"], "float", 1, 1),
     "floor": ("floor", ["number"], "integer", 1, 1), "ceil": ("ceil", ["number"], "integer", 1, 1), "year": ("year", ["timestamp"], "integer", 1, 1), "month": ("month", ["timestamp"], "integer", 1, 1),
     "day": ("day", ["timestamp"], "integer", 1, 1), "hour": ("hour", ["timestamp"], "integer", 1, 1), "coalesce": ("coalesce", ["any"], None, 1, 99), "nullif": ("nullif", ["any"], None, 2, 2),
+    "json_value": ("get_json_object", ["string"], "string", 2, 2), "size": ("size", ["array"], "integer", 1, 1), "date_trunc": ("date_trunc", ["string", "timestamp"], "timestamp", 2, 2),
     "greatest": ("greatest", ["any"], None, 2, 99), "least": ("least", ["any"], None, 2, 99),
 }
 

@@ -70,6 +70,19 @@ class Frame:
     def group_by(self, *keys: Any) -> Grouped:
         return Grouped(self, [Col(k) if isinstance(k, str) else k for k in keys])
 
+    def rollup(self, *keys: Any) -> Grouped:
+        """Groups by all keys, by all but the last, and so on to one group of all rows; left-out keys are null."""
+        return Grouped(self, [Col(k) if isinstance(k, str) else k for k in keys], "rollup")
+
+    def cube(self, *keys: Any) -> Grouped:
+        """Groups by each subset of the keys."""
+        return Grouped(self, [Col(k) if isinstance(k, str) else k for k in keys], "cube")
+
+    def explode(self, column: str, name: str) -> Frame:
+        """A row for each item of an array, as `name`; rows without items go."""
+        df = self.df.withColumn(name, SF.explode(SF.expr(find(self.fields, column).sql())))
+        return Frame(df, [*self.fields, Field(name, name, kind(df.schema[name].dataType))])
+
     def join(self, other: Frame, on: Expression | list[str] | str, how: str = "inner") -> Frame:
         """Any condition, or names that both sides have, which then come once (from the side that has all rows).
 
@@ -109,6 +122,26 @@ class Frame:
         fields = self.fields + [f for f in moved if f.inner not in dropped]
         return Frame(df.selectExpr(*listed([(f.inner, once.get(f.inner, Bound(f.sql(), f.kind))) for f in fields])), fields)
 
+    def asof_join(self, other: Frame, time: tuple[str, str], by: list[tuple[str, str]]) -> Frame:
+        """Each row with the other's latest row of its keys that is no later than it, or nulls. `time` and `by` name columns of either side.
+
+        Both sides are sorted together by key and time and swept once: there is no join, and no pair is made that isn't kept.
+        """
+        taken = {f.inner for f in self.fields}
+        moved = [Field(f.name, f"{f.inner}#of" if f.inner in taken else f.inner, f.kind) for f in other.fields]
+        key = lambda f, names: [find(f.fields, n).sql() for n in names]
+        own_keys, other_keys = key(self, [x for x, _ in by]), key(other, [y for _, y in by])
+        keys = [f"`key#{i}`" for i in range(len(by))]
+        struct = lambda fields: "struct(" + ", ".join(f.sql() for f in fields) + ")"
+        left = self.df.selectExpr(*[f"{k} AS {n}" for k, n in zip(own_keys, keys, strict=True)], f"{find(self.fields, time[0]).sql()} AS `at#`", "1 AS `side#`", f"{struct(self.fields)} AS `own#`")
+        right = other.df.selectExpr(*[f"{k} AS {n}" for k, n in zip(other_keys, keys, strict=True)], f"{find(other.fields, time[1]).sql()} AS `at#`", "0 AS `side#`", f"{struct(other.fields)} AS `of#`")
+        both = left.unionByName(right.filter("`at#` IS NOT NULL"), allowMissingColumns=True)
+        window = f"PARTITION BY {', '.join(keys)} ORDER BY `at#`, `side#` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW" if keys else "ORDER BY `at#`, `side#` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        none = " OR ".join([f"{k} IS NULL" for k in [*keys, "`at#`"]])
+        swept = both.selectExpr("*", f"CASE WHEN NOT ({none}) THEN last(`of#`, true) OVER ({window}) END AS `last#`").filter("`side#` = 1")
+        out = [f"`own#`.{f.sql()} AS {f.sql()}" for f in self.fields] + [f"`last#`.{f.sql()} AS {quoted(m.inner)}" for f, m in zip(other.fields, moved, strict=True)]
+        return Frame(swept.selectExpr(*out), self.fields + moved)
+
     def cross_join(self, other: Frame) -> Frame:
         return self.join(other, Lit(True))
 
@@ -167,13 +200,19 @@ class Frame:
         print("\n".join([line("╭", "┬", "╮"), cells(df.columns), line("├", "┼", "┤"), *map(cells, rows), line("╰", "┴", "╯")]))
         return len(rows)
 
+    def debug(self, label: str, n: int = 10) -> Frame:
+        """Prints the schema and up to `n` rows at this step of a query; returns the frame, so steps may go on behind it."""
+        print(f"{label}: {', '.join(f'{name} {k}' for name, k in self.schema)}")
+        self.show(n)
+        return self
+
     def explain(self, full: bool = False) -> None:
         self.to_df().explain(mode="extended" if full else "formatted")
 
 
 class Grouped:
-    def __init__(self, frame: Frame, keys: list[Expression]) -> None:
-        self.frame, self.keys = frame, keys
+    def __init__(self, frame: Frame, keys: list[Expression], how: str = "groupBy") -> None:
+        self.frame, self.keys, self.how = frame, keys, how
 
     def agg(self, *columns: Any) -> Frame:
         """The keys, then the aggregates; no aggregates give the distinct keys."""
@@ -184,7 +223,7 @@ class Grouped:
         inner = outer if len(set(outer)) == len(outer) else [f"c{i}" for i in range(len(outer))]
         column = [SF.expr(f"{b.sql} AS {quoted(n)}") for n, (_, b) in zip(inner, keys + results, strict=True)]
         by, made = column[: len(keys)], column[len(keys) :]
-        df = frame.df.groupBy(*by).agg(*made) if results else frame.df.select(*by).distinct()
+        df = getattr(frame.df, self.how)(*by).agg(*made) if results else frame.df.select(*by).distinct()
         return Frame(df, [Field(n, i, b.kind) for (n, b), i in zip(keys + results, inner, strict=True)])
 
 

@@ -125,6 +125,24 @@ def test_equal_names_keep_their_data(spark):
         l.join(r, Lit(True)).collect()
 
 
+def test_asof(spark):
+    """Against comparing all pairs; with ties, nulls and keys that the other side lacks."""
+    left = [(1, 5), (1, 2), (1, 0), (2, 9), (3, 1), (None, 4), (1, None)]
+    right = [(1, 2, "a"), (1, 4, "b"), (2, 10, "c"), (2, 1, "d"), (None, 1, "e"), (3, None, "f")]
+    l, r = Frame(spark.createDataFrame(left, "k int, t int")).alias("l"), Frame(spark.createDataFrame(right, "k int, t int, v string")).alias("r")
+    got = l.asof_join(r, ("l.t", "r.t"), [("l.k", "r.k")]).select("l.k", "l.t", "r.v").collect()
+    wanted = []
+    for k, t in left:
+        fit = [(u, v) for j, u, v in right if None not in (k, t, j, u) and j == k and u <= t]
+        wanted.append({"k": k, "t": t, "v": max(fit)[1] if fit else None})
+    assert_rows(got, wanted)
+
+
+def test_debug(frame, capsys):
+    assert frame.filter(Col("level") > 5).debug("high", 2).select("level").collect()
+    assert "high: station string, level integer" in capsys.readouterr().out
+
+
 def test_sets(frame, spark):
     low, high = frame.filter(Col("level") < 8).select("station"), frame.filter(Col("level") > 4).select("station")
     a, b = ({s for s, v, _ in READINGS if test(v)} for test in (lambda v: v < 8, lambda v: v > 4))
@@ -308,3 +326,9 @@ def test_streams(spark, readings, tmp_path):
     windows = tumbling(read_stream(spark, at, read_table(spark, at).schema), "t", "1 minute", "10 seconds", [], F.sum(Col("v")).alias("s"))
     final = run_to_table(windows, f"{tmp_path}/final", f"{tmp_path}/final_state")
     assert sorted(r["s"] for r in final.collect()) == [3, 3]  # the last window may still get rows
+
+
+def test_entry_without_what_the_operators_need():
+    """A module that they import and that isn't there takes none of the other queries along."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; n = e.queries(); assert 'q1_returnflag' in n and not any(k.startswith('op') and k[2].isdigit() for k in n) and set(e.oracle_sql()) <= set(n)"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60, capture_output=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
