@@ -124,12 +124,12 @@ def spans_of(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFram
     tried = cut(tried.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "tried"), "tried")
     size = tried.agg(F.sum(64 + F.size("tried") * (60 + 24 * width))).first()[0] or 0
     of = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    texts = docs.join(small(tried, size), of).select("_id", "_key", "tried", words_of(docs["text"]).alias("words"))
-    right = F.filter("tried", lambda x: words_at(F.col("words"), x["s"], x["len"], width) == x["gram"])
-    right = texts.select("_id", "_key", right.alias("right")).filter(F.size("right") > 0)
+    # The words go into the inner function as one value: as a column of their own they would be split again for every word compared.
+    right = F.flatten(F.transform(F.array(words_of(docs["text"])), lambda w: F.filter("tried", lambda x: words_at(w, x["s"], x["len"], width) == x["gram"])))
+    right = docs.join(small(tried, size), of).select("_id", "_key", right.alias("right")).groupBy("_id", "_key").agg(F.first("right").alias("right"))
     spans = F.array_sort(F.array_distinct(F.transform("right", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["len"]).alias("e")))))
     facts = right.select("_id", "_key", spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten("right.items"))).alias("items"))
-    facts = cut(facts.groupBy("_id", "_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "facts")
+    facts = cut(facts.filter(F.size("spans") > 0), "facts")
     size = facts.agg(F.sum(64 + 16 * F.size("spans") + F.octet_length(F.array_join("items", "")) + 40 * F.size("items"))).first()[0] or 0
     out = each.drop("found").join(small(facts, size), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     none = F.array().cast(facts.schema["spans"].dataType), F.array().cast("array<string>")
