@@ -1,9 +1,9 @@
 """Exchanges of 64-bit keys between chunks of documents, through routers and buckets of the key space.
 
 Documents are dealt into chunks of about CHUNK_BYTES of text. Each chunk sends its distinct keys, sorted and packed as
-byte planes of their differences, one message for each of 2**bits ranges of the key space that it has keys in. Up to FAN
-chunks meet in buckets directly. Beyond, the messages of 2**bits chunks for one range meet in a router, which merges them and
-sends them on, as a chunk would, by the next bits; and so on, until a range's messages are few enough for a bucket. Answers
+byte planes of their differences, one message for each of FAN ranges of the key space that it has keys in. Up to FAN
+chunks meet in buckets directly. Beyond, the messages of FAN chunks for one range meet in a router, which merges them and
+sends them on, as a chunk would, by the keys' next bits; and so on, until a range's messages are few enough for a bucket. Answers
 take the same way back. So a chunk sends FAN messages a level at most, whatever their number: messages grow with the
 input (times its logarithm to the base FAN), a key costs a few bytes a level instead of a row, a key that is everywhere is
 one entry a chunk, and no task holds more than about a chunk.
@@ -11,7 +11,6 @@ one entry a chunk, and no task holds more than about a chunk.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,9 +40,8 @@ class Levels:
 
     @staticmethod
     def of(chunks: int) -> Levels:
-        whole, each = (chunks - 1).bit_length(), (FAN - 1).bit_length()
-        count = max(1, -(-whole // each))
-        return Levels(count, max(1, math.ceil(whole / count)))
+        bits = (FAN - 1).bit_length()
+        return Levels(max(1, -(-(chunks - 1).bit_length() // bits)), bits)
 
 
 def chunk_of(docs: DataFrame, chunks: int) -> Column:
@@ -131,8 +129,8 @@ class Traffic:
         """Of the answers to a part's pieces, in their order, the answer to the part."""
         raise NotImplementedError
 
-    def reply(self, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
-        """What of the answer to `merged` concerns one of its parts."""
+    def reply(self, k: int, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
+        """What of the answer to `merged` concerns the k-th part of those that were merged last."""
         raise NotImplementedError
 
     def pack(self, part: tuple) -> tuple[bytes, bytes, bytes]:
@@ -167,7 +165,7 @@ def sent(part: tuple, traffic: Traffic, source: int, levels: Levels, level: int
 
 
 def answers_to(t: pa.Table, parts: list[tuple], merged: tuple, answer: tuple, traffic: Traffic) -> pa.Table:
-    replies = [(b, s, traffic.reply(p, merged, answer)) for b, s, p in zip(t.column("bucket").to_pylist(), t.column("source").to_pylist(), parts, strict=True)]
+    replies = [(b, s, traffic.reply(k, p, merged, answer)) for k, (b, s, p) in enumerate(zip(t.column("bucket").to_pylist(), t.column("source").to_pylist(), parts, strict=True))]
     return messages([(b, s, *traffic.pack_answer(r)) for b, s, r in replies if r is not None])
 
 

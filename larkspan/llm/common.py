@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,46 +14,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path, remove, remove_at_exit
+
 ROWS_A_FILE = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; where that is unset, a temporary one if all runs on this machine."""
-    global _own_dir
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="larkspan-")
-    return _own_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/larkspan-{name}-{uuid.uuid4().hex}"
-
-
-def _file_system(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of new_path() through Spark's own file systems."""
-    at, files = _file_system(spark, path)
-    files.delete(at, True)
-    files.cancelDeleteOnExit(at)
-
-
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Leaves a folder that has been written to its file system, which deletes it when the driver's JVM ends, session or no session."""
-    at, files = _file_system(spark, path)
-    files.deleteOnExit(at)
-
-
 def cut(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """Writes `df` into the shared folder and reads it again: lineage ends there, and lost executors lose nothing.
 
@@ -74,6 +40,14 @@ def drop(*frames: DataFrame) -> None:
         remove(f.sparkSession, f.cut_path)
 
 
+def give_back_memory() -> None:
+    """What Python and Arrow have freed, to the system, where its allocator can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_groups(df: DataFrame, keys: list[str], apply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """apply() to the rows of each key, as one stream a partition: for very many small groups."""
 
@@ -115,20 +89,50 @@ class WordHashes(dict):
 
     MOST = 150_000
 
-    def __init__(self, seed: int = 0) -> None:
-        super().__init__()
-        self.seed = seed
-
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
+        h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class WordNumbers(dict):
+    """bytes -> number of the word, by which low() and high() have the halves of its 128-bit hash; the dictionary is bounded."""
+
+    MOST = 150_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.halves = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        h, n = xxhash.xxh3_128_intdigest(word), len(self.halves[0])
+        self.halves[0].append(h & 0xFFFFFFFFFFFFFFFF)
+        self.halves[1].append(h >> 64)
+        self[word] = n
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def low(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array(self.halves[0], np.uint64)[numbers]
+
+    def high(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array(self.halves[1], np.uint64)[numbers]
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; of numpy's ways, sorting is many times as fast for integers as the table that np.unique() uses."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads low and high bits."""
     x = x ^ (x >> np.uint64(31))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, MOST_BROADCAST, Levels, Traffic, chunk_of, chunks_for, exchange, folded, joined_answer, pack_ints, pack_keys, ranges, sent, unfolded, unpack_ints, unpack_keys
-from .common import WordHashes, mix, table
+from .common import WordHashes, distinct, mix, table
 from .mixing import tokens_of
 
 PRIOR_WORD = 1000.0
@@ -72,8 +72,9 @@ class Counts(Traffic):
         return [tuple(x[i:j] for x in part) if i < j else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def merge(self, parts: list[tuple]) -> tuple:
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        sums = (np.bincount(at, np.concatenate([p[i] for p in parts]).astype(float), len(keys)).astype(np.uint64) for i in (1, 2))
+        keys, self.at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        self.ends = np.cumsum([0] + [len(p[0]) for p in parts])
+        sums = (np.bincount(self.at, np.concatenate([p[i] for p in parts]).astype(float), len(keys)).astype(np.uint64) for i in (1, 2))
         return keys, *sums
 
     def settle(self, merged: tuple) -> tuple:
@@ -82,8 +83,8 @@ class Counts(Traffic):
     def join(self, answers: list[tuple]) -> tuple:
         return tuple(np.concatenate([np.empty(0, np.uint64), *[a[i] for a in answers]]) for i in (0, 1))
 
-    def reply(self, part: tuple, merged: tuple, answer: tuple) -> tuple:
-        at = np.searchsorted(merged[0], part[0])
+    def reply(self, k: int, part: tuple, merged: tuple, answer: tuple) -> tuple:
+        at = self.at[self.ends[k] : self.ends[k + 1]]
         return answer[0][at], answer[1][at]
 
     def pack(self, part: tuple) -> tuple[bytes, bytes, bytes]:
@@ -122,7 +123,7 @@ def losses(rows: pa.Table, answers: pa.Table, n_all: int, n_target: int) -> pa.T
     marked = np.array(rows.column("target").to_pylist(), bool)
     words, w = np.unique(word_key(h), return_inverse=True)
     pairs, uw = np.unique(pairs_of(h), return_inverse=True)
-    keys = np.union1d(words, pairs)
+    keys = distinct(np.concatenate([words, pairs]))
     at_words, at_pairs = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
     del keys
     sums = dict(zip(("background", "target"), joined_answer(answers, Counts()), strict=True))
@@ -184,7 +185,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
-    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS w FROM documents),
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []) AS w FROM documents),
 t AS (SELECT doc_id, good, unnest(list_prepend('', w)) AS u, unnest(list_append(w, '')) AS x FROM d WHERE len(w) > 0),
 p AS (SELECT doc_id, good, u, x, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
 o AS (SELECT doc_id, good, x, sum(n) AS n FROM p GROUP BY ALL),

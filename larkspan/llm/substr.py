@@ -3,7 +3,7 @@
 A repeat of `window` words contains, wherever it lies, one whole block of window/2 words at a multiple of window/2.
 So every document's non-overlapping blocks are indexed by hash, and every rolling window of block length probes the
 index. A hit marks the words around it; the windows of full length over marked words are extended to exact repeats: their
-hashes (128 bits, of two independent hashes of each word) meet in buckets that find the smallest doc_id of each, and a
+hashes (128 bits, from both halves of 128-bit hashes of the words) meet in buckets that find the smallest doc_id of each, and a
 document loses the words of those windows that also start in a document with a smaller id. Windows that overlap join, so
 what goes is the maximal repeat, word for word.
 
@@ -27,11 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import MESSAGE, Among, Levels, Traffic, chunk_of, chunks_for, exchange, folded, joined_answer, pack_ints, pack_keys, ranges, sent, unfolded, unpack_ints, unpack_keys
-from .common import WordHashes, mix, table
+from .common import WordNumbers, distinct, mix, table
 
 WINDOW = 50
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-SECOND = 20_011
 NO_ID = (1 << 63) - 1
 ANCHORS, WINDOWS, COPY = 0, 1, 2  # kinds of what comes back to a chunk
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, copies long"
@@ -65,22 +64,21 @@ class Chunk:
     def __init__(self, docs: pa.Table, back: pa.Table, window: int) -> None:
         self.window, self.block = window, window // 2
         self.copies = set(back.column("copy").drop_null().to_pylist())
-        known, parts = WordHashes(), []
+        self.known, parts = WordNumbers(), []
         self.first_word: dict[int, int] = {}  # row of `docs` -> place of its first word
-        self.texts: list[bytes] = []
         sizes, ids, n = [], [], 0
         for i, (row, doc_id, text) in enumerate(zip(docs.column("row"), docs.column("doc_id"), docs.column("text"), strict=True)):
             if row.as_py() in self.copies or (raw := text.as_py()) is None:
                 continue
             words = raw.split()
             if len(words) >= window:
-                parts.append(known.of(words))
+                parts.append(self.known.of(words))
                 self.first_word[i] = n
-                self.texts.append(raw)
                 sizes.append(len(words))
                 ids.append(NO_ID if (one := doc_id.as_py()) is None else one)
                 n += len(words)
-        self.h = np.concatenate(parts or [none()])
+        self.words = np.concatenate(parts or [np.empty(0, np.int32)])
+        self.h = self.known.low(self.words)
         self.sizes = np.array(sizes, np.int64)
         self.place = np.arange(n, dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
         self.left = np.repeat(self.sizes.astype(np.int32), self.sizes) - self.place
@@ -101,21 +99,15 @@ class Chunk:
         so_far = np.concatenate([[0], np.cumsum(Among(hits).has(r) & inside, dtype=np.int64)])
         reach = self.window - self.block + 1
         starts = np.nonzero((so_far[reach : reach + n] > so_far[:n]) & (self.left[:n] >= self.window))[0]
-        return starts, self.rolling.at(starts, self.window), Rolling(self.second(starts), BASE_B).at(starts, self.window)
-
-    def second(self, starts: np.ndarray) -> np.ndarray:
-        """Other hashes of the words, for the documents in which windows start."""
-        ends = np.cumsum(self.sizes)
-        known, out = WordHashes(SECOND), np.zeros(len(self.h), np.uint64)
-        for k in np.unique(np.searchsorted(ends, starts, side="right")):
-            out[ends[k] - self.sizes[k] : ends[k]] = known.of(self.texts[k].split())
-        return out
+        return starts, self.rolling.at(starts, self.window), Rolling(self.known.high(self.words), BASE_B).at(starts, self.window)
 
 
 class Anchors(Traffic):
     """Parts: hashes of blocks, whether each comes once or more, and hashes of the other rolling windows. Answers: which of either are hits:
     blocks that occur as blocks again, and other windows that equal a block."""
 
+    held: tuple | None = None  # an answer and its look-up tables, for all parts that it is for
+
     def split(self, part: tuple, levels: Levels, level: int) -> list[tuple]:
         own, n, probe = part
         at, to = ranges(own, levels, level), ranges(probe, levels, level)
@@ -125,7 +117,7 @@ class Anchors(Traffic):
     def merge(self, parts: list[tuple]) -> tuple:
         own, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(own))
-        return own, np.minimum(n, 2).astype(np.uint64), np.unique(np.concatenate([p[2] for p in parts]))
+        return own, np.minimum(n, 2).astype(np.uint64), distinct(np.concatenate([p[2] for p in parts]))
 
     def settle(self, merged: tuple) -> tuple:
         own, n, probe = merged
@@ -134,8 +126,10 @@ class Anchors(Traffic):
     def join(self, answers: list[tuple]) -> tuple:
         return tuple(np.concatenate([none(), *[a[i] for a in answers]]) for i in (0, 1))
 
-    def reply(self, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
-        again, met = (x[Among(y).has(x)] if len(y) else none() for x, y in zip((part[0], part[2]), answer, strict=True))
+    def reply(self, k: int, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
+        if self.held is None or self.held[0] is not answer:
+            self.held = answer, [Among(y) if len(y) else None for y in answer]
+        again, met = (x[y.has(x)] if y else none() for x, y in zip((part[0], part[2]), self.held[1], strict=True))
         return (again, met) if len(again) or len(met) else None
 
     def pack(self, part: tuple) -> tuple[bytes, bytes, bytes]:
@@ -188,7 +182,9 @@ class Windows(Traffic):
         return [tuple(x[i:j] for x in part) if i < j else None for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def merge(self, parts: list[tuple]) -> tuple:
-        return distinct_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))[:3]
+        *merged, self.which = distinct_windows(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        self.ends = np.cumsum([0] + [len(p[0]) for p in parts])
+        return tuple(merged)
 
     def settle(self, merged: tuple) -> tuple:
         return none(), none(), np.empty(0, np.int64)
@@ -197,12 +193,12 @@ class Windows(Traffic):
         every = [self.settle(()), *answers]
         return tuple(np.concatenate([a[i] for a in every]) for i in range(3))
 
-    def reply(self, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
+    def reply(self, k: int, part: tuple, merged: tuple, answer: tuple) -> tuple | None:
         a, b, least = merged
         if len(answer[0]):
             least = least.copy()
             least[places(a, b, answer)] = answer[2]
-        best = least[places(a, b, part)]
+        best = least[self.which[self.ends[k] : self.ends[k + 1]]]
         lost = best < part[2]
         return (part[0][lost], part[1][lost], best[lost]) if lost.any() else None
 
@@ -222,7 +218,7 @@ def of_kind(back: pa.Table, kind: int) -> pa.Table:
 
 def hits_of(back: pa.Table) -> np.ndarray:
     again, met = joined_answer(of_kind(back, ANCHORS), Anchors())
-    return np.union1d(again, met)
+    return distinct(np.concatenate([again, met]))
 
 
 def send_anchors(docs: pa.Table, copies: pa.Table, chunk: int, window: int, levels: Levels) -> pa.Table:
@@ -230,7 +226,7 @@ def send_anchors(docs: pa.Table, copies: pa.Table, chunk: int, window: int, leve
     r, inside = c.anchors()
     own = c.place[: len(r)] % c.block == 0
     keys, n = np.unique(r[inside & own], return_counts=True)
-    return sent((keys, np.minimum(n, 2).astype(np.uint64), np.unique(r[inside & ~own])), Anchors(), chunk, levels)
+    return sent((keys, np.minimum(n, 2).astype(np.uint64), distinct(r[inside & ~own])), Anchors(), chunk, levels)
 
 
 def send_windows(docs: pa.Table, back: pa.Table, chunk: int, window: int, levels: Levels) -> pa.Table:
