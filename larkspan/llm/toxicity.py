@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back_memory, table
 
 MOST_LABELLED = 6_000
 FOLDS = 4
@@ -213,7 +213,10 @@ CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, most: int = MOST_LABELLED) -> Chain:
     categories = categories or CATEGORIES
     rows, y = labelled(docs, labels, categories, most)
-    return train(rows, y, list(categories))
+    chain = train(rows, y, list(categories))
+    del rows, y
+    give_back_memory()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, keep: bool = False) -> DataFrame:
