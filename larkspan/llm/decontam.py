@@ -25,6 +25,7 @@ from .common import ascii_lower, cut, table
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MOST_BROADCAST_BYTES = 64 << 20
+MOST_HITS_BYTES = 8 << 20  # of hits that are broadcast to the texts: they pass through the driver
 MOST_BITS = 28
 WORDS_A_ROW = 512  # 64-bit words of the table of bits
 MARK = -1
@@ -75,11 +76,34 @@ def table_of_bits(grams: DataFrame, n: int) -> tuple[DataFrame, int]:
     return cut(rows, "bits"), k
 
 
+def held(bits: DataFrame, k: int, h: Column) -> tuple[Column, Column]:
+    """For a join with a table of bits: which of its rows a hash belongs to, and whether its bit is set there."""
+    at = F.shiftrightunsigned(h, 64 - k)
+    word = F.element_at(bits["bits"], (F.shiftright(at, 6) % WORDS_A_ROW).cast("int") + 1)
+    return F.floor(F.shiftright(at, 6) / WORDS_A_ROW).cast("long") == bits["row"], F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def among(docs: DataFrame, keys: DataFrame, key: str, size: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """To join documents with `keys`, whose column `key` has hashes of texts: the documents that may have one, the keys, and the other documents.
+
+    Keys of up to `most` bytes are broadcast to all documents, and there are no others. Beyond, a table of bits is, and the texts that
+    are shuffled are those whose bit is set.
+    """
+    if size <= most:
+        return docs, F.broadcast(keys), None
+    bits, k = table_of_bits(keys.select(F.col(key).alias("h")), keys.count())
+    bits = F.broadcast(bits)
+    on, is_set = held(bits, k, F.xxhash64(docs["text"]))
+    both = docs.join(bits, on)
+    mine = [docs[c] for c in docs.columns]
+    return both.filter(is_set).select(*mine), keys, both.filter(~is_set).select(*mine)
+
+
 BYTES_A_HASH = 64
 
 
 def small(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= MOST_BROADCAST_BYTES else df
+    return F.broadcast(df) if size <= MOST_HITS_BYTES else df
 
 
 def looked_up(docs: DataFrame, grams: DataFrame, width: int) -> DataFrame:
@@ -106,10 +130,9 @@ def looked_up(docs: DataFrame, grams: DataFrame, width: int) -> DataFrame:
         hits = rows.select(*columns).join(F.broadcast(index), same)
     else:
         bits, k = table_of_bits(grams, sum(sizes.values()))
-        at = F.shiftrightunsigned("h", 64 - k)
-        held = F.getbit(F.element_at("bits", (F.shiftright(at, 6) % WORDS_A_ROW).cast("int") + 1), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-        on = F.floor(F.shiftright(at, 6) / WORDS_A_ROW).cast("long") == F.col("row")
-        kept = rows.select(*columns).join(F.broadcast(bits), on & ((F.col("len") == 0) | held)).drop("row", "bits")
+        bits = F.broadcast(bits)
+        on, is_set = held(bits, k, F.col("h"))
+        kept = rows.select(*columns).join(bits, on & ((F.col("len") == 0) | is_set)).drop("row", "bits")
         hits = kept.filter("len > 0").join(cut(hashes, "hashes"), same).drop("gram_h", "gram_len").unionByName(kept.filter("len = 0"))
     found = F.collect_set(F.when(F.col("len") > 0, F.struct("s", "len", "h"))).alias("found")
     return hits.groupBy("doc_id", "text_key", F.col("n").cast("long").alias("n_words")).agg(F.count_if(F.col("len") == 0).alias("copies"), found)
@@ -123,10 +146,11 @@ def spans_of(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFram
     tried = hits.join(grams, ["h", "len"]).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "len", "gram", "items")).alias("tried"))
     tried = cut(tried.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "tried"), "tried")
     size = tried.agg(F.sum(64 + F.size("tried") * (60 + 24 * width))).first()[0] or 0
+    docs, tried, _ = among(docs.select("doc_id", "text"), tried, "_key", size, MOST_HITS_BYTES)
     of = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
     # The words go into the inner function as one value: as a column of their own they would be split again for every word compared.
     right = F.flatten(F.transform(F.array(words_of(docs["text"])), lambda w: F.filter("tried", lambda x: words_at(w, x["s"], x["len"], width) == x["gram"])))
-    right = docs.join(small(tried, size), of).select("_id", "_key", right.alias("right")).groupBy("_id", "_key").agg(F.first("right").alias("right"))
+    right = docs.join(tried, of).select("_id", "_key", right.alias("right")).groupBy("_id", "_key").agg(F.first("right").alias("right"))
     spans = F.array_sort(F.array_distinct(F.transform("right", lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["len"]).alias("e")))))
     facts = right.select("_id", "_key", spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten("right.items"))).alias("items"))
     facts = cut(facts.filter(F.size("spans") > 0), "facts")
@@ -154,17 +178,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, spans:
     """The columns of `docs`, without contaminated documents; with `spans`, contaminated texts lose their hit words instead."""
     keys = [F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")] + ([F.col("spans").alias("_hit_spans")] if spans else [])
     found = cut(judged(docs, benchmark, width).filter("contaminated").select(*keys).dropDuplicates(["_hit_id", "_hit_key"]), "hits")
-    if (found.agg(F.sum(F.lit(64) + (24 * F.size("_hit_spans") if spans else F.lit(0)))).first()[0] or 0) <= MOST_BROADCAST_BYTES:
-        found = F.broadcast(found)
+    size = found.agg(F.sum(F.lit(BYTES_A_HASH) + (24 * F.size("_hit_spans") if spans else F.lit(0)))).first()[0] or 0
+    every = docs
+    docs, found, others = among(docs, found, "_hit_key", size, MOST_BROADCAST_BYTES)
     on = docs["doc_id"].eqNullSafe(found["_hit_id"]) & (F.xxhash64(docs["text"]) == found["_hit_key"])
+    whole = lambda df: df if others is None else df.union(others)
     if not spans:
-        return docs.join(found, on, "left_anti")
+        return whole(docs.join(found, on, "left_anti").select(*[docs[c] for c in every.columns]))
     out = docs.join(found, on, "left")
     text = docs["text"]
     pieces = F.regexp_extract_all(text, F.lit(f"{ANY_CASE}[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*"), F.lit(0))
     kept = F.filter(pieces, lambda p, i: ~F.exists(found["_hit_spans"], lambda s: (s["s"] <= i) & (i < s["e"])))
     cleaned = F.when(found["_hit_spans"].isNull(), text).otherwise(F.array_join(kept, ""))
-    return out.select(*[cleaned.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return whole(out.select(*[cleaned.alias("text") if c == "text" else docs[c] for c in every.columns]))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
