@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_groups, cut, drop, mix, table
+from .common import WordHashes, by_groups, cut, distinct, drop, mix, table
 
 WIDTH = 3
 THRESHOLD = (85, 100)
@@ -50,9 +50,9 @@ ROWS = 6
 MISS_BUCKET = 2e-6
 BATCH = 24
 MISS = 1e-6
-BLOCK = 1_000
+BLOCK = 400
 BLOCK_SHINGLES = 2_000_000
-MOST_STRAYS = 8_000
+MOST_STRAYS = 2_000
 HUB_SHARE = 200
 MOST_BROADCAST = 500_000  # rows of three integers
 SEED = 20_240_607
@@ -68,7 +68,7 @@ def shingles(text: bytes | None, known: WordHashes, width: int = WIDTH) -> np.nd
     out = np.full(len(h) - span + 1, span, np.uint64)
     for k in range(span):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - span + 1 + k])
-    return np.unique(out)
+    return distinct(out)
 
 
 def bands_for(threshold: tuple[int, int]) -> int:
@@ -334,7 +334,7 @@ def remaining_links(members: DataFrame, names: DataFrame, nodes: Nodes, least: l
 
     def with_survivors(t: pa.Table) -> pa.Table:
         first, other, _ = block_pairs(t, least, threshold)
-        return t.select([*PLACED, "n"]).take(pa.array(np.unique(np.concatenate([first, other]))))
+        return t.select([*PLACED, "n"]).take(pa.array(distinct(np.concatenate([first, other]))))
 
     def link(t: pa.Table) -> pa.Table:
         node, name, text = t.column("node").to_pylist(), t.column("component").to_pylist(), t.column("text")
@@ -386,7 +386,7 @@ def nodes_of(docs: DataFrame, width: int, n_bands: int, with_null_ids: bool) ->
     # Numbers that rise with `rep`, from the places in ranges; they are written before anything reads them.
     classes = cut(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()).drop("no_id"), "classes", total)
     own = full.join(classes, SET).filter((F.col("text_key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    signatures = cut(own.select("node", F.col("n_shingles").alias("n"), "bytes", "bands").dropDuplicates(["node"]), "reps", total)
+    signatures = cut(own.select("node", F.col("n_shingles").alias("n"), "bytes", "bands").dropDuplicates(["node"]), "reps", 8 * total)
     return Nodes(docs, rows.select("doc_id", "text_key", *SET), classes, signatures)
 
 
