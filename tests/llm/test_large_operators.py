@@ -137,6 +137,13 @@ def test_one_row_that_fills_the_table(spark):
     assert Counter((r.doc_id, r.n_tokens, *(None if x is None else round(x, d) for x, d in ((r.target_loss, 9), (r.background_loss, 9), (r.score, 8)))) for r in got) == lm_scores(rows, {5})
 
 
+def test_very_long_texts_are_counted(spark):
+    long = words(91, 700_000, 300_000)
+    rows = [(1, long), (2, words(84, 50)), (3, words(84, 40) + " more")]
+    got = lmscore.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 1).collect()
+    assert Counter((r.doc_id, r.n_tokens, *(round(x, d) for x, d in ((r.target_loss, 9), (r.background_loss, 9), (r.score, 8)))) for r in got) == lm_scores(rows, {2, 3})
+
+
 def test_very_long_repeats(spark):
     long = words(91, 1_000_000, 300_000)
     rows = [(1, long), (2, "start " + long), (3, words(83, 100))]

